@@ -20,10 +20,15 @@ def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
     return df.withColumn("__t", one).select(*df.columns, *[F.col(f"__t.{n}").alias(n) for n in names])
 
 
-def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
+def top_per_group(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int | None, rank: str = "rank"
+) -> DataFrame:
     """First n rows per group. The limit runs before the shuffle too, so a hot group stays small."""
     window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window).cast("bigint")).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(window))
+    if n is not None:
+        ranked = ranked.filter(F.col(rank) <= n)
+    return ranked.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

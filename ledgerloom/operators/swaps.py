@@ -91,8 +91,8 @@ def swap_summary(trades: DataFrame) -> DataFrame:
     )
 
 
-def ranked_text(totals: DataFrame, owner: str, label: str, value: str, text: Column, n: int, name: str) -> DataFrame:
-    """The n largest labels of each owner in one line of text."""
+def ranked_text(totals: DataFrame, owner: str, label: str, value: str, text: Column, n: int | None, name: str) -> DataFrame:
+    """The n largest labels of each owner (all of them without n) in one line of text."""
     best = top_per_group(totals, [owner], [F.desc(value), F.asc(label)], n)
     item = F.struct(F.col("rank"), F.concat(F.col(label), F.lit(" "), text).alias("t"))
     ordered = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"])
@@ -179,7 +179,7 @@ def day_summary(trades: DataFrame) -> DataFrame:
     holders = accounts.groupBy("date").agg(F.count(F.lit(1)).alias("accounts"))
     route_count = routes.groupBy("date").agg(F.count(F.lit(1)).alias("routes_total"))
     cents = F.col("usd").cast("decimal(38,2)").cast("string")
-    venue_text = ranked_text(venues, "date", "venue", "usd", cents, 40, "venues")
+    venue_text = ranked_text(venues, "date", "venue", "usd", cents, None, "venues")
     part_of = lambda x: F.when(F.col("usd") > 0, S.six_digits(S.dbl(x) / S.dbl(F.col("usd")) * 100))
     out = days.drop("venue", "route", "account", "level")
     for extra in (holders, leaders, route_count, venue_text):

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("swaps",)
+FAMILIES = ("swaps", "pricing", "registry_joins")
 
 
 def load() -> None:
