@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("swaps", "pricing", "registry_joins")
+FAMILIES = ("swaps", "pricing", "registry_joins", "graphs")
 
 
 def load() -> None:

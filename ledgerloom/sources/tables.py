@@ -203,7 +203,11 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
             F.when(days >= 0, "matched").otherwise("unmatched").alias("match_status"),
             F.when(days >= 0, days).cast("bigint").alias("latency"),
             F.col("p_name").alias("symbol"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string").alias("raw_amount"),
+            F.concat(
+                F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
+                # A few rows carry six digits too many, as wrongly scaled amounts do.
+                F.when((F.col("l_quantity") == 50) & (F.col("l_discount") > 0.095), "000000").otherwise(""),
+            ).alias("raw_amount"),
             (F.col("p_size") % 7).cast("bigint").alias("decimals"),
             F.when(F.col("l_tax") != 0, S.money(value)).alias("usd"),
         )
@@ -218,7 +222,7 @@ messages AS (
          CASE WHEN cast(l_shipdate AS date) >= cast(o_orderdate AS date) THEN 'matched' ELSE 'unmatched' END AS match_status,
          CASE WHEN cast(l_shipdate AS date) >= cast(o_orderdate AS date)
               THEN date_diff('day', cast(o_orderdate AS date), cast(l_shipdate AS date)) END AS latency,
-         p_name AS symbol, cast(cast(round(l_extendedprice * 100) AS bigint) AS varchar) AS raw_amount,
+         p_name AS symbol, cast(cast(round(l_extendedprice * 100) AS bigint) AS varchar) || CASE WHEN l_quantity = 50 AND l_discount > 0.095 THEN '000000' ELSE '' END AS raw_amount,
          cast(p_size % 7 AS bigint) AS decimals,
          CASE WHEN l_tax <> 0 THEN cast(l_extendedprice * (1 - l_discount) AS decimal(18,4)) END AS usd
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
