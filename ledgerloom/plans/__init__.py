@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("swaps", "pricing", "registry_joins", "graphs")
+FAMILIES = ("swaps", "pricing", "registry_joins", "graphs", "series")
 
 
 def load() -> None:
