@@ -12,22 +12,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stretch_of(order: str, width: int):
-    return F.floor(F.col(order) / width).cast("bigint")
+def stretch_of(position: str, width: int):
+    return F.floor(F.col(position) / width).cast("bigint")
 
 
 def previous_in_order(
-    df: DataFrame, keys: Sequence[str], order: str, carried: Sequence[str], width: int, step: str = "step"
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], carried: Sequence[str], width: int, step: str = "step"
 ) -> DataFrame:
     """Per row: its 1-based position in the key's order, and the `carried` columns of the row before it.
 
-    `order` is an integer column, unique within a key. Adds `step` and `previous_<column>`.
+    `order` is unique within a key; its first column is the integer that is cut into stretches of `width`.
+    Adds `step` and `previous_<column>`.
     """
     keys = list(keys)
-    rows = df.withColumn("__s", stretch_of(order, width))
+    order = [order] if isinstance(order, str) else list(order)
+    rows = df.withColumn("__s", stretch_of(order[0], width))
     last_of = F.struct(*[F.col(c) for c in carried])
     stretches = rows.groupBy(*keys, "__s").agg(
-        F.count(F.lit(1)).alias("__n"), F.max_by(last_of, F.col(order)).alias("__last")
+        F.count(F.lit(1)).alias("__n"), F.max_by(last_of, F.struct(*order)).alias("__last")
     )
     across = Window.partitionBy(*keys).orderBy("__s")
     carry = stretches.select(
@@ -38,7 +40,7 @@ def previous_in_order(
         ).alias("__before"),
         F.lag("__last").over(across).alias("__carry"),
     )
-    inside = Window.partitionBy(*keys, "__s").orderBy(order)
+    inside = Window.partitionBy(*keys, "__s").orderBy(*order)
     out = (
         rows.withColumn("__rn", F.row_number().over(inside))
         .withColumn("__prev", F.lag(last_of).over(inside))
@@ -50,3 +52,15 @@ def previous_in_order(
         (F.col("__before") + F.col("__rn")).alias(step),
         *[F.col("__p")[c].alias(f"previous_{c}") for c in carried],
     )
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, width: int, name: str) -> DataFrame:
+    """Largest `value` up to and including each row of the key's order, NULLs left out."""
+    keys = list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    rows = df.withColumn("__s", stretch_of(order[0], width))
+    across = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, "__s").agg(F.max(value).alias("__m")).select(*keys, "__s", F.max("__m").over(across).alias("__carry"))
+    inside = Window.partitionBy(*keys, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("__here", F.max(value).over(inside)).join(carry, [*keys, "__s"])
+    return out.select(*df.columns, F.greatest("__here", "__carry").alias(name))

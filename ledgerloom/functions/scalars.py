@@ -44,9 +44,47 @@ def round_cents(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / F.lit(100.0)
 
 
+def let(value: Column, body) -> Column:
+    """Compute a value once and use it several times inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def six_digits(x: Column) -> Column:
-    """Six significant digits."""
-    return F.format_string("%.5e", x).cast("double")
+    """Six significant digits of the exact binary value; a true tie goes away from zero.
+
+    Formatting would round the shortest decimal text instead, which turns a value just below a tie upwards. So the
+    value is scaled by an exact power of ten, and where the scaled value looks like a tie the sign of the
+    multiplication's rounding error (Dekker's product) decides.
+    """
+    power = lambda n: F.pow(F.lit(10.0), F.greatest(F.lit(0), n))
+    split = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)
+
+    def below_tie(size, up, scaled):
+        def sign(s):
+            xl, ul = size - s["xh"], up - s["uh"]
+            return ((s["xh"] * s["uh"] - scaled) + s["xh"] * ul + xl * s["uh"]) + xl * ul < 0
+
+        return let(F.struct(split(size).alias("xh"), split(up).alias("uh")), sign)
+
+    def finish(s):
+        size, places, up, down, scaled = (s[n] for n in ("size", "places", "up", "down", "scaled"))
+        whole = F.floor(scaled).cast("double")
+        low = F.when(places >= 0, below_tie(size, up, scaled)).otherwise(size < (whole + 0.5) * down)
+        digits = F.when(scaled - whole == 0.5, F.when(low, whole).otherwise(whole + 1)).otherwise(F.floor(scaled + 0.5).cast("double"))
+        return F.when(places >= 0, digits / up).otherwise(digits * down)
+
+    def scale(s):
+        scaled = F.when(s["places"] >= 0, s["size"] * s["up"]).otherwise(s["size"] / s["down"])
+        return let(F.struct(s["size"].alias("size"), s["places"].alias("places"), s["up"].alias("up"), s["down"].alias("down"), scaled.alias("scaled")), finish)
+
+    def powers(s):
+        return let(F.struct(s["size"].alias("size"), s["places"].alias("places"), power(s["places"]).alias("up"), power(-s["places"]).alias("down")), scale)
+
+    size = F.abs(x)
+    places = (F.lit(5) - F.floor(F.log10(size))).cast("int")
+    rounded = let(F.struct(size.alias("size"), places.alias("places")), powers)
+    tiny = F.format_string("%.5e", x).cast("double")
+    return F.when(x == 0, F.lit(0.0)).when(size < 1e-17, tiny).when(x.isNotNull(), F.signum(x) * rounded)
 
 
 def token_cents(planck: Column, unit: Column) -> Column:
@@ -85,9 +123,14 @@ def hex_uint(hex_text: Column) -> Column:
     return F.conv(hex_text, 16, 10).cast("decimal(20,0)").cast("bigint")
 
 
+def swap_bytes(hex_text: Column) -> Column:
+    """Byte order reversed, on the hex text: reversing a binary value would treat it as UTF-8."""
+    return F.regexp_replace(F.reverse(hex_text), "(.)(.)", "$2$1")
+
+
 def hex_uint_le(hex_text: Column) -> Column:
     """Little-endian unsigned integer."""
-    return hex_uint(F.hex(F.reverse(F.unhex(hex_text))))
+    return hex_uint(swap_bytes(hex_text))
 
 
 def compound_apy(rate_ray: Column) -> Column:
@@ -175,3 +218,45 @@ def word_field(word: Column, low_bit: int, width: int) -> Column:
 def block_time(block: Column, b0: Column, t0: Column, b1: Column, t1: Column) -> Column:
     """Seconds at a block by the line through two timed blocks."""
     return t0 + (block - b0) * ((t1 - t0) / (b1 - b0))
+
+
+# Packed reserve configuration as (first bit, width).
+RESERVE_FIELDS = {
+    "ltv_bps": (0, 16),
+    "liquidation_threshold_bps": (16, 16),
+    "liquidation_bonus_bps": (32, 16),
+    "decimals": (48, 8),
+    "active": (56, 1),
+    "frozen": (57, 1),
+    "borrowing_enabled": (58, 1),
+    "paused": (60, 1),
+    "reserve_factor_bps": (64, 16),
+    "borrow_cap": (80, 36),
+    "supply_cap": (116, 36),
+    "protocol_fee_bps": (152, 16),
+    "category": (168, 8),
+}
+
+
+def reserve_configuration(word: Column) -> list[Column]:
+    """One column per field of a packed reserve configuration."""
+    return [
+        (word_field(word, low, width) == 1 if width == 1 else word_field(word, low, width)).alias(name)
+        for name, (low, width) in RESERVE_FIELDS.items()
+    ]
+
+
+def owner_kind(system: Column, label: Column, custody: str, proxy: str) -> Column:
+    """Whose account a row is: protocol, another chain, a custody label, a proxy label, or nobody known."""
+    text = F.lower(F.coalesce(label, F.lit("")))
+    return (
+        F.when(system == "pallet", "pallet")
+        .when(system.isin("sibling", "child", "sovereign"), "sovereign")
+        .when(text.rlike(custody), "custodial")
+        .when(text.rlike(proxy), "proxy")
+    )
+
+
+def canonical_json(**fields: Column) -> Column:
+    """Parameters as JSON with sorted keys; a NULL parameter is left out. The text is the identity."""
+    return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]))

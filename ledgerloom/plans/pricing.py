@@ -9,7 +9,7 @@ from ..operators import orders as O
 from ..operators import pricing as P
 from ..operators import ranking
 from ..sources import tables as T
-from .registry import query
+from .registry import query, six_sql
 
 PEGGED = ("Brand#1", "Brand#2")
 
@@ -175,8 +175,8 @@ def routed_value(spark, folder):
         cast(coalesce(sum(usd) FILTER (side = 'in'), 0) AS decimal(28,4)) AS su, cast(coalesce(sum(usd) FILTER (side = 'out'), 0) AS decimal(28,4)) AS ru,
         count(*) FILTER (side = 'in') AS legs_out, count(*) FILTER (side = 'out') AS legs_in, count(*) FILTER (amount IS NULL) AS unstated, count(usd) > 0 AS priced
       FROM legs GROUP BY ALL)
-    SELECT account, asset_id, cast(printf('%.5e', sent) AS double) AS sent, cast(printf('%.5e', received) AS double) AS received,
-      cast(printf('%.5e', received - sent) AS double) AS net,
+    SELECT account, asset_id, {six_sql("sent")} AS sent, {six_sql("received")} AS received,
+      {six_sql("received - sent")} AS net,
       CASE WHEN priced THEN floor(cast(su AS double) * 100 + 0.5) / 100 END AS sent_usd,
       CASE WHEN priced THEN floor(cast(ru AS double) * 100 + 0.5) / 100 END AS received_usd,
       CASE WHEN priced THEN floor(cast(ru - su AS double) * 100 + 0.5) / 100 END AS net_usd, legs_out, legs_in, unstated, priced

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import axis, ranking, swaps
 from ..sources import tables as T
-from .registry import query
+from .registry import query, six_sql
 
 # Two orders of one sample give the lower and the upper middle value.
 MEAN_MEDIAN = "(quantile_disc({0}, 0.5) + percentile_disc(0.5) WITHIN GROUP (ORDER BY {0} DESC)) / 2"
@@ -57,11 +57,11 @@ DAY_LISTS_SQL = """
 @query(
     "a02_day_summary",
     f"""WITH {T.TRADES_SQL}, {DAY_LISTS_SQL}
-    SELECT date, trades, cast(legs AS bigint) AS legs, cast(printf('%.5e', legs / trades) AS double) AS leg_inflation,
+    SELECT date, trades, cast(legs AS bigint) AS legs, {six_sql("legs / trades")} AS leg_inflation,
       floor(cast(usd AS double) * 100 + 0.5) / 100 AS usd, unpriced, accounts, pallet_trades,
       floor(cast(pallet_usd AS double) * 100 + 0.5) / 100 AS pallet_usd,
-      CASE WHEN usd > 0 THEN cast(printf('%.5e', cast(four AS double) / cast(usd AS double) * 100) AS double) END AS top_four_share,
-      CASE WHEN usd > 0 THEN cast(printf('%.5e', cast(ten AS double) / cast(usd AS double) * 100) AS double) END AS top_ten_share,
+      CASE WHEN usd > 0 THEN {six_sql("cast(four AS double) / cast(usd AS double) * 100")} END AS top_four_share,
+      CASE WHEN usd > 0 THEN {six_sql("cast(ten AS double) / cast(usd AS double) * 100")} END AS top_ten_share,
       routes_total, venues
     FROM d JOIN top USING (date) JOIN vt USING (date)""",
 )
