@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import upper_median
+from ..session import settle
 from .ranking import top_k, top_per_group, with_totals
 
 RAW = "decimal(38,0)"
@@ -125,6 +126,7 @@ def archive_pairs(mine: DataFrame, archived: DataFrame, keys: Sequence[str]) ->
 
 def archive_scores(pairs: DataFrame, day: str, quantum: float, tolerance: float = 0.0001) -> DataFrame:
     """Pairs, upper-median and largest deviation, with the final day scored apart."""
+    pairs = settle(pairs.select(day, "deviation", "gap"), "archive-pairs")
     final = pairs.agg(F.max(day).alias("final_day"))
     scored = with_totals(pairs, final).withColumn("part", F.when(F.col(day) == F.col("final_day"), "tail").otherwise("body"))
     med = upper_median(scored, ["part"], "deviation", "median").drop("n")

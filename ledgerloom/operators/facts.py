@@ -53,7 +53,7 @@ def put_facts(new: DataFrame, path: str) -> None:
     order = [F.desc("stored_at"), F.desc("code_version"), F.desc_nulls_last("head")]
     kept = keep_one(rows, KEY, order)
     (
-        kept.repartition(*PARTITIONS)
+        kept.hint("rebalance", *PARTITIONS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)

@@ -14,7 +14,7 @@ ARGS = "struct<from:string,to:string,amount:string,assetId:string>"
 
 def account_hex(x: Column) -> Column:
     """Lower-case account without prefix, NULL when it is not 32 bytes of hex."""
-    return F.when(x.rlike(ACCOUNT), F.regexp_replace(F.lower(x), "^0x", ""))
+    return F.when(x.rlike(ACCOUNT), F.lower(F.right(x, F.lit(64))))
 
 
 def asset_key(name: Column, asset_id: Column) -> Column:
@@ -34,12 +34,12 @@ def decode_transfers(blocks: DataFrame, event_names: list[str]) -> DataFrame:
     Arguments must be a named object: a positional list is an error, not a guess. Rows without two well-formed
     accounts and an amount are no transfers.
     """
-    events = blocks.select("number", "timestamp", F.explode("events").alias("e")).filter(F.col("e.name").isin(event_names))
-    raw = F.ltrim("e.args")
-    args = F.when(F.startswith(raw, F.lit("[")), F.raise_error(F.lit("event arguments are positional"))).otherwise(
-        F.from_json("e.args", ARGS)
+    events = blocks.select("number", "timestamp", F.inline("events")).filter(F.col("name").isin(event_names))
+    args = F.when(F.startswith(F.ltrim("args"), F.lit("[")), F.raise_error(F.lit("event arguments are positional"))).otherwise(
+        F.from_json("args", ARGS)
     )
-    decoded = events.select("number", "timestamp", F.col("e.name").alias("event"), args.alias("a"))
+    # The one-element explode keeps the filters below from parsing the JSON a second time.
+    decoded = events.select("number", "timestamp", F.col("name").alias("event"), F.explode(F.array(args)).alias("a"))
     sender, receiver = account_hex(F.col("a.from")), account_hex(F.col("a.to"))
     return decoded.filter(sender.isNotNull() & receiver.isNotNull() & F.col("a.amount").isNotNull()).select(
         F.col("number").alias("block"),

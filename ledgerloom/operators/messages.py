@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import nearest_rank, upper_median
+from ..session import settle
 from .ranking import top_k, with_totals
 
 
@@ -25,6 +26,7 @@ def whole_day_window(df: DataFrame, day: str, days: int) -> DataFrame:
 
 def window_summary(messages: DataFrame) -> DataFrame:
     """One row over a window of messages; latencies of matched messages only."""
+    messages = settle(messages.select("outcome", "match_status", "latency"), "message-window")
     middle = upper_median(messages, [], "latency", "median_latency").select("median_latency")
     high = nearest_rank(messages, [], "latency", 0.95, "p95_latency").select("p95_latency")
     done = F.col("outcome") == "Success"

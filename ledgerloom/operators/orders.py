@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.ordered import previous_in_order
 from ..functions.quantiles import upper_median
+from ..session import settle
 from .ranking import with_totals
 from .swaps import ranked_text
 
@@ -65,6 +66,7 @@ def drill_rows(orders: DataFrame, fills: DataFrame) -> DataFrame:
 
 def page_summary(rows: DataFrame) -> DataFrame:
     """One row over a page of orders; the latency median is the upper middle one."""
+    rows = settle(rows.select("usd", "fee_usd", "trader", "filler", "status", "latency"), "order-page")
     median = upper_median(rows, [], "latency", "median_latency").select("median_latency")
     totals = rows.agg(
         F.count(F.lit(1)).alias("rows"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import middles
+from ..session import settle
 from .graph import mode_of
 from .ranking import with_totals
 
@@ -34,6 +35,7 @@ def flag_outliers(rows: DataFrame, ceiling: float, support: int = 5) -> DataFram
     rows(symbol, digits, decimals, usd): decimals other than the symbol's usual ones, then detached magnitude,
     then a value above the ceiling.
     """
+    rows = settle(rows, "outlier-rows")
     histogram = rows.groupBy("symbol", "digits").agg(F.count(F.lit(1)).alias("n"))
     profile = outlier_cuts(histogram, "symbol", "digits", "n", support=support).join(
         mode_of(rows, "symbol", "decimals").select("symbol", F.col("mode").alias("usual_decimals")), "symbol", "left"

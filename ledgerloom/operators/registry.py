@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.quantiles import middles
+from ..session import settle
 from .ranking import top_k
 
 
@@ -223,6 +224,7 @@ def hub_prices(pools: DataFrame, at: str) -> DataFrame:
     pools(at, asset, reserve, hub_reserve, oracle). The hub price is the mean-of-middles median over the assets
     an oracle prices; the spread between those anchors is kept.
     """
+    pools = settle(pools, "hub-pools")
     anchored = F.col("oracle").isNotNull() & (F.col("reserve") != 0) & (F.col("hub_reserve") != 0)
     anchors = pools.filter(anchored).select(at, (F.col("reserve") * F.col("oracle") / F.col("hub_reserve")).alias("hub"))
     med = middles(anchors, [at], "hub").select(at, "n", ((F.col("lower") + F.col("upper")) / 2).alias("hub_usd"))

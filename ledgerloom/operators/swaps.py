@@ -101,20 +101,29 @@ def ranked_text(totals: DataFrame, owner: str, label: str, value: str, text: Col
 
 def account_rollup(trades: DataFrame) -> DataFrame:
     """One row per account, with its six largest venues and busiest routes in words."""
-    routed = with_route(trades)
-    base = trades.groupBy("account").agg(
+    # One pass down to (account, id, venue, route); everything else folds that smaller frame.
+    fine = with_route(trades).groupBy("account", "account_id", "venue", "route").agg(
         S.sum_or_zero(F.col("usd")).alias("usd"),
         F.count(F.lit(1)).alias("count"),
         F.count_if("failed").alias("failed"),
         F.min("date").alias("first"),
         F.max("date").alias("last"),
+    )
+    fine = settle(fine, "account-rollup")
+    base = fine.groupBy("account").agg(
+        F.sum("usd").alias("usd"),
+        F.sum("count").alias("count"),
+        F.sum("failed").alias("failed"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
         F.countDistinct("account_id").alias("account_ids"),
         F.max("account_id").alias("__id"),
     )
+    per = lambda key: fine.groupBy("account", key).agg(F.sum("usd").alias("usd"), F.sum("count").alias("count"))
     whole = F.format_number(F.floor(S.dbl(F.col("usd")) + 0.5), 0)
-    venues = ranked_text(volume(trades, "account", "venue"), "account", "venue", "usd", whole, 6, "venues")
+    venues = ranked_text(per("venue"), "account", "venue", "usd", whole, 6, "venues")
     by_count = F.col("count").cast("string")
-    routes = ranked_text(volume(routed, "account", "route"), "account", "route", "count", by_count, 6, "routes")
+    routes = ranked_text(per("route"), "account", "route", "count", by_count, 6, "routes")
     return (
         base.join(venues, "account", "left")
         .join(routes, "account", "left")
@@ -228,10 +237,12 @@ def rate_board(trades: DataFrame, tie: str = "id", window: int = 25, limit: int
     # The latest rates of both kinds are kept first; which kind counts is decided per route afterwards.
     latest = top_per_group(rated, ["route", "failed"], [F.desc("date"), F.desc(tie)], window)
     basis = latest.join(counts, "route").filter(~F.col("failed") | (F.col("settled_observations") == 0))
+    basis = settle(basis, "rate-basis")
     med = middles(basis, ["route"], "rate").select(
         "route", F.col("n").alias("window"), ((F.col("lower") + F.col("upper")) / 2).alias("median")
     )
     last = basis.groupBy("route").agg(F.max_by("rate", F.struct("date", tie)).alias("latest"), F.max("date").alias("latest_at"))
+    counts = basis.groupBy("route").agg(F.max("observations").alias("observations"), F.max("settled_observations").alias("settled_observations"))
     board = counts.join(med, "route").join(last, "route").withColumn(
         "drift", F.when(F.col("median") > 0, (F.col("latest") - F.col("median")) / F.col("median") * 100)
     )

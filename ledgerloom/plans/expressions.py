@@ -28,19 +28,26 @@ def scaled_amounts(spark, folder):
     return T.table(spark, folder, "part").select("p_partkey", S.scale_amount(F.col("p_retailprice") * 100, decimals).alias("amount"))
 
 
+@query("f03_cents", f"SELECT {T.LINE_KEY_SQL} AS id, floor((l_extendedprice / 8 - 5000) * 100 + 0.5) / 100 AS cents FROM lineitem")
+def cents(spark, folder):
+    value = S.round_cents(F.col("l_extendedprice") / 8 - 5000)
+    return T.table(spark, folder, "lineitem").select(T.line_key().alias("id"), value.alias("cents"))
+
+
+@query("f04_six_digits", f"SELECT {T.LINE_KEY_SQL} AS id, {six_sql('l_extendedprice * l_discount')} AS six FROM lineitem")
+def six_digits(spark, folder):
+    value = S.six_digits(F.col("l_extendedprice") * F.col("l_discount"))
+    return T.table(spark, folder, "lineitem").select(T.line_key().alias("id"), value.alias("six"))
+
+
 @query(
-    "f03_rounding",
-    f"""SELECT {T.LINE_KEY_SQL} AS id, floor((l_extendedprice / 8 - 5000) * 100 + 0.5) / 100 AS cents, {six_sql("l_extendedprice * l_discount")} AS six,
-      cast(floor((cast(round(l_extendedprice * 100) AS hugeint) * 200 + 700) / 1400) AS double) / 100 AS token FROM lineitem""",
+    "f05_token_cents",
+    f"SELECT {T.LINE_KEY_SQL} AS id, cast(floor((cast(round(l_extendedprice * 100) AS hugeint) * 200 + 700) / 1400) AS double) / 100 AS token FROM lineitem",
 )
-def rounding(spark, folder):
+def token_cents(spark, folder):
     planck = F.round(F.col("l_extendedprice") * 100).cast("decimal(20,0)")
-    return T.table(spark, folder, "lineitem").select(
-        T.line_key().alias("id"),
-        S.round_cents(F.col("l_extendedprice") / 8 - 5000).alias("cents"),
-        S.six_digits(F.col("l_extendedprice") * F.col("l_discount")).alias("six"),
-        S.token_cents(planck, F.lit(700).cast("decimal(10,0)")).alias("token"),
-    )
+    value = S.token_cents(planck, F.lit(700).cast("decimal(10,0)"))
+    return T.table(spark, folder, "lineitem").select(T.line_key().alias("id"), value.alias("token"))
 
 
 @query(
@@ -107,19 +114,25 @@ def little_endian(spark, folder):
 
 @query(
     "f12_ratios",
-    f"""SELECT {T.LINE_KEY_SQL} AS id, CASE WHEN l_discount <> 0 THEN (l_tax - l_discount) / l_discount * 10000 END AS gap_bps, CASE WHEN l_tax <> 0 THEN (l_discount - l_tax) / l_tax * 100 END AS diff_pct,
-      l_quantity / 10000.0::double AS permill, l_quantity / 10000000.0::double AS perbill FROM lineitem""",
+    f"""SELECT {T.LINE_KEY_SQL} AS id, CASE WHEN l_discount <> 0 THEN (l_tax - l_discount) / l_discount * 10000 END AS gap_bps, CASE WHEN l_tax <> 0 THEN (l_discount - l_tax) / l_tax * 100 END AS diff_pct FROM lineitem""",
 )
 def ratios(spark, folder):
     return T.table(spark, folder, "lineitem").select(
         T.line_key().alias("id"),
         S.gap_bps(F.col("l_tax"), F.col("l_discount")).alias("gap_bps"),
         S.percent_diff(F.col("l_discount"), F.col("l_tax")).alias("diff_pct"),
-        S.permill(F.col("l_quantity")).alias("permill"),
-        S.perbill(F.col("l_quantity")).alias("perbill"),
     )
 
 
+@query(
+    "f13_fractions",
+    "SELECT l_orderkey, max(l_quantity / 10000.0::double) AS permill, max(l_quantity / 10000000.0::double) AS perbill FROM lineitem GROUP BY l_orderkey",
+)
+def fractions(spark, folder):
+    parts = [F.max(S.permill(F.col("l_quantity"))).alias("permill"), F.max(S.perbill(F.col("l_quantity"))).alias("perbill")]
+    return T.table(spark, folder, "lineitem").groupBy("l_orderkey").agg(*parts)
+
+
 @query(
     "f14_block_times",
     """WITH e AS (SELECT min(event_id) AS b0, max(event_id) AS b1, epoch_us(min(ts)) // 1000000 AS t0, epoch_us(max(ts)) // 1000000 AS t1 FROM events)

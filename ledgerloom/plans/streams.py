@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import facts as K
 from ..operators import quality as Q
-from ..session import fresh_path
+from ..session import fresh_path, prepare
 from ..sources import tables as T
 from ..streaming import rollup as R
 from .registry import query
@@ -72,11 +72,11 @@ MEASURES = lambda: {"rows": F.count(F.lit(1)), "value": F.sum(S.money(F.col("val
 
 @query(
     "r01_settled_days",
-    """SELECT cast(ts AS date) AS day, event_type, count(*) AS rows, cast(sum(cast(value AS decimal(18,4))) AS double) AS value FROM events
-    GROUP BY ALL HAVING cast(ts AS date) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+    """WITH d AS (SELECT cast(ts AS date) AS day, event_type, count(*) AS rows, cast(sum(cast(value AS decimal(18,4))) AS double) AS total FROM events GROUP BY 1, 2)
+    SELECT day, event_type, rows, total AS value FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
 )
 def settled_days(spark, folder):
-    T.use_utc(spark)
+    prepare(spark)
     out = fresh_path(spark, "settled-days")
     days = R.settled_days(event_stream(spark, f"{folder}/events.parquet"), "at", "2 hours", ["event_type"], MEASURES())
     R.drain(days, R.replace_partitions(out, "day"), fresh_path(spark, "cursor"))
@@ -178,7 +178,7 @@ def completed_months(spark, folder):
 
 @query("r08_streamed_heads", "SELECT event_type, epoch_us(max(ts)) AS head_us, count(*) AS rows FROM events GROUP BY event_type")
 def streamed_heads(spark, folder):
-    T.use_utc(spark)
+    prepare(spark)
     out = fresh_path(spark, "heads")
     heads = R.newest_per_source(event_stream(spark, f"{folder}/events.parquet"), "event_type", "at")
     R.drain(heads, lambda batch, _: batch.write.mode("overwrite").parquet(out), fresh_path(spark, "cursor"), "complete")
@@ -192,7 +192,7 @@ def streamed_heads(spark, folder):
 )
 def order_life_cycle(spark, folder):
     """Placed and filled as two streams. The tables land unordered, so the delay spans their whole history."""
-    T.use_utc(spark)
+    prepare(spark)
     out = fresh_path(spark, "life-cycle")
     placed = R.read_landing(spark, f"{folder}/orders.parquet").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("placed_at")

@@ -13,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -26,10 +27,15 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Every day boundary in this package is a UTC day."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+# What results and hot keys depend on, also in a session this package did not build: every day boundary is a
+# UTC day, and a join with a hot key is split even when a grouping on the same key follows it.
+NEEDED = ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin")
+
+
+def prepare(spark: SparkSession) -> None:
+    for key in NEEDED:
+        if spark.conf.get(key, None) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,7 +55,8 @@ def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     Cuts the lineage of iterative work and lets several branches share one computation. The copy is
-    columnar, so later branches still prune columns, and it outlives a lost executor.
+    columnar, so later branches still prune columns, and it outlives a lost executor. Files stay under
+    `<shared folder>/ledgerloom` until the folder's owner removes them.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)

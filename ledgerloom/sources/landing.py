@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import use_utc
+from ..session import prepare
 
 BALANCE_SCHEMA = "address string, block_number bigint, balance decimal(38,0), timestamp string"
 BLOCK_SCHEMA = (
@@ -17,7 +17,7 @@ BLOCK_SCHEMA = (
 def read_balances(spark: SparkSession, path: str) -> DataFrame:
     """Balance observations; the header must carry the schema's names. The day is the timestamp's first ten characters,
     because precisions differ from row to row."""
-    use_utc(spark)
+    prepare(spark)
     rows = (
         spark.read.schema(BALANCE_SCHEMA)
         .option("header", True)

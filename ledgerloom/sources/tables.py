@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import use_utc
+from ..session import prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    use_utc(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -28,13 +28,13 @@ def line_key() -> Column:
         "l_suppkey",
         F.round(F.col("l_quantity") * 100).cast("bigint"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-        F.date_format("l_shipdate", "yyyyMMdd"),
+        F.unix_date(F.to_date("l_shipdate")),
     )
 
 
 LINE_KEY_SQL = (
     "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_quantity * 100) as bigint), "
-    "cast(round(l_extendedprice * 100) as bigint), strftime(l_shipdate, '%Y%m%d'))"
+    "cast(round(l_extendedprice * 100) as bigint), date_diff('day', DATE '1970-01-01', cast(l_shipdate AS date)))"
 )
 
 

@@ -38,7 +38,7 @@ def replace_partitions(path: str, *partition_by: str) -> Callable[[DataFrame, in
 
     def write(batch: DataFrame, _: int) -> None:
         (
-            batch.repartition(*partition_by)
+            batch.hint("rebalance", *partition_by)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*partition_by)
