@@ -68,16 +68,18 @@ def capital_by_venue(positions: DataFrame, snapshot: str) -> DataFrame:
 
 
 def capital_by_asset(positions: DataFrame, snapshot: str) -> DataFrame:
-    """Per base asset, receipts left out and what is borrowed against it taken off."""
+    """Per base asset, receipts left out and what is borrowed against it taken off; `net_amount` NULL means all of it."""
     usd = F.col("usd")
     rows = positions.filter(~F.col("derived")).groupBy(snapshot, "asset").agg(
         S.sum_or_zero(usd - F.coalesce("borrowed_usd", F.lit(0))).alias("net"),
         S.sum_or_zero(usd).alias("gross"),
-        S.sum_or_zero(F.when(usd.isNotNull(), F.col("amount").cast("decimal(28,6)"))).alias("amount"),
+        S.sum_or_zero(F.when(usd.isNotNull(), F.coalesce("net_amount", "amount").cast("decimal(28,6)"))).alias("net_amount"),
+        S.sum_or_zero(F.when(usd.isNotNull(), F.col("amount").cast("decimal(28,6)"))).alias("gross_amount"),
         F.count_if(usd.isNull()).alias("unpriced"),
         F.countDistinct("venue").alias("venues"),
     )
-    return rows.withColumn("net", S.dbl(F.col("net"))).withColumn("gross", S.dbl(F.col("gross"))).withColumn("amount", S.dbl(F.col("amount")))
+    sums = ("net", "gross", "net_amount", "gross_amount")
+    return rows.select(snapshot, "asset", *[S.dbl(F.col(c)).alias(c) for c in sums], "unpriced", "venues")
 
 
 def pool_checks(pools: DataFrame, legs: DataFrame) -> DataFrame:

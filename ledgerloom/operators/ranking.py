@@ -17,7 +17,8 @@ def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Append the columns of a one-row frame, computed before any trim, to every row."""
     names = totals.columns
     one = totals.select(F.struct(*names).alias("t")).scalar()
-    return df.withColumn("__t", one).select(*df.columns, *[F.col(f"__t.{n}").alias(n) for n in names])
+    # One projection: a second one on top of a sort and a limit would turn the top-k into a full sort.
+    return df.select(*df.columns, *[one[n].alias(n) for n in names])
 
 
 def top_per_group(

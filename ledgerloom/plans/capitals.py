@@ -22,6 +22,7 @@ def positions(spark, folder):
         F.col("l_returnflag").alias("venue"),
         F.col("p_brand").alias("asset"),
         F.col("l_quantity").alias("amount"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_quantity") - 1).alias("net_amount"),
         usd.alias("usd"),
         borrowed.alias("borrowed_usd"),
         (F.col("p_type") == "PROMO").alias("derived"),
@@ -30,7 +31,7 @@ def positions(spark, folder):
 
 
 POSITIONS_SQL = f"""
-positions AS (SELECT {MONTH} AS snapshot, l_returnflag AS venue, p_brand AS asset, l_quantity AS amount,
+positions AS (SELECT {MONTH} AS snapshot, l_returnflag AS venue, p_brand AS asset, l_quantity AS amount, CASE WHEN l_linestatus = 'O' THEN l_quantity - 1 END AS net_amount,
     CASE WHEN l_tax <> 0 THEN cast(l_extendedprice * (1 - l_discount) AS decimal(18,4)) END AS usd,
     CASE WHEN l_linestatus = 'O' THEN cast(l_extendedprice * l_discount AS decimal(18,4)) END AS borrowed_usd, p_type = 'PROMO' AS derived, p_type AS path
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
@@ -49,7 +50,7 @@ def capital_by_venue(spark, folder):
 
 @query(
     "a23_capital_by_asset",
-    f"""WITH {POSITIONS_SQL} SELECT snapshot, asset, {D("coalesce(sum(usd - coalesce(borrowed_usd, 0)), 0)")} AS net, {D("coalesce(sum(usd), 0)")} AS gross, coalesce(sum(amount) FILTER (usd IS NOT NULL), 0) AS amount,
+    f"""WITH {POSITIONS_SQL} SELECT snapshot, asset, {D("coalesce(sum(usd - coalesce(borrowed_usd, 0)), 0)")} AS net, {D("coalesce(sum(usd), 0)")} AS gross, coalesce(sum(coalesce(net_amount, amount)) FILTER (usd IS NOT NULL), 0) AS net_amount, coalesce(sum(amount) FILTER (usd IS NOT NULL), 0) AS gross_amount,
       count(*) FILTER (usd IS NULL) AS unpriced, count(DISTINCT venue) AS venues FROM positions WHERE NOT derived GROUP BY ALL""",
 )
 def capital_by_asset(spark, folder):
