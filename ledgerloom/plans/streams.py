@@ -80,7 +80,7 @@ def settled_days(spark, folder):
     out = fresh_path(spark, "settled-days")
     days = R.settled_days(event_stream(spark, f"{folder}/events.parquet"), "at", "2 hours", ["event_type"], MEASURES())
     R.drain(days, R.replace_partitions(out, "day"), fresh_path(spark, "cursor"))
-    return spark.read.parquet(out).select(F.col("day").cast("date").alias("day"), "event_type", "rows", S.dbl(F.col("value")).alias("value"))
+    return spark.read.schema("event_type string, rows long, value decimal(28,4), day date").parquet(out).select("day", "event_type", "rows", S.dbl(F.col("value")).alias("value"))
 
 
 @query(
@@ -105,10 +105,10 @@ def late_rows(spark, folder):
     look()
     run()
     expected = events.filter("event_type <> 'error'").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("expected"))
-    kept = spark.read.parquet(out).select(F.col("day").cast("date").alias("day"), "rows")
+    kept = spark.read.schema("rows long, day date").parquet(out)
     unchanged = kept.join(expected, "day").select("day", (F.col("rows") == F.col("expected")).alias("day_unchanged"))
     return (
-        spark.read.parquet(late)
+        spark.read.schema("event_id long, at timestamp, batch int").parquet(late)
         .groupBy(F.to_date("at").alias("day"))
         .agg(F.count(F.lit(1)).alias("late_rows"), F.min("event_id").alias("first_event"))
         .join(unchanged, "day")
@@ -173,7 +173,7 @@ def completed_months(spark, folder):
     for part in (daily.filter(F.col("day") < middle), daily.filter(F.col("day") >= middle)):
         part.coalesce(4).write.mode("append").parquet(landing)
         R.drain(R.read_landing(spark, landing), R.month_sink(days, months), cursor)
-    return spark.read.parquet(months).select(F.col("month").cast("string").alias("month"), "days", "trades")
+    return spark.read.schema("days long, trades long, month string").parquet(months).select("month", "days", "trades")
 
 
 @query("r08_streamed_heads", "SELECT event_type, epoch_us(max(ts)) AS head_us, count(*) AS rows FROM events GROUP BY event_type")
