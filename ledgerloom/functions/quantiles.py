@@ -35,8 +35,10 @@ def exact_ranks(
     if keys:
         marked = rows.join(rows.groupBy(*keys).agg(*sketch), keys)
     else:
-        bounds = rows.agg(*sketch).select(F.struct("n", "__edge").alias("b"))
-        marked = rows.withColumn("__b", bounds.scalar()).select(value, "__v", "__b.n", "__b.__edge")
+        # One row: the number of values and the edges of the bracket.
+        whole = rows.agg(*sketch).first()
+        known = F.lit(None) if whole["__edge"] is None else F.array(*[F.lit(e) for e in whole["__edge"]])
+        marked = rows.withColumn("n", F.lit(whole["n"]).cast("bigint")).withColumn("__edge", known.cast("array<double>"))
 
     v, edge = F.col("__v"), F.col("__edge")
     inside = v >= edge[0]

@@ -83,7 +83,7 @@ def clipped_peaks(obs: DataFrame, key: str = "address") -> DataFrame:
 
 def close_of_day(blocks: DataFrame, chain: str, day: str, height: str, at: str) -> DataFrame:
     """The last block inside each UTC day; a day without a block is absent."""
-    return blocks.groupBy(chain, day).agg(F.max_by(F.struct(height, at), height).alias("c")).select(chain, day, f"c.{height}", f"c.{at}")
+    return blocks.groupBy(chain, day).agg(F.max(height).alias(height), F.max_by(at, height).alias(at))
 
 
 def day_ranges(blocks: DataFrame, chain: str, day: str, height: str) -> DataFrame:

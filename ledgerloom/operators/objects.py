@@ -111,13 +111,15 @@ def rollups(objects: DataFrame, facets: list[str]) -> DataFrame:
     pairs = [F.struct(F.lit("all").alias("facet"), F.lit("").alias("value"))] + [
         F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in facets
     ]
-    rows = objects.select("block", "size", "hash", F.explode(F.array(*pairs)).alias("p"))
+    rows = objects.select("block", "size", F.explode(F.array(*pairs)).alias("p"))
+    # One number that orders by size and then by the earlier block: a struct would force a sort.
+    largest = F.col("size").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") - F.col("block")
     return rows.groupBy("p.facet", "p.value").agg(
         F.count(F.lit(1)).alias("objects"),
         F.sum("size").alias("bytes"),
         (F.sum("size") / F.count(F.lit(1))).alias("mean_size"),
         F.max("size").alias("largest"),
-        F.min_by("block", F.struct(-F.col("size"), "block")).alias("largest_block"),
+        F.max_by("block", largest).alias("largest_block"),
     )
 
 

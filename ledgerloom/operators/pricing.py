@@ -84,9 +84,7 @@ def normalise_routed(legs: DataFrame) -> DataFrame:
     at = F.struct("leg", "leg_key")
     sent, got = F.col("side") == "in", F.col("side") == "out"
     leg = F.struct("asset_id", "amount")
-    folded = legs.groupBy("order_id").agg(
-        F.min("account").alias("account"),
-        F.min("operation").alias("operation"),
+    folded = legs.groupBy("order_id", "account", "operation").agg(
         F.count_if(sent).alias("inputs"),
         F.count_if(got).alias("outputs"),
         F.min_by(F.when(sent, leg), F.when(sent, at)).alias("first_in"),
@@ -124,12 +122,10 @@ def routed_quality(normalised: DataFrame) -> DataFrame:
 def normalise_orders(legs: DataFrame) -> DataFrame:
     """Orders as trades: dollars of the priced input legs only, unknown when none is priced."""
     sent = F.col("side") == "in"
-    return legs.groupBy("order_id").agg(
-        F.min("account").alias("account"),
-        F.min("status").alias("status"),
+    # What an order has once is a grouping key: text in an aggregate's buffer would force a sort.
+    return legs.groupBy("order_id", "account", "status", "partner_hex").agg(
         F.sum(F.when(sent, F.col("usd"))).alias("usd"),
         F.count_if(sent & F.col("usd").isNull()).alias("unpriced_legs"),
-        F.min("partner_hex").alias("partner_hex"),
     ).select(
         "order_id",
         "account",

@@ -75,7 +75,7 @@ def truncation(grid: DataFrame, day: str, cap: int, requested_to: str | None) ->
 
 def partial_tail(grid: DataFrame, day: str, entities: str, before: int = 7) -> DataFrame:
     """Is the last day thinner than the median of the days just before it? Works on the daily frame."""
-    recent = grid.select(day, entities).orderBy(F.desc(day)).limit(before + 1)
+    recent = settle(grid.select(day, entities).orderBy(F.desc(day)).limit(before + 1), "tail-days")
     last = recent.agg(F.max(day).alias("last_day"), F.max_by(entities, day).alias("last_count"))
     earlier = with_totals(recent, last).filter(F.col(day) < F.col("last_day"))
     med = middles(earlier, [], entities).select(((F.col("lower") + F.col("upper")) / 2).alias("typical"))

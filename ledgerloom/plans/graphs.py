@@ -304,12 +304,15 @@ def sale_cycles(spark, folder):
       count(*) FILTER (o_orderstatus = 'F') / count(*) * 100 AS percent_staked FROM orders GROUP BY ALL""",
 )
 def monthly_balances(spark, folder):
+    filled = F.count_if(F.col("o_orderstatus") == "F")
+    closing = [F.max_by("o_totalprice", "o_orderkey").alias("close"), F.count(F.lit(1)).alias("n"), filled.alias("f")]
+    days = M.rollup_by_period(T.table(spark, folder, "orders"), F.to_date("o_orderdate"), [], closing).withColumnRenamed("period", "day")
     measures = [
-        F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("balance"),
-        F.max(F.to_date("o_orderdate")).alias("as_of"),
-        (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1)) * 100).alias("percent_staked"),
+        F.max_by("close", "day").alias("balance"),
+        F.max("day").alias("as_of"),
+        (F.sum("f") / F.sum("n") * 100).alias("percent_staked"),
     ]
-    return M.rollup_by_period(T.table(spark, folder, "orders"), F.date_format("o_orderdate", "yyyy-MM"), [], measures)
+    return M.rollup_by_period(days, F.date_format("day", "yyyy-MM"), [], measures)
 
 
 CEILING = 95_000.0

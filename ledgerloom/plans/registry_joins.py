@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import registry as R
+from ..session import settle
 from ..sources import tables as T
 from .registry import query
 
@@ -188,7 +189,7 @@ def valued_totals(spark, folder):
     FROM valued v WHERE v.usd IS NULL""",
 )
 def namesakes(spark, folder):
-    valued = R.price_by_location(*located_assets(spark, folder)).select("id", "symbol", "usd")
+    valued = settle(R.price_by_location(*located_assets(spark, folder)).select("id", "symbol", "usd"), "valued")
     return R.namesakes(valued, valued)
 
 

@@ -66,8 +66,8 @@ def test_flows_of_unknown_price_have_no_dollars(spark):
 
 def test_registry_before_indexer_and_shared_symbols(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id int")
-    indexer = spark.createDataFrame([(1, 11, "DOT", 10), (2, 12, "USDT", 6), (3, None, "USDT", 6)], "id int, registry_id int, symbol string, decimals int")
-    registry = spark.createDataFrame([(11, "DOT", 12)], "registry_id int, symbol string, decimals int")
+    indexer = spark.createDataFrame([(1, 11, "AAA", 10), (2, 12, "USDT", 6), (3, None, "USDT", 6)], "id int, registry_id int, symbol string, decimals int")
+    registry = spark.createDataFrame([(11, "AAA", 12)], "registry_id int, symbol string, decimals int")
     out = {r.id: r for r in R.label_symbols(R.resolve_meaning(ids, indexer, registry)).collect()}
     assert (out[1].decimals, out[1].disagree, out[1].borrowed) == (12, True, False)
     assert (out[2].label, out[3].label, out[2].borrowed) == ("USDT·12", "USDT·3", True)

@@ -13,7 +13,7 @@ DAY = dt.date(2026, 7, 1)
 
 
 def trades(spark, rows):
-    base = dict(account_id=None, date=DAY, venue="Omnipool", status=None, failed=False, token_in="USDT", token_out="DOT", amount_in=1.0, amount_out=1.0, hops=2, is_pallet=False)
+    base = dict(account_id=None, date=DAY, venue="PoolA", status=None, failed=False, token_in="USDT", token_out="AAA", amount_in=1.0, amount_out=1.0, hops=2, is_pallet=False)
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     full = [{**base, "id": str(i), "account": f"a{i}", **r} for i, r in enumerate(rows)]
     from decimal import Decimal
@@ -29,10 +29,10 @@ def test_unpriced_trades_count_but_add_nothing(spark):
 
 
 def test_day_lists_and_shares(spark):
-    rows = [{"usd": 400, "venue": "DCA", "is_pallet": True, "token_in": "DOT", "token_out": "USDT"}] + [{"usd": u} for u in (300, 200, 100, 50)]
+    rows = [{"usd": 400, "venue": "PoolB", "is_pallet": True, "token_in": "AAA", "token_out": "USDT"}] + [{"usd": u} for u in (300, 200, 100, 50)]
     row = swaps.day_summary(trades(spark, rows)).collect()[0]
     assert (row.usd, row.accounts, row.pallet_trades, row.pallet_usd) == (1050.0, 5, 1, 400.0)
-    assert row.venues == "Omnipool 650.00 / DCA 400.00"
+    assert row.venues == "PoolA 650.00 / PoolB 400.00"
     assert (row.routes_total, row.top_four_share, row.top_ten_share) == (2, 95.2381, 100.0)
     sides = {r.symbol: (float(r.usd), r.trades_in, r.trades_out) for r in swaps.asset_sides(trades(spark, rows)).collect()}
     assert sides["USDT"] == (650.0, 4, 1)
