@@ -13,8 +13,8 @@ ARGS = "struct<from:string,to:string,amount:string,assetId:string>"
 
 
 def account_hex(x: Column) -> Column:
-    """Lower-case account without prefix, NULL when it is not 32 bytes of hex."""
-    return F.when(x.rlike(ACCOUNT), F.lower(F.right(x, F.lit(64))))
+    """Lower-case account without prefix, for text that matches `ACCOUNT`."""
+    return F.lower(F.right(x, F.lit(64)))
 
 
 def asset_key(name: Column, asset_id: Column) -> Column:
@@ -40,12 +40,12 @@ def decode_transfers(blocks: DataFrame, event_names: list[str]) -> DataFrame:
     )
     # The one-element explode keeps the filters below from parsing the JSON a second time.
     decoded = events.select("number", "timestamp", F.col("name").alias("event"), F.explode(F.array(args)).alias("a"))
-    sender, receiver = account_hex(F.col("a.from")), account_hex(F.col("a.to"))
-    return decoded.filter(sender.isNotNull() & receiver.isNotNull() & F.col("a.amount").isNotNull()).select(
+    whole = F.col("a.from").rlike(ACCOUNT) & F.col("a.to").rlike(ACCOUNT) & F.col("a.amount").isNotNull()
+    return decoded.filter(whole).select(
         F.col("number").alias("block"),
         F.timestamp_millis("timestamp").alias("at"),
-        sender.alias("sender"),
-        receiver.alias("receiver"),
+        account_hex(F.col("a.from")).alias("sender"),
+        account_hex(F.col("a.to")).alias("receiver"),
         # Wider amounts than 38 digits stay visible in amount_text; the number is NULL for them.
         F.col("a.amount").try_cast("decimal(38,0)").alias("amount"),
         F.col("a.amount").alias("amount_text"),

@@ -111,13 +111,15 @@ def price_by_location(assets: DataFrame, quotes: DataFrame, known: DataFrame) ->
 
 def valued_totals(valued: DataFrame) -> DataFrame:
     """Totals with coverage: what is priced, by which source, and why the rest is not."""
-    usd = F.col("usd").cast("decimal(28,6)")
-    total = lambda condition, x: S.dbl(F.sum(F.when(condition, x)))
+    # Eight places hold every value exactly; the sums are given with four.
+    exact = lambda x: x.cast("decimal(28,8)")
+    usd = exact(F.col("usd"))
+    total = lambda condition, x: S.dbl(F.sum(F.when(condition, x)).cast("decimal(38,4)"))
     status = F.col("status")
     return valued.agg(
         F.count(F.lit(1)).alias("assets"),
         F.count_if(status == "priced").alias("priced"),
-        S.dbl(F.sum(usd)).alias("priced_usd"),
+        total(F.lit(True), usd).alias("priced_usd"),
         F.count_if(F.col("source") == "oracle").alias("by_oracle"),
         total(F.col("source") == "oracle", usd).alias("by_oracle_usd"),
         F.count_if(F.col("source") == "spot").alias("by_spot"),
@@ -127,7 +129,7 @@ def valued_totals(valued: DataFrame) -> DataFrame:
         F.count_if(status == "no-venue").alias("no_venue"),
         F.count_if(status == "decimals-disagree").alias("decimals_disagree"),
         F.try_divide(F.count_if(status == "priced"), F.count(F.lit(1))).alias("coverage_by_count"),
-        S.dbl(F.sum(F.col("would_be_usd").cast("decimal(28,6)"))).alias("excluded_usd"),
+        total(F.lit(True), exact(F.col("would_be_usd"))).alias("excluded_usd"),
     )
 
 

@@ -163,17 +163,17 @@ def priced_by_location(spark, folder):
     return R.price_by_location(*located_assets(spark, folder))
 
 
-def sum6(x: str) -> str:
-    return f"cast(sum(cast({x} AS decimal(28,6))) AS double)"
+def exact_sum(x: str) -> str:
+    return f"cast(cast(sum(cast({x} AS decimal(28,8))) AS decimal(38,4)) AS double)"
 
 
 @query(
     "q10_valued_totals",
-    f"""WITH {LOCATED_SQL} SELECT count(*) AS assets, count(*) FILTER (status = 'priced') AS priced, {sum6("usd")} AS priced_usd,
-      count(*) FILTER (source = 'oracle') AS by_oracle, {sum6("CASE WHEN source = 'oracle' THEN usd END")} AS by_oracle_usd,
-      count(*) FILTER (source = 'spot') AS by_spot, {sum6("CASE WHEN source = 'spot' THEN usd END")} AS by_spot_usd,
+    f"""WITH {LOCATED_SQL} SELECT count(*) AS assets, count(*) FILTER (status = 'priced') AS priced, {exact_sum("usd")} AS priced_usd,
+      count(*) FILTER (source = 'oracle') AS by_oracle, {exact_sum("CASE WHEN source = 'oracle' THEN usd END")} AS by_oracle_usd,
+      count(*) FILTER (source = 'spot') AS by_spot, {exact_sum("CASE WHEN source = 'spot' THEN usd END")} AS by_spot_usd,
       count(*) FILTER (status = 'no-decimals') AS no_decimals, count(*) FILTER (status = 'not-listed') AS not_listed, count(*) FILTER (status = 'no-venue') AS no_venue,
-      count(*) FILTER (status = 'decimals-disagree') AS decimals_disagree, count(*) FILTER (status = 'priced') / count(*) AS coverage_by_count, {sum6("would_be_usd")} AS excluded_usd FROM valued""",
+      count(*) FILTER (status = 'decimals-disagree') AS decimals_disagree, count(*) FILTER (status = 'priced') / count(*) AS coverage_by_count, {exact_sum("would_be_usd")} AS excluded_usd FROM valued""",
 )
 def valued_totals(spark, folder):
     return R.valued_totals(R.price_by_location(*located_assets(spark, folder)))
