@@ -133,8 +133,11 @@ def part_manifests(spark, folder):
     local = F.col("p_partkey") % 40
     parent = F.col("p_partkey") - local + F.floor((local - 1) / 3)
     name = lambda c: F.concat(F.lit("d"), c.cast("bigint").cast("string"))
-    down = part.filter(local > 0).select(name(parent).alias("parent"), name(F.col("p_partkey")).alias("child"))
-    back = part.filter((local > 3) & (F.col("p_size") > 40)).select(name(F.col("p_partkey")).alias("parent"), name(parent).alias("child"))
+    # The first key of a tree has no parent; a link back up never points at it.
+    up = F.when(local > 0, name(parent))
+    back_up = F.when((local > 3) & (F.col("p_size") > 40), name(parent))
+    down = part.select(up.alias("parent"), name(F.col("p_partkey")).alias("child")).filter("parent IS NOT NULL")
+    back = part.select(name(F.col("p_partkey")).alias("parent"), back_up.alias("child")).filter("child IS NOT NULL")
     stored = part.filter((F.col("p_type") != "PROMO") | (local == 0))
     once = stored.select(
         name(F.col("p_partkey")).alias("hash"),

@@ -92,18 +92,13 @@ def settled_days(spark, folder):
 def late_rows(spark, folder):
     """Error events land after their days were given out: they are kept apart, the days stay as they were."""
     events = T.table(spark, folder, "events")
-    landing, out, late = (fresh_path(spark, n) for n in ("landing", "settled", "late"))
+    landing, out, late, marks = (fresh_path(spark, n) for n in ("landing", "settled", "late", "marks"))
     cursor, late_cursor = fresh_path(spark, "cursor"), fresh_path(spark, "late-cursor")
-    run = lambda: R.drain(
-        R.settled_days(event_stream(spark, landing), "at", "2 hours", [], MEASURES()), R.replace_partitions(out, "day"), cursor
-    )
-    look = lambda: R.drain(event_stream(spark, landing), R.late_sink(out, late, "at"), late_cursor)
-    events.filter("event_type <> 'error'").write.mode("append").parquet(landing)
-    look()
-    run()
-    events.filter("event_type = 'error'").write.mode("append").parquet(landing)
-    look()
-    run()
+    for part in (events.filter("event_type <> 'error'"), events.filter("event_type = 'error'")):
+        part.write.mode("append").parquet(landing)
+        days = R.settled_days(event_stream(spark, landing), "at", "2 hours", [], MEASURES())
+        R.drain(days, R.replace_partitions(out, "day"), cursor)
+        R.drain(event_stream(spark, landing), R.late_sink(marks, late, "at", "2 hours"), late_cursor)
     expected = events.filter("event_type <> 'error'").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("expected"))
     kept = spark.read.schema("rows long, day date").parquet(out)
     unchanged = kept.join(expected, "day").select("day", (F.col("rows") == F.col("expected")).alias("day_unchanged"))
@@ -132,10 +127,7 @@ def redelivered_events(spark, folder):
     events = T.table(spark, folder, "events")
     landing, out, cursor = (fresh_path(spark, n) for n in ("landing", "deduped", "cursor"))
     events.write.mode("append").parquet(landing)
-    append = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch").parquet(out)
-    run = lambda: R.drain(R.drop_redelivered(event_stream(spark, landing), ["event_id"], "at", "1 day"), append, cursor)
+    run = lambda: R.drain(R.drop_redelivered(event_stream(spark, landing), ["event_id"], "at", "1 day"), R.append_batches(out), cursor)
     run()
     events.write.mode("append").parquet(landing)
     run()
@@ -149,12 +141,9 @@ def bounded_ingest(spark, folder):
     landing, out, cursor = (fresh_path(spark, n) for n in ("landing", "ingested", "cursor"))
     first = events.filter("event_type IN ('view', 'click')")
     rest = events.filter("event_type NOT IN ('view', 'click')")
-    sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch").parquet(out)
     for part in (first, rest):
         part.repartition(3, "event_id").write.mode("append").parquet(landing)
-        R.drain(R.read_landing(spark, landing, files_per_batch=1), sink, cursor)
+        R.drain(R.read_landing(spark, landing, files_per_batch=1), R.append_batches(out), cursor)
     return spark.read.parquet(out).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event")
     )
@@ -201,10 +190,7 @@ def order_life_cycle(spark, folder):
         F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp").alias("filled_at"), T.line_key().alias("fill_key")
     )
     joined = R.life_cycle(placed, filled, "4000 days", "90 days")
-    sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch").parquet(out)
-    R.drain(joined, sink, fresh_path(spark, "cursor"))
+    R.drain(joined, R.append_batches(out), fresh_path(spark, "cursor"))
     return spark.read.parquet(out).groupBy("order_id").agg(
         F.count(F.lit(1)).alias("fills"), F.min("latency_s").alias("first_latency_s")
     )

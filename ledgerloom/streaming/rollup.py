@@ -61,24 +61,37 @@ def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return query
 
 
-def late_sink(settled_path: str, late_path: str, at: str) -> Callable[[DataFrame, int], None]:
-    """Rows for days already given out are kept beside the table; the settled day itself is not opened again.
+def late_sink(marks_path: str, late_path: str, at: str, delay: str) -> Callable[[DataFrame, int], None]:
+    """Keep the rows a settled-day rollup over the same stream leaves out because their day was given out before.
 
-    Each batch owns one partition of the late table, so a repeated batch does not add rows twice.
+    The rule is the rollup's own: a day is closed once the newest event of the earlier batches lies `delay` behind
+    its end. The newest event of every batch is kept in a small table of marks, so the answer needs no look at the
+    rollup's output and does not depend on which of the two runs first. Each batch owns one partition of both
+    tables: a repeated batch adds nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        settled = read_facts(batch.sparkSession, settled_path)
-        if settled is None:
+        marks = read_facts(batch.sparkSession, marks_path)
+        earlier = None
+        if marks is not None:
+            earlier = marks.filter(F.col("batch") < number).agg(F.unix_micros(F.max("head"))).first()[0]
+        head = batch.agg(F.max(at).alias("head")).withColumn("batch", F.lit(number))
+        replace_partitions(marks_path, "batch")(head, number)
+        if earlier is None:
             return
-        days = settled.select(F.col("day").cast("date").alias("__day")).distinct()
-        late = batch.join(days, F.to_date(at) == F.col("__day"), "left_semi").withColumn("batch", F.lit(number))
-        (
-            late.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(late_path)
-        )
+        closed = F.timestamp_micros(F.lit(earlier)) - F.expr(f"interval {delay}")
+        day_end = F.date_add(F.to_date(at), 1).cast("timestamp")
+        late = batch.filter(day_end <= closed).withColumn("batch", F.lit(number))
+        replace_partitions(late_path, "batch")(late, number)
+
+    return write
+
+
+def append_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink that adds every batch as a partition of its own; the same batch again replaces that partition."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        replace_partitions(path, "batch")(batch.withColumn("batch", F.lit(number)), number)
 
     return write
 

@@ -37,16 +37,22 @@ def test_one_or_many_batches_give_the_same_days(spark, tmp_path):
     assert whole == split == batch
 
 
-def test_late_rows_are_kept_and_days_stay_closed(spark, tmp_path):
-    landing, out, late = (tmp_path / n for n in ("landing", "out", "late"))
-    events(spark, [(1, 1), (2, 30), (3, 60)]).write.parquet(str(landing))
-    before = run(spark, landing, out, tmp_path / "c")
-    look = lambda: R.drain(R.read_landing(spark, str(landing)), R.late_sink(str(out), str(late), "at"), str(tmp_path / "lc"))
-    events(spark, [(9, 2)]).write.mode("append").parquet(str(landing))
-    after = run(spark, landing, out, tmp_path / "c")
-    assert before == after
-    look()
-    assert 9 in {r.event_id for r in spark.read.parquet(str(late)).collect()}
+@pytest.mark.parametrize("late_first", [True, False])
+def test_late_rows_are_kept_and_days_stay_closed(spark, tmp_path, late_first):
+    landing, out, late, marks = (tmp_path / n for n in ("landing", "out", "late", "marks"))
+    look = lambda: R.drain(R.read_landing(spark, str(landing)), R.late_sink(str(marks), str(late), "at", "2 hours"), str(tmp_path / "lc"))
+    roll = lambda: run(spark, landing, out, tmp_path / "c")
+    days = []
+    for rows in ([(1, 1), (2, 30), (3, 60)], [(8, 61), (9, 2), (10, 40)]):
+        events(spark, rows).write.mode("append").parquet(str(landing))
+        if late_first:
+            look()
+        days.append(roll())
+        if not late_first:
+            look()
+    assert days[0] == days[1] == {"2024-01-01": 1, "2024-01-02": 1}
+    # What was on time is not late, and every row that a closed day left out is kept.
+    assert sorted(r.event_id for r in spark.read.parquet(str(late)).collect()) == [9, 10]
 
 
 def test_redelivery_adds_nothing(spark, tmp_path):
