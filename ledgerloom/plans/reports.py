@@ -248,4 +248,4 @@ def archive_report(obs: DataFrame, labels: DataFrame, threshold: object) -> Repo
 def lease_report(stored: DataFrame, clock: DataFrame, retention: int) -> Report:
     need(retention > 0, "retention must be positive")
     rows = objects.project_expiry(stored, clock, retention)
-    return {"objects": rows, "days": rows.groupBy(S.day_of_millis(F.col("expires_ms")).alias("day")).agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))}
+    return {"objects": rows, "days": rows.groupBy(S.day_of_millis(F.floor("expires_ms").cast("bigint")).alias("day")).agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))}
