@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,16 +40,36 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: `spark.checkpoint.dir`, or a fresh one when it is unset."""
+    """The folder all executors can reach: `spark.checkpoint.dir`.
+
+    Unset, a local master gets a fresh folder of its one machine; on a cluster that is an error, since files
+    written to each executor's own disk would be missing from later reads.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+RUN = uuid.uuid4().hex
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This process's own prefix in the shared folder; `clear_run` removes it."""
+    return f"{shared_folder(spark).rstrip('/')}/ledgerloom/{RUN}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Remove what this process settled. Call it once its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -56,7 +77,7 @@ def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
     Cuts the lineage of iterative work and lets several branches share one computation. The copy is
     columnar, so later branches still prune columns, and it outlives a lost executor. Files stay under
-    `<shared folder>/ledgerloom` until the folder's owner removes them.
+    this process's prefix of the shared folder until `clear_run` or the folder's owner removes them.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
