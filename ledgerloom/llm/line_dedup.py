@@ -54,7 +54,7 @@ class LineRuns:
 
     def add(self, held: DataFrame) -> None:
         """Add a batch, given as (h1, h2, doc_id) rows. Its ids must lie below those of earlier batches."""
-        keys = held.groupBy(*KEY, "doc_id").agg().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("newest"))
+        keys = held.select(*KEY, "doc_id").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("newest"))
         if self.levels:
             keys = keys.join(self.closed().select(*KEY).hint("merge"), KEY, "left_anti")
         self._push(0, self._write(keys))
@@ -126,7 +126,7 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at,
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
          unnest(string_split(coalesce(text, ''), chr(10))) AS l
   FROM documents),
 keyed AS (
@@ -137,7 +137,7 @@ shared AS (
 marked AS (
   SELECT keyed.*, coalesce(keyed.doc_id <> newest, false) AS gone FROM keyed LEFT JOIN shared USING (k))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(l, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["bpe", "line_dedup"]
+MODULES: list[str] = ["bpe", "line_dedup", "simhash", "mixing"]
 
 
 def _modules() -> list:
