@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["bpe", "line_dedup", "simhash", "mixing"]
+from . import bpe, language, line_dedup, lm_scoring, mixing, neighbours, pii, quality, simhash, toxicity
 
-
-def _modules() -> list:
-    return [importlib.import_module(f"ledgerloom.llm.{m}") for m in MODULES]
+MODULES = [bpe, line_dedup, neighbours, simhash, quality, toxicity, pii, lm_scoring, language, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: fn for m in _modules() for name, fn in m.QUERIES.items()}
+    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
+    own = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
