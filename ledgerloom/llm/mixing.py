@@ -20,7 +20,8 @@ from .common import quoted
 WEIGHTS = (1, 2, 3)  # by code point of the source, repeating
 MOST = 3  # times that a document may be taken
 BLOCK = 1024  # words of a slot
-STRETCH = 1 << 16  # slots ranked together, and about as many documents summed together
+STRETCH = 1 << 16  # slots ranked together
+PLACES = 1 << 12  # documents of all sources, about, whose sizes are summed together
 #: The golden ratio's fraction of 2**31, made odd: multiples of it modulo 2**31 visit every value once a period.
 RATIO, SPAN = 1327217885, 1 << 31
 
@@ -67,7 +68,7 @@ def streams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sour
         "sizes",
     )
     sources = settle(targets(sized), "sources")
-    parts = sized.count() // STRETCH + 1
+    parts = sized.count() // PLACES + 1
     placed = sized.withColumn("part", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)))
     sums = placed.groupBy("source", "part").agg(F.sum("size").alias("n")).join(sources.select("source", "idx").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     earlier = Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
