@@ -27,8 +27,9 @@ NEIGHBOURS, EVERY = 20, 20
 #: Vectors that centroids are fitted on, at most; every row is indexed.
 SAMPLE, CENTROIDS, STEPS = 4096, 32, 8
 #: Width of the error bound in standard deviations of the estimate.
-SPREAD = 3.0
-ROWS, QUERIES_A_CELL, CHUNK = 16_384, 1_024, 4_096
+SPREAD = 2.5
+ROWS, QUERIES_A_CELL, CHUNK, PAIRS = 16_384, 512, 2_048, 1 << 15
+FIRST_LOOK = 2 * NEIGHBOURS
 
 
 @dataclass
@@ -97,40 +98,63 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def estimates(queries: np.ndarray, own: np.ndarray, code: np.ndarray, length: np.ndarray, follow: np.ndarray, product: np.ndarray, frame: Frame, spread: float = SPREAD) -> tuple[np.ndarray, np.ndarray]:
     """(low, high) for each row and query: bounds of their inner product from the codes alone."""
     size = queries.shape[1]
-    low, high = np.empty((len(own), len(queries))), np.empty((len(own), len(queries)))
-    for c in np.unique(own):
-        rows = np.flatnonzero(own == c)
-        away = queries - frame.centroids[c]
-        signs = (2.0 * np.unpackbits(code[rows], axis=1, count=size) - 1) / np.sqrt(size)
-        along = (signs @ (away @ frame.rotation).T) * (length[rows] / follow[rows])[:, None]
-        middle = along + product[rows][:, None] + queries @ frame.centroids[c]
-        doubt = length[rows] * np.sqrt(np.maximum(0, 1 - follow[rows] ** 2)) / follow[rows] / np.sqrt(max(1, size - 1))
-        reach = spread * doubt[:, None] * np.sqrt((away**2).sum(1)) + 1e-9 * (1 + np.abs(middle))
-        low[rows], high[rows] = middle - reach, middle + reach
-    return low, high
-
-
-def exact(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed from the first component to the last."""
-    total = np.zeros(len(rows))
-    for d in range(rows.shape[1]):
-        total += rows[:, d] * queries[:, d]
-    return total
+    single = np.float32
+    signs = (single(2) * np.unpackbits(code, axis=1, count=size) - single(1)) / single(np.sqrt(size))
+    # With q for a query and c for a row's centroid: signs * (q - c) = signs * q - signs * c, so one product serves all centroids.
+    ours = (signs * (frame.centroids @ frame.rotation).astype(single)[own]).sum(1)
+    scale = (length / follow).astype(single)
+    middle = (signs @ (queries @ frame.rotation).T.astype(single)) * scale[:, None]
+    middle += (product.astype(single) - scale * ours)[:, None]
+    with_centroid = frame.centroids @ queries.T
+    away = np.sqrt(np.maximum(0, (queries**2).sum(1) - 2 * with_centroid + (frame.centroids**2).sum(1)[:, None]))
+    middle += with_centroid.astype(single)[own]
+    doubt = length * np.sqrt(np.maximum(0, 1 - follow**2)) / follow / np.sqrt(max(1, size - 1))
+    reach = away.astype(single)[own] * (spread * doubt).astype(single)[:, None] + single(1e-5) * (1 + np.abs(middle))
+    return middle - reach, middle + reach
+
+
+def exact(rows: np.ndarray, queries: np.ndarray, r: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows r with queries q in double precision, summed from the first component to the last."""
+    out = np.empty(len(r))
+    by_row, by_query = np.ascontiguousarray(rows.T), np.ascontiguousarray(queries.T)
+    for at in range(0, len(r), PAIRS):
+        left, right = r[at : at + PAIRS], q[at : at + PAIRS]
+        total = np.zeros(len(left))
+        for d in range(rows.shape[1]):
+            total += by_row[d][left] * by_query[d][right]
+        out[at : at + PAIRS] = total
+    return out
 
 
 def best(ids: np.ndarray, vectors: np.ndarray, codes: tuple, query_ids: np.ndarray, queries: np.ndarray, frame: Frame, k: int) -> pd.DataFrame:
-    """The k best rows of a cell for each of its queries."""
-    found = []
+    """The k best rows of a cell for each of its queries. What one chunk of rows has come to is the bar for the next one."""
+    q_of, id_of, score_of = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    reached = np.full(len(queries), -np.inf)  # the k-th best score so far
     for at in range(0, len(ids), CHUNK):
         part = slice(at, at + CHUNK)
         low, high = estimates(queries, *(c[part] for c in codes), frame)
-        other = ids[part][:, None] != query_ids[None, :]
-        low, high = np.where(other, low, -np.inf), np.where(other, high, -np.inf)
-        bar = np.partition(low, -k, axis=0)[-k] if len(low) > k else np.full(len(queries), -np.inf)
-        r, q = np.nonzero((high >= bar) & other)
-        found.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[part][r], "score": exact(vectors[part][r], queries[q]), "q": q}))
-        found = [pd.concat(found).sort_values(["q", "score", "vec_id"], ascending=[True, False, True], kind="stable").groupby("q", sort=False).head(k)]
-    return found[0][["query_id", "vec_id", "score"]] if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        same = ids[part][:, None] == query_ids[None, :]
+        low[same], high[same] = -np.inf, -np.inf
+        bar = np.maximum(reached, np.partition(low, -k, axis=0)[-k]) if len(low) >= k else reached
+        if len(low) > FIRST_LOOK >= k:
+            # The exact scores of those that look best are a bar as well, and a higher one than any estimate gives.
+            looks = np.argpartition(low + high, -FIRST_LOOK, axis=0)[-FIRST_LOOK:]
+            seen = exact(vectors[part], queries, looks.ravel(), np.tile(np.arange(len(queries)), FIRST_LOOK)).reshape(looks.shape)
+            seen[np.take_along_axis(same, looks, 0)] = -np.inf
+            bar = np.maximum(bar, np.partition(seen, -k, axis=0)[-k])
+        del low
+        r, q = np.nonzero((high >= bar) & ~same)
+        del high, same
+        q_of, id_of = np.concatenate((q_of, q)), np.concatenate((id_of, ids[part][r]))
+        score_of = np.concatenate((score_of, exact(vectors[part], queries, r, q)))
+        order = np.lexsort((id_of, -score_of, q_of))
+        place = np.arange(len(order)) - np.searchsorted(q_of[order], q_of[order], side="left")
+        kept = order[place < k]
+        q_of, id_of, score_of = q_of[kept], id_of[kept], score_of[kept]
+        full = np.flatnonzero(np.bincount(q_of, minlength=len(queries)) == k)
+        last = np.searchsorted(q_of, full, side="right") - 1
+        reached[full] = score_of[last]
+    return pd.DataFrame({"query_id": query_ids[q_of], "vec_id": id_of, "score": score_of})
 
 
 def search(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = EVERY, k: int = NEIGHBOURS) -> DataFrame:

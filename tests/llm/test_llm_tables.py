@@ -44,7 +44,7 @@ def test_neighbours_beside_brute_force_over_many_cells(spark, monkeypatch, tmp_p
     same = sum(want[(r["query_id"], r["rank"])] == (r["vec_id"], r["score"]) for r in got)
     assert same >= 0.99 * len(want)
     scores = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
-    assert all(s == neighbours.exact(v[c : c + 1].astype(float), v[q : q + 1].astype(float))[0] for (q, c), s in list(scores.items())[:200])
+    assert all(s == neighbours.exact(v.astype(float), v.astype(float), np.array([c]), np.array([q]))[0] for (q, c), s in list(scores.items())[:200])
 
 
 def test_neighbours_of_few_or_no_rows(spark):
