@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,4)"
@@ -200,10 +200,21 @@ def first_rule(rules: list[tuple[Column, str]], default: str) -> Column:
     return chain.otherwise(default)
 
 
-def prefix_class(hex_text: Column, prefixes: dict[str, str], default: str) -> Column:
-    """Class of a hex location by its longest listed prefix."""
-    ordered = sorted(prefixes.items(), key=lambda item: (-len(item[0]), item[0]))
-    return first_rule([(F.startswith(hex_text, F.lit(p)), name) for p, name in ordered], default)
+def classified(df: DataFrame, text: str, rules: DataFrame, default: str, name: str = "route") -> DataFrame:
+    """The class of each row's text by the caller's rules (prefix, class, exact): an exact rule first, else the longest prefix.
+
+    Rules are looked up by equality on the few prefix lengths that occur, so any number of rules costs one join a length.
+    A prefix that is listed twice has the class that is first in order.
+    """
+    kept = rules.groupBy("prefix", F.coalesce("exact", F.lit(False)).alias("exact")).agg(F.min("class").alias("class"))
+    lengths = sorted(r[0] for r in kept.filter(~F.col("exact")).select(F.length("prefix")).distinct().collect())
+    found = df.join(kept.filter("exact").select(F.col("prefix").alias("__whole"), F.col("class").alias("__exact")), F.col(text) == F.col("__whole"), "left").drop("__whole")
+    order = [F.col("__exact")]
+    for n in reversed(lengths):
+        of_length = kept.filter(~F.col("exact") & (F.length("prefix") == n)).select(F.col("prefix").alias("__prefix"), F.col("class").alias(f"__class{n}"))
+        found = found.join(of_length, F.substring(text, 1, n) == F.col("__prefix"), "left").drop("__prefix")
+        order.append(F.col(f"__class{n}"))
+    return found.withColumn(name, F.coalesce(*order, F.lit(default))).drop("__exact", *[f"__class{n}" for n in lengths])
 
 
 def word_field(word: Column, low_bit: int, width: int) -> Column:

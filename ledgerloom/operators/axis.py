@@ -82,6 +82,42 @@ def peaks(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame
     )
 
 
+def carried(closes: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
+    """Sparse closes as intervals (from_day, to_day): each holds until the day before the next one, the last one until the last day of all."""
+    last = closes.agg(F.max(day).alias("last")).scalar()
+    following = F.lead(day).over(Window.partitionBy(*keys).orderBy(day))
+    return closes.withColumn("from_day", F.col(day)).withColumn("to_day", F.coalesce(F.date_sub(following, 1), last))
+
+
+def sparse_peaks(closes: DataFrame, read: DataFrame, key: str, day: str, value: str) -> DataFrame:
+    """Peak and last value of series that are 0 after dropping out, from their closes alone; values must not be negative.
+
+    On a read day from its first close on, a series has its close or else 0; unread days say nothing. closes(key, day, value), read(day).
+    """
+    days = read.agg(F.sort_array(F.collect_set(day)).alias("days")).scalar()  # bounded by the calendar
+    spoken = closes.join(read.select(day).withColumn("__read", F.lit(True)), day, "left")
+    seen = F.col("__read").isNotNull()
+    folded = spoken.groupBy(key).agg(
+        F.min(day).alias("__first"),
+        F.max(F.when(seen, F.col(value))).alias("__most"),
+        F.min_by(day, F.when(seen, F.struct(-F.col(value), F.col(day)))).alias("__most_on"),
+        F.max(F.when(seen, F.col(day))).alias("__last_close"),
+        F.max_by(value, F.when(seen, F.col(day))).alias("__last"),
+    ).withColumn("__days", days)
+    from_first = F.filter("__days", lambda d: d >= F.col("__first"))
+    told = folded.withColumn("__next", F.get(from_first, F.lit(0))).withColumn("__end", F.when(F.col("__next").isNotNull(), F.element_at("__days", -1)))
+    some = F.col("__next").isNotNull()
+    above = F.coalesce(F.col("__most") > 0, F.lit(False))
+    zero = F.lit(0).cast(closes.schema[value].dataType)
+    return told.select(
+        key,
+        F.when(some, F.when(above, F.col("__most")).otherwise(zero)).alias("peak"),
+        F.when(some, F.when(above, F.col("__most_on")).otherwise(F.col("__next"))).alias("peak_on"),
+        F.when(some, F.when(F.col("__last_close") == F.col("__end"), F.col("__last")).otherwise(zero)).alias("last"),
+        F.when(some, F.col("__end")).alias("last_on"),
+    )
+
+
 def prefer(stored: DataFrame, tail: DataFrame, keys: Sequence[str], winner: str) -> DataFrame:
     """Stored history and live tail with the stated side winning on a shared key."""
     if winner not in ("stored", "tail"):

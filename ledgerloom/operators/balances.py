@@ -93,12 +93,10 @@ def day_ranges(blocks: DataFrame, chain: str, day: str, height: str) -> DataFram
     return first.withColumn("to_block", F.lead("from_block").over(window))
 
 
-def sticky_ids(rows: DataFrame, axis: DataFrame, ident: str, day: str) -> DataFrame:
-    """Every id stays enumerated from its first appearance on, per day of the axis."""
-    first = rows.groupBy(ident).agg(F.min(day).alias("first_seen"))
-    days = axis.agg(F.sort_array(F.collect_list(day)).alias("days")).scalar()
-    from_first = F.filter("__days", lambda d: d >= F.col("first_seen"))
-    return first.withColumn("__days", days).select(ident, "first_seen", F.explode(from_first).alias(day))
+def sticky_ids(rows: DataFrame, ident: str, day: str) -> DataFrame:
+    """Every id stays enumerated from its first appearance to the last day of all rows: an interval for each id."""
+    last = rows.agg(F.max(day).alias("last")).scalar()
+    return rows.groupBy(ident).agg(F.min(day).alias("first_seen")).withColumn("listed_until", last)
 
 
 def largest_before(series: DataFrame, day: str, value: str, event_day: str) -> DataFrame:

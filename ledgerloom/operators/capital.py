@@ -11,11 +11,12 @@ from ..functions import scalars as S
 from ..session import settle
 
 
-def resolve_prices(assets: DataFrame, wraps: DataFrame, oracle: DataFrame, spot: DataFrame, depth: int = 8) -> DataFrame:
+def resolve_prices(assets: DataFrame, wraps: DataFrame, oracle: DataFrame, spot: DataFrame) -> DataFrame:
     """Price of wrapped assets: the oracle first, else the wrapped asset's price times the ratio, else the spot.
 
     assets(id), wraps(id, underlying, ratio), oracle(id, price), spot(id, price). All assets walk one wrap
-    further per hop; a walk ends at an oracle price, at an asset that wraps nothing known, or after `depth` hops.
+    further per hop; a walk ends at an oracle price, at an asset that wraps nothing known, or where it comes back to an
+    asset that it has seen. However long the walks are, all are walked to their end.
     """
     links = wraps.filter(F.col("underlying").isNotNull() & F.col("ratio").isNotNull()).select(
         F.col("id").alias("node"), "underlying", F.col("ratio").alias("__ratio")
@@ -26,16 +27,17 @@ def resolve_prices(assets: DataFrame, wraps: DataFrame, oracle: DataFrame, spot:
     start = assets.select("id", F.col("id").alias("node"), F.lit(0).alias("hop"), F.lit(1.0).alias("factor"))
     frontier = settle(start.join(prices, "node", "left"), "wrap-hop")
     reached = frontier
-    for hop in range(1, depth + 1):
+    hop = 0
+    while not frontier.isEmpty():
+        hop += 1
         step = (
             frontier.filter("oracle IS NULL")
             .drop("oracle", "spot")
             .join(links, "node")
             .select("id", F.col("underlying").alias("node"), F.lit(hop).alias("hop"), (F.col("factor") * F.col("__ratio")).alias("factor"))
+            .join(reached.select("id", "node"), ["id", "node"], "left_anti")
         )
-        frontier = settle(step.join(prices, "node", "left"), "wrap-hop")
-        if frontier.isEmpty():
-            break
+        frontier = settle(step.select("id", "node", "hop", "factor").join(prices, "node", "left").select(*reached.columns), "wrap-hop")
         reached = reached.unionByName(frontier)
     # At most one hop has an oracle price, and it is the last one; otherwise the deepest spot on the walk counts.
     priced = F.col("oracle").isNotNull() | F.col("spot").isNotNull()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .ranking import keep_one
 
 IDENTITY = ["source", "operation", "params"]
@@ -39,17 +42,31 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def touched_by(new: DataFrame, most: int = 20_000) -> Column:
+    """A literal filter for the partitions that a batch brings; a batch of more than `most` partitions is refused."""
+    months: dict[tuple, list] = {}
+    found = new.select(*PARTITIONS).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a batch may touch {most} partitions at most; put it in parts")
+    for row in found:
+        months.setdefault((row[0], row[1]), []).append(row[2])
+    filters = [(F.col("source") == s) & (F.col("operation") == o) & F.col("month").isin(m) for (s, o), m in sorted(months.items())]
+    return reduce(lambda a, b: a | b, filters, F.lit(False))
+
+
 def put_facts(new: DataFrame, path: str) -> None:
     """Insert or replace by key. Only the months the batch touches are read back and rewritten.
 
     Inside a batch, and against what is stored, the row stored last wins. Putting the same batch again leaves
-    the table as it is.
+    the table as it is. The batch is written once; its partitions, months of a few operations, become literal filters,
+    so the scan of the stored table opens no other partition. Replacing partitions is not atomic for readers of them.
     """
     spark = new.sparkSession
     stored = read_facts(spark, path)
     rows = new
     if stored is not None:
-        touched = stored.join(new.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+        rows = new = settle(new, "facts-batch")
+        touched = stored.filter(touched_by(new))
         rows = touched.select(*new.columns).unionByName(new)
     order = [F.desc("stored_at"), F.desc("code_version"), F.desc_nulls_last("head")]
     kept = keep_one(rows, KEY, order)

@@ -200,7 +200,7 @@ def manifest_roles(objects: DataFrame, links: DataFrame) -> DataFrame:
     return contents.join(parents, "hash", "left").join(children, "hash", "left").select("hash", "family", role.alias("role"))
 
 
-def reachable(roots: DataFrame, links: DataFrame, stored: DataFrame, depth: int = 64) -> DataFrame:
+def reachable(roots: DataFrame, links: DataFrame, stored: DataFrame) -> DataFrame:
     """Everything a root leads to: (root, node, present). A piece that is not stored is listed but not walked through.
 
     One hop for all roots at a time; nodes already seen from a root are not walked again, so cycles end.
@@ -209,17 +209,15 @@ def reachable(roots: DataFrame, links: DataFrame, stored: DataFrame, depth: int
     have = settle(stored.select(F.col("hash").alias("node")).distinct().withColumn("present", F.lit(True)), "stored")
     frontier = settle(roots.select(F.col("hash").alias("root"), F.col("hash").alias("node")).join(have, "node", "left").fillna({"present": False}), "reach")
     seen = frontier
-    for _ in range(depth):
+    while not frontier.isEmpty():
         step = (
             frontier.filter("present").join(edges, "node").select("root", F.col("child").alias("node")).distinct()
             .join(seen.select("root", "node"), ["root", "node"], "left_anti")
             .join(have, "node", "left").fillna({"present": False})
         )
         frontier = settle(step.select(*seen.columns), "reach")
-        if frontier.isEmpty():
-            return seen
         seen = seen.unionByName(frontier)
-    raise ValueError(f"manifests are nested deeper than {depth} levels")
+    return seen
 
 
 def manifest_groups(objects: DataFrame, links: DataFrame) -> DataFrame:

@@ -158,3 +158,23 @@ def timeline(steps: DataFrame, order: str, at: str, label: str, width: int = 100
     """Status steps of each order in time order, as numbered rows with the step before."""
     numbered = previous_in_order(steps.select(order, at, label), [order], at, [label], width)
     return numbered.select(order, at, label, "step", F.col(f"previous_{label}").alias("previous"))
+
+
+def order_ends(placed: DataFrame, fills: DataFrame) -> DataFrame:
+    """How far each order came: placed, filled, redeemed or refunded, the last of these that any of its fills reached.
+
+    placed(order_id, placed_at), fills(order_id, filled_at, end), end NULL while nothing has followed. Orders without fills stay.
+    """
+    folded = fills.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("fills"),
+        F.min("filled_at").alias("first_fill"),
+        F.count_if(F.col("end") == "refunded").alias("__refunded"),
+        F.count_if(F.col("end") == "redeemed").alias("__redeemed"),
+    )
+    state = F.when(F.col("__refunded") > 0, "refunded").when(F.col("__redeemed") > 0, "redeemed").when(F.col("fills") > 0, "filled").otherwise("placed")
+    return placed.join(folded, "order_id", "left").select(
+        "order_id",
+        F.coalesce("fills", F.lit(0)).alias("fills"),
+        state.alias("state"),
+        (F.unix_seconds("first_fill") - F.unix_seconds("placed_at")).alias("first_latency_s"),
+    )

@@ -25,16 +25,19 @@ def usable_legs(legs: DataFrame) -> DataFrame:
     )
 
 
-def derive_rates(legs: DataFrame, pegged: Iterable[str], passes: int = 5) -> DataFrame:
+def derive_rates(legs: DataFrame, pegged: Iterable[str]) -> DataFrame:
     """Sweep outwards from the pegged symbols: a trade with one priced side states a price for the other.
 
     A pass gives every newly reached symbol the upper median of its observations; a priced symbol is not
-    revised. The usable legs are written once, and each pass leaves only its small rate table behind.
+    revised. Passes go on until one reaches no new symbol. Legs that state the same are counted together first, and each
+    pass leaves only its small rate table behind.
     """
     spark = legs.sparkSession
     usable = settle(usable_legs(legs).select("in_symbol", "in_amount", "out_symbol", "out_amount"), "pricing-legs")
     rates = spark.createDataFrame([(symbol, 1.0, None, 0) for symbol in pegged], RATES)
-    for number in range(1, passes + 1):
+    number = 0
+    while True:
+        number += 1
         known = rates.filter("rate <> 0").select("symbol", "rate")
         paid = known.select(F.col("symbol").alias("in_symbol"), F.col("rate").alias("in_rate"))
         got = known.select(F.col("symbol").alias("out_symbol"), F.col("rate").alias("out_rate"))

@@ -136,7 +136,7 @@ def pool_checks(spark, folder):
     f"""WITH RECURSIVE w AS (SELECT p_partkey AS id, CASE WHEN p_type IN ('SMALL', 'PROMO', 'LARGE') THEN p_partkey // 3 END AS underlying, 1 + p_size / 100 AS ratio FROM part),
     o AS (SELECT p_partkey AS node, CASE WHEN p_type = 'ECONOMY' THEN p_retailprice END AS oracle, CASE WHEN p_size > 25 THEN p_retailprice + 1 END AS spot FROM part),
     walk AS (SELECT id, id AS node, 0 AS hop, 1.0::double AS factor FROM w UNION ALL
-      SELECT walk.id, w.underlying, hop + 1, factor * ratio FROM walk JOIN o ON o.node = walk.node JOIN w ON w.id = walk.node WHERE oracle IS NULL AND w.underlying IS NOT NULL AND hop < 8),
+      SELECT walk.id, w.underlying, hop + 1, factor * ratio FROM walk JOIN o ON o.node = walk.node JOIN w ON w.id = walk.node WHERE oracle IS NULL AND w.underlying IS NOT NULL),
     p AS (SELECT walk.*, oracle, spot FROM walk LEFT JOIN o USING (node)),
     b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hop DESC) AS rk FROM p WHERE oracle IS NOT NULL OR spot IS NOT NULL)
     SELECT w.id, {six_sql("coalesce(oracle, spot) * factor")} AS price, CASE WHEN b.id IS NULL THEN NULL WHEN oracle IS NOT NULL THEN 'oracle' ELSE 'spot' END AS via, cast(hop AS bigint) AS hops

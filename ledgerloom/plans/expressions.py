@@ -195,30 +195,34 @@ def pallet_names(spark, folder):
     return T.table(spark, folder, "customer").select("c_custkey", S.printable_head(tail).alias("display"))
 
 
-# Route classes by location prefix.
-ROUTES = {
-    "0202090704": "ethereum bridge",
-    "02010903": "other relay chain",
-    "000306027768": "general-key bridge",
-    "010300a10f": "issued on the hub",
-    "010200411f": "via chain 2000",
-    "010100": "a chain's own token",
-    "010200": "a chain's own token",
-    "00010300": "a contract",
-}
+ROUTE_RULES_SQL = """rules AS (SELECT DISTINCT substr(reverse(c_name), 1, 2) AS prefix, c_mktsegment AS class, false AS exact FROM customer
+      UNION ALL SELECT DISTINCT substr(reverse(c_name), 1, 4), c_mktsegment || ' line', false FROM customer WHERE c_custkey % 10 = 3
+      UNION ALL SELECT reverse(c_name), 'own name', true FROM customer WHERE c_nationkey = 7),
+    kept AS (SELECT prefix, exact, min(class) AS class FROM rules GROUP BY ALL)"""
+
+
+def route_rules(spark, folder):
+    """Rules drawn from the customers: two and four leading digits of the turned name by segment, and the whole name in one nation."""
+    customer = T.table(spark, folder, "customer")
+    segment, phone = F.col("c_mktsegment"), F.reverse("c_name")
+    rule = lambda rows, prefix, name, exact: rows.select(prefix.alias("prefix"), name.alias("class"), F.lit(exact).alias("exact"))
+    coarse = rule(customer, F.substring(phone, 1, 2), segment, False)
+    fine = rule(customer.filter(F.col("c_custkey") % 10 == 3), F.substring(phone, 1, 4), F.concat(segment, F.lit(" line")), False)
+    return coarse.union(fine).union(rule(customer.filter("c_nationkey = 7"), phone, F.lit("own name"), True))
 
 
 @query(
     "p16_route_classes",
-    """WITH h AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN '0202090704' WHEN '2-HIGH' THEN '010300a10f' WHEN '3-MEDIUM' THEN '010200411f' WHEN '4-NOT SPECIFIED' THEN '010200' ELSE 'ff' END AS p FROM orders)
-    SELECT CASE p WHEN '0202090704' THEN 'ethereum bridge' WHEN '010300a10f' THEN 'issued on the hub' WHEN '010200411f' THEN 'via chain 2000' WHEN '010200' THEN 'a chain''s own token' ELSE 'elsewhere' END AS route, count(*) AS orders FROM h GROUP BY ALL""",
+    f"""WITH {ROUTE_RULES_SQL}, ends AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'zz' ELSE reverse(c_name) END AS location FROM orders JOIN customer ON o_custkey = c_custkey),
+    named AS (SELECT coalesce(e.class, f.class, c.class, 'elsewhere') AS route FROM ends
+      LEFT JOIN kept e ON e.exact AND e.prefix = location LEFT JOIN kept f ON NOT f.exact AND f.prefix = substr(location, 1, 4) AND length(f.prefix) = 4
+      LEFT JOIN kept c ON NOT c.exact AND c.prefix = substr(location, 1, 2) AND length(c.prefix) = 2)
+    SELECT route, count(*) AS orders FROM named GROUP BY ALL""",
 )
 def route_classes(spark, folder):
-    urgency = F.col("o_orderpriority")
-    head = F.when(urgency == "1-URGENT", "0202090704").when(urgency == "2-HIGH", "010300a10f").when(urgency == "3-MEDIUM", "010200411f").when(urgency == "4-NOT SPECIFIED", "010200").otherwise("ff")
-    location = F.concat(head, F.lower(F.lpad(F.hex("o_orderkey"), 16, "0")))
-    route = S.prefix_class(location, ROUTES, "elsewhere")
-    return T.table(spark, folder, "orders").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("orders"))
+    orders, customer = T.table(spark, folder, "orders"), T.table(spark, folder, "customer")
+    ends = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.when(F.col("o_orderkey") % 11 == 0, "zz").otherwise(F.reverse("c_name")).alias("location"))
+    return S.classified(ends, "location", route_rules(spark, folder), "elsewhere").groupBy("route").agg(F.count(F.lit(1)).alias("orders"))
 
 
 @query(

@@ -37,7 +37,7 @@ plegs AS MATERIALIZED (
 
 
 def rates_sql(passes: int = 5, legs: str = "plegs") -> str:
-    """Unrolled sweep; every pass adds the symbols it reaches."""
+    """Unrolled sweep; every pass adds the symbols it reaches. On these tables the third pass finds nothing more."""
     seed = " UNION ALL ".join(f"SELECT '{s}' AS symbol, 1.0::double AS rate, NULL::bigint AS observations, 0 AS pass" for s in PEGGED)
     parts = [f"""usable AS (SELECT * FROM {legs} WHERE in_symbol IS NOT NULL AND out_symbol IS NOT NULL AND in_amount > 0 AND out_amount > 0),
     r0 AS MATERIALIZED ({seed})"""]

@@ -80,10 +80,9 @@ def account_page(legs: DataFrame, trades: DataFrame, days: int) -> Report:
     }
 
 
-def priced_trades(trades: DataFrame, legs: DataFrame, pegged: Iterable[str], passes: int = 5) -> Report:
+def priced_trades(trades: DataFrame, legs: DataFrame, pegged: Iterable[str]) -> Report:
     """Rates stated by the legs, trades valued at them, and the symbols nothing prices."""
-    need(1 <= passes <= 5, "passes must lie between 1 and 5")
-    rates = pricing.derive_rates(legs, pegged, passes)
+    rates = pricing.derive_rates(legs, pegged)
     valued = pricing.value_input(trades.drop("usd"), rates, "token_in", "amount_in")
     return {"rates": rates, "trades": valued, "unpriced": pricing.unknown_tokens(trades.filter("token_in IS NOT NULL"), rates.withColumnRenamed("symbol", "token_in"), "token_in")}
 

@@ -97,11 +97,11 @@ def clipped_peaks(spark, folder):
 
 
 AXIS_SQL = "axis AS (SELECT cast(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS date) AS day FROM closes)"
-CLOSES_SQL = f"{FRAMES_SQL}, closes AS (SELECT account, day, arg_max(amount, block) AS balance FROM frames WHERE amount > 4000 GROUP BY ALL), {AXIS_SQL}, ids AS (SELECT DISTINCT account FROM closes), dense AS (SELECT ids.account, axis.day, balance FROM ids CROSS JOIN axis LEFT JOIN closes USING (account, day))"
+CLOSES_SQL = f"{FRAMES_SQL}, closes AS (SELECT account, day, arg_max(amount, block) AS balance FROM frames GROUP BY ALL), {AXIS_SQL}, ids AS (SELECT DISTINCT account FROM closes), dense AS (SELECT ids.account, axis.day, balance FROM ids CROSS JOIN axis LEFT JOIN closes USING (account, day))"
 
 
 def sparse_closes(spark, folder):
-    rows = leg_frames(spark, folder).filter("amount > 4000").select("account", "block", F.col("amount").alias("balance"), "day")
+    rows = leg_frames(spark, folder).select("account", "block", F.col("amount").alias("balance"), "day")
     return B.day_closes(rows, "account")
 
 
@@ -112,20 +112,26 @@ def dense_closes(spark, folder):
 
 @query(
     "w04_filled_forward",
-    f"WITH {CLOSES_SQL} SELECT account, day, cast(last_value(balance IGNORE NULLS) OVER (PARTITION BY account ORDER BY day) AS bigint) AS balance FROM dense",
+    f"""WITH {CLOSES_SQL} SELECT account, day AS from_day, cast(coalesce(lead(day) OVER (PARTITION BY account ORDER BY day) - INTERVAL 1 DAY, (SELECT max(day) FROM closes)) AS date) AS to_day,
+      cast(balance AS bigint) AS balance FROM closes""",
 )
 def filled_forward(spark, folder):
-    out = A.fill_forward(dense_closes(spark, folder), ["account"], "day", "balance")
-    return out.select("account", "day", *LONG("balance"))
+    """Carried forward as intervals: a row for each close, not for each account and day."""
+    return A.carried(sparse_closes(spark, folder), ["account"], "day").select("account", "from_day", "to_day", *LONG("balance"))
 
 
-PRESENT_SQL = f"{CLOSES_SQL}, present AS (SELECT DISTINCT day FROM frames WHERE amount > 25000)"
+PRESENT_SQL = f"{CLOSES_SQL}, present AS (SELECT day FROM frames GROUP BY day HAVING max(amount) > 25000)"
 ZERO_SQL = f"""{PRESENT_SQL}, firsts AS (SELECT account, min(day) FILTER (balance IS NOT NULL) AS f FROM dense GROUP BY account),
 zeroed AS (SELECT account, day, CASE WHEN day NOT IN (SELECT day FROM present) THEN NULL WHEN day < f THEN NULL ELSE cast(coalesce(balance, 0) AS bigint) END AS balance FROM dense JOIN firsts USING (account))"""
 
 
+def covered_days(spark, folder):
+    """Days count as read if their largest amount is above a bar; every event is looked at."""
+    return leg_frames(spark, folder).groupBy("day").agg(F.max("amount").alias("most"), F.sum("amount").cast("bigint").alias("total")).filter("most > 25000")
+
+
 def zeroed(spark, folder):
-    read = leg_frames(spark, folder).filter("amount > 25000").select("day").distinct().withColumn("present", F.lit(True))
+    read = covered_days(spark, folder).select("day").withColumn("present", F.lit(True))
     rows = dense_closes(spark, folder).join(read, "day", "left").fillna({"present": False})
     return A.zero_after_first(rows, ["account"], "day", "balance", "present").select("account", "day", *LONG("balance"))
 
@@ -141,25 +147,26 @@ def zero_after_dropout(spark, folder):
       max(day) FILTER (balance IS NOT NULL) AS last_on FROM zeroed GROUP BY account""",
 )
 def peaks(spark, folder):
-    return A.peaks(zeroed(spark, folder), ["account"], "day", "balance")
+    closes = sparse_closes(spark, folder).select("account", "day", *LONG("balance"))
+    return A.sparse_peaks(closes, covered_days(spark, folder), "account", "day", "balance")
 
 
 @query(
     "g02_dense_with_missing",
-    f"""WITH {FRAMES_SQL}, closes AS (SELECT day, sum(amount) AS total FROM frames WHERE amount > 25000 GROUP BY day), {AXIS_SQL}
+    f"""WITH {FRAMES_SQL}, closes AS (SELECT day, sum(amount) AS total FROM frames GROUP BY day HAVING max(amount) > 25000), {AXIS_SQL}
     SELECT day, cast(total AS bigint) AS total, total IS NULL AS missing FROM axis LEFT JOIN closes USING (day)""",
 )
 def dense_with_missing(spark, folder):
-    daily = leg_frames(spark, folder).filter("amount > 25000").groupBy("day").agg(F.sum("amount").cast("bigint").alias("total"))
+    daily = covered_days(spark, folder).select("day", "total")
     return A.dense(daily, "day", {}).withColumn("missing", F.col("total").isNull())
 
 
 @query(
     "w11_missing_days",
-    f"WITH {FRAMES_SQL}, closes AS (SELECT day FROM frames WHERE amount > 25000), {AXIS_SQL} SELECT day FROM axis WHERE day NOT IN (SELECT day FROM closes)",
+    f"WITH {FRAMES_SQL}, closes AS (SELECT day FROM frames GROUP BY day HAVING max(amount) > 25000), {AXIS_SQL} SELECT day FROM axis WHERE day NOT IN (SELECT day FROM closes)",
 )
 def missing_days(spark, folder):
-    return A.missing_days(leg_frames(spark, folder).filter("amount > 25000"), "day")
+    return A.missing_days(covered_days(spark, folder), "day")
 
 
 @query(
@@ -213,12 +220,11 @@ def day_ranges(spark, folder):
 
 @query(
     "u03_sticky_ids",
-    f"""WITH {FRAMES_SQL}, closes AS (SELECT account, day FROM frames WHERE amount > 4000), {AXIS_SQL}, f AS (SELECT account, min(day) AS first_seen FROM closes GROUP BY account)
-    SELECT account, first_seen, day FROM f JOIN axis ON day >= first_seen""",
+    f"""WITH {FRAMES_SQL}, f AS (SELECT account, min(day) AS first_seen FROM frames GROUP BY account)
+    SELECT account, first_seen, (SELECT max(day) FROM frames) AS listed_until FROM f""",
 )
 def sticky_ids(spark, folder):
-    rows = leg_frames(spark, folder).filter("amount > 4000").select("account", "day")
-    return B.sticky_ids(rows, A.day_axis(rows, "day"), "account", "day")
+    return B.sticky_ids(leg_frames(spark, folder), "account", "day")
 
 
 @query(

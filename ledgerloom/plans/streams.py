@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import facts as K
+from ..operators import orders as O
 from ..operators import quality as Q
 from ..session import fresh_path, prepare
 from ..sources import tables as T
@@ -123,14 +124,14 @@ def repeated_batches(spark, folder):
 
 @query("r05_redelivered_events", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
 def redelivered_events(spark, folder):
-    """All events land, then all of them land once more."""
+    """The first half of the events lands; the second delivery repeats its last twelve hours, within the delay, and goes on."""
     events = T.table(spark, folder, "events")
     landing, out, cursor = (fresh_path(spark, n) for n in ("landing", "deduped", "cursor"))
-    events.write.mode("append").parquet(landing)
-    run = lambda: R.drain(R.drop_redelivered(event_stream(spark, landing), ["event_id"], "at", "1 day"), R.append_batches(out), cursor)
-    run()
-    events.write.mode("append").parquet(landing)
-    run()
+    at = F.col("ts").cast("timestamp")
+    half = events.agg(F.timestamp_micros(((F.unix_micros(F.min(at)) + F.unix_micros(F.max(at))) / 2).cast("long")).alias("half")).scalar()
+    for part in (events.filter(at < half), events.filter(at >= half - F.expr("interval 12 hours"))):
+        part.write.mode("append").parquet(landing)
+        R.drain(R.drop_redelivered(event_stream(spark, landing), ["event_id"], "at", "1 day"), R.append_batches(out), cursor)
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("ids"))
 
 
@@ -180,17 +181,43 @@ def streamed_heads(spark, folder):
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 90 DAY GROUP BY ALL""",
 )
 def order_life_cycle(spark, folder):
-    """Placed and filled as two streams. The tables land unordered, so the delay spans their whole history."""
+    """Placed and filled as two streams that land in order of time, a third of the span after the other: state older than the bound goes."""
     prepare(spark)
-    out = fresh_path(spark, "life-cycle")
-    placed = R.read_landing(spark, f"{folder}/orders.parquet").select(
+    out, cursor, orders_landing, lines_landing = (fresh_path(spark, n) for n in ("life-cycle", "cursor", "orders", "lines"))
+    orders, lines = T.table(spark, folder, "orders"), T.table(spark, folder, "lineitem")
+    first, last = orders.agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first()
+    cuts = [None, *(first + (last - first) * k // 3 for k in (1, 2)), None] if first else [None, None]
+    for low, high in zip(cuts, cuts[1:]):
+        slice_of = lambda df, day: df.filter(F.lit(True) if low is None else F.col(day) >= F.lit(low)).filter(F.lit(True) if high is None else F.col(day) < F.lit(high))
+        slice_of(orders, "o_orderdate").write.mode("append").parquet(orders_landing)
+        slice_of(lines, "l_shipdate").write.mode("append").parquet(lines_landing)
+        joined = R.life_cycle(*placed_and_filled(spark, orders_landing, lines_landing), "2 days", "90 days")
+        R.drain(joined, R.append_batches(out), cursor)
+    return spark.read.parquet(out).groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("fills"), F.min("latency_s").alias("first_latency_s")
+    )
+
+
+def placed_and_filled(spark, orders_landing, lines_landing):
+    placed = R.read_landing(spark, orders_landing).select(
         F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("placed_at")
     )
-    filled = R.read_landing(spark, f"{folder}/lineitem.parquet").select(
+    filled = R.read_landing(spark, lines_landing).select(
         F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp").alias("filled_at"), T.line_key().alias("fill_key")
     )
-    joined = R.life_cycle(placed, filled, "4000 days", "90 days")
-    R.drain(joined, R.append_batches(out), fresh_path(spark, "cursor"))
-    return spark.read.parquet(out).groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("fills"), F.min("latency_s").alias("first_latency_s")
-    )
+    return placed, filled
+
+
+@query(
+    "r09_order_ends",
+    """WITH f AS (SELECT l_orderkey AS order_id, count(*) AS fills, min(l_shipdate) AS first_fill, count(*) FILTER (l_returnflag = 'R') AS refunded, count(*) FILTER (l_returnflag = 'A') AS redeemed FROM lineitem GROUP BY ALL),
+    e AS (SELECT o_orderkey AS order_id, coalesce(fills, 0) AS fills, CASE WHEN coalesce(refunded, 0) > 0 THEN 'refunded' WHEN coalesce(redeemed, 0) > 0 THEN 'redeemed' WHEN fills > 0 THEN 'filled' ELSE 'placed' END AS state,
+      cast(epoch(first_fill) - epoch(o_orderdate) AS bigint) AS first_latency_s FROM orders LEFT JOIN f ON order_id = o_orderkey)
+    SELECT order_id, fills, state, first_latency_s FROM e""",
+)
+def order_ends(spark, folder):
+    """Returned lines are refunds, accepted ones are redeemed; an order without any line is placed only."""
+    orders = T.table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("placed_at"))
+    kind = F.when(F.col("l_returnflag") == "R", "refunded").when(F.col("l_returnflag") == "A", "redeemed")
+    fills = T.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp").alias("filled_at"), kind.alias("end"))
+    return O.order_ends(orders, fills).select("order_id", "fills", "state", "first_latency_s")

@@ -18,8 +18,11 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int | None = N
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # A pattern takes a folder of files as well as a table that is one file.
-    return reader.parquet(f"{path}*")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    # A table that is one file: its folder, and of that the one name.
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
 def settled_days(stream: DataFrame, at: str, delay: str, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
@@ -109,10 +112,11 @@ def month_sink(days_path: str, months_path: str) -> Callable[[DataFrame, int], N
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("month", F.date_format("day", "yyyy-MM")).withColumn("fresh", F.lit(1))
+        rows = settle(batch.withColumn("month", F.date_format("day", "yyyy-MM")).withColumn("fresh", F.lit(1)), "month-batch")
         stored = read_facts(spark, days_path)
         if stored is not None:
-            touched = stored.join(rows.select("month").distinct(), "month", "left_semi")
+            months = [r[0] for r in rows.select("month").distinct().collect()]  # bounded by the calendar
+            touched = stored.filter(F.col("month").isin(months))
             rows = rows.unionByName(touched.select(*batch.columns, "month").withColumn("fresh", F.lit(0)))
         days = settle(keep_one(rows, ["month", "day"], [F.desc("fresh")]).drop("fresh"), "month-days")
         replace_partitions(days_path, "month")(days, _)

@@ -6,8 +6,8 @@ from ledgerloom.operators import registry as R
 LEGS = "in_symbol string, in_amount double, out_symbol string, out_amount double"
 
 
-def rates(spark, legs, **kw):
-    out = P.derive_rates(spark.createDataFrame(legs, LEGS), ["USDC"], **kw).collect()
+def rates(spark, legs):
+    out = P.derive_rates(spark.createDataFrame(legs, LEGS), ["USDC"]).collect()
     return {r.symbol: (r.rate, r.observations, r["pass"]) for r in out}
 
 
@@ -26,9 +26,11 @@ def test_a_priced_symbol_is_not_revised_and_unlinked_ones_stay_unknown(spark):
     assert got["A"] == (2.0, 1, 1) and set(got) == {"USDC", "A", "B"}
 
 
-def test_passes_are_bounded(spark):
-    chain = [("USDC", 1.0, "s1", 1.0)] + [(f"s{i}", 1.0, f"s{i + 1}", 1.0) for i in range(1, 9)]
-    assert max(p for _, _, p in rates(spark, chain).values()) == 5
+def test_passes_go_on_until_nothing_new_is_reached(spark):
+    chain = [("USDC", 1.0, "s1", 1.0)] + [(f"s{i}", 1.0, f"s{i + 1}", 1.0) for i in range(1, 8)] + [("s8", 1.0, "USDC", 1.0)]
+    assert {s: p for s, (_, _, p) in rates(spark, chain).items()} == {"USDC": 0, "s1": 1, "s8": 1, "s2": 2, "s7": 2, "s3": 3, "s6": 3, "s4": 4, "s5": 4}
+    line = [("USDC", 1.0, "s1", 1.0)] + [(f"s{i}", 1.0, f"s{i + 1}", 1.0) for i in range(1, 8)]
+    assert rates(spark, line)["s8"][2] == 8
 
 
 LEG = "order_id int, account int, operation string, side string, leg int, leg_key string, asset_id int, amount double, usd decimal(18,4)"
