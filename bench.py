@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -48,13 +49,13 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     from ledgerloom import plans
     from ledgerloom.plans import registry
-    from ledgerloom.session import build_session
+    from ledgerloom.session import build_session, clear_run
 
     plans.load()
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")},
+        **{"spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-"), "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = list(registry.QUERIES) if sys.argv[1:] == ["all"] else (sys.argv[1:] or HEADLINE)
@@ -65,6 +66,7 @@ def main() -> None:
         start = time.perf_counter()
         registry.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+    clear_run(spark)
     spark.stop()
     print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(folder.rstrip("/"))}))
 

@@ -54,6 +54,13 @@ def cohort_days(rows: DataFrame, cohort: DataFrame, day: str, ident: str, legs:
     return days.join(best, day, "left")
 
 
+def cohort_holders(rows: DataFrame, cohort: DataFrame, day: str, ident: str, legs: Sequence[str]) -> DataFrame:
+    """What each account of the cohort holds on a day, by leg: long rows, nothing where nothing is held."""
+    held = rows.join(cohort.select(ident), ident, "left_semi")
+    pairs = F.array(*[F.struct(F.lit(c).alias("leg"), F.col(c).alias("amount")) for c in legs])
+    return held.select(day, ident, F.inline(pairs)).filter(F.col("amount") != 0)
+
+
 def archive_addresses(obs: DataFrame, threshold: object) -> DataFrame:
     """Per address: final balance (highest block), peak, first and last day, observations; small finals left out."""
     rows = obs.groupBy("address").agg(
@@ -195,6 +202,12 @@ def holdings_per_chain(holders: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
+def symbols_per_chain(holders: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The symbols that a chain holds, as long rows with the number of assets behind each; assets without a token count under NULL."""
+    held = holders.filter(F.col("chain").isNotNull()).select("chain", "asset").distinct().join(tokens, "asset", "left")
+    return held.groupBy("chain", "symbol").agg(F.count(F.lit(1)).alias("assets"))
+
+
 def sovereign_totals(rows: DataFrame, snapshot: str, legs: Sequence[str], issuance: DataFrame) -> DataFrame:
     """Per snapshot: sums per leg, accounts that exist, and the share of issuance they hold."""
     sums = rows.groupBy(snapshot).agg(

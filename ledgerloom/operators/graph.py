@@ -73,9 +73,15 @@ def both_ends(edges: DataFrame) -> DataFrame:
     return edges.select(*kept, F.explode(ends).alias("e")).select(*kept, "e.*", (F.col("e.account") == F.col("e.other")).alias("self"))
 
 
-def counterparties(edges: DataFrame) -> DataFrame:
-    """One row per account and other side."""
+def counterparties(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """One row per account and other side; with targets(account) only for these, and only their edges are folded."""
+    if targets is not None:
+        names = targets.select("account").distinct()
+        asked = lambda end: names.select(F.col("account").alias(end), F.lit(True).alias(f"__{end}"))
+        edges = edges.join(asked("sender"), "sender", "left").join(asked("receiver"), "receiver", "left").filter("__sender OR __receiver").drop("__sender", "__receiver")
     ends = both_ends(edges).filter(~F.col("self"))
+    if targets is not None:
+        ends = ends.join(names, "account", "left_semi")
     sent = F.count_if("out")
     got = F.count_if(~F.col("out"))
     return ends.groupBy("account", "other").agg(

@@ -123,6 +123,13 @@ def rollups(objects: DataFrame, facets: list[str]) -> DataFrame:
     )
 
 
+def per_day(objects: DataFrame, times: DataFrame, facet: str) -> DataFrame:
+    """Objects, bytes and the largest object by day and value of a facet. times(block, day), one row a block."""
+    return objects.join(times, "block", "left").groupBy("day", facet).agg(
+        F.count(F.lit(1)).alias("objects"), F.sum("size").cast("bigint").alias("bytes"), F.max("size").alias("largest")
+    )
+
+
 def duplication(objects: DataFrame) -> DataFrame:
     """Distinct contents, repeated ones, the bytes the repeats hold, and most copies of one content."""
     per_hash = objects.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min_by("size", "block").alias("size"))

@@ -97,6 +97,20 @@ def counterparties(spark, folder):
     return G.counterparties(T.transfer_edges(spark, folder))
 
 
+@query(
+    "a09_counterparties_of_targets",
+    f"""WITH {T.EDGES_SQL}, {ENDS_SQL}, t AS (SELECT 'c:' || c_custkey AS account FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 's:' || s_suppkey FROM supplier WHERE s_nationkey = 7)
+    SELECT account, other, count(*) AS transfers, count(*) FILTER (is_out) AS sent, count(*) FILTER (NOT is_out) AS received,
+      CASE WHEN bool_and(is_out) THEN 'out' WHEN bool_or(is_out) THEN 'both' ELSE 'in' END AS direction, min(day) AS first_day, max(day) AS last_day,
+      string_agg(DISTINCT chain, ',' ORDER BY chain) AS chains FROM ends WHERE account IN (SELECT account FROM t) GROUP BY account, other""",
+)
+def counterparties_of_targets(spark, folder):
+    """The asked accounts: customers in debt, and the suppliers of one nation."""
+    customers = T.table(spark, folder, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("account"))
+    suppliers = T.table(spark, folder, "supplier").filter("s_nationkey = 7").select(F.concat(F.lit("s:"), F.col("s_suppkey")).alias("account"))
+    return G.counterparties(T.transfer_edges(spark, folder), customers.union(suppliers))
+
+
 BAGS_SQL = """bags AS (SELECT account, chain, asset, count(*) AS transfers, coalesce(sum(amount) FILTER (is_out), 0) AS sent_raw, coalesce(sum(amount) FILTER (NOT is_out), 0) AS received_raw FROM ends GROUP BY ALL)"""
 
 
@@ -437,6 +451,17 @@ def expectations(spark, folder):
     return Q.violations(T.table(spark, folder, "lineitem"), checks)
 
 
+@query(
+    "q09_required",
+    "SELECT l_returnflag, count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL",
+)
+def required(spark, folder):
+    """The refusing form: a single row against an expectation fails the query instead of being counted."""
+    checks = {"positive_quantity": F.col("l_quantity") > 0, "flagged": F.col("l_returnflag").isNotNull()}
+    rows = Q.require(T.table(spark, folder, "lineitem"), checks)
+    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"))
+
+
 @query(
     "q14_count_check",
     """WITH c AS (SELECT l_orderkey, max(l_linenumber) AS claimed, count(*) AS rows_read FROM lineitem GROUP BY l_orderkey)

@@ -73,6 +73,16 @@ def cohort_days(spark, folder):
     return out.select("day", *LONG("relay", "hub", "total", "top_ten"), "nonzero")
 
 
+@query(
+    "a28_cohort_holders",
+    f"""WITH {FRAMES_SQL}, c AS (SELECT account FROM frames GROUP BY account HAVING sum(amount) > 300000)
+    SELECT day, account, leg, cast(sum(amount) AS bigint) AS amount FROM frames WHERE leg IS NOT NULL AND account IN (SELECT account FROM c) GROUP BY ALL HAVING sum(amount) <> 0""",
+)
+def cohort_holders(spark, folder):
+    cohort = leg_frames(spark, folder).groupBy("account").agg(F.sum("amount").alias("s")).filter("s > 300000")
+    return B.cohort_holders(legs2(spark, folder), cohort, "day", "account", ["relay", "hub"]).select("day", "account", "leg", *LONG("amount"))
+
+
 def observations(spark, folder):
     return leg_frames(spark, folder).select(F.col("account").alias("address"), "block", F.col("amount").alias("balance"), "day")
 
@@ -391,6 +401,15 @@ def holdings_per_chain(spark, folder):
     return B.holdings_per_chain(holder_frames(spark, folder)[1], tokens)
 
 
+@query(
+    "a25_symbols_per_chain",
+    f"""WITH {HOLDERS_SQL} SELECT chain, p_name AS symbol, count(DISTINCT asset) AS assets FROM holders JOIN part ON asset = p_partkey WHERE chain IS NOT NULL GROUP BY ALL""",
+)
+def symbols_per_chain(spark, folder):
+    tokens = T.table(spark, folder, "part").select(F.col("p_partkey").alias("asset"), F.col("p_name").alias("symbol"))
+    return B.symbols_per_chain(holder_frames(spark, folder)[1], tokens)
+
+
 @query(
     "a26_sovereign_totals",
     """WITH r AS (SELECT strftime(l_shipdate, '%Y-%m') AS snapshot, l_suppkey, sum(l_quantity) FILTER (l_linestatus = 'F') AS relay, sum(l_quantity) FILTER (l_linestatus = 'O') AS hub, sum(l_quantity) AS total

@@ -45,6 +45,17 @@ def object_rollups(spark, folder):
     return O.rollups(O.with_shape(chain_objects(spark, folder)), ["shape", "codec", "hashing"])
 
 
+@query(
+    "a30_objects_per_day",
+    f"""WITH {CHAIN_SQL} SELECT cast(ts AS date) AS day, shape, count(*) AS objects, cast(sum(size) AS bigint) AS bytes, max(size) AS largest
+    FROM shaped LEFT JOIN events ON event_id = block GROUP BY ALL""",
+)
+def objects_per_day(spark, folder):
+    """The event of an object's number says when its block was; objects whose block has no time stay, without a day."""
+    times = T.table(spark, folder, "events").select(F.col("event_id").alias("block"), F.to_date("ts").alias("day"))
+    return O.per_day(O.with_shape(chain_objects(spark, folder)), times, "shape")
+
+
 @query(
     "a31_duplication",
     f"""WITH {T.OBJECTS_SQL}, c AS (SELECT hash, count(*) AS copies, arg_min(size, block) AS size FROM objects GROUP BY hash)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import axis, ranking, swaps
+from ..session import settle
 from ..sources import tables as T
 from .registry import query, six_sql
 
@@ -246,7 +247,7 @@ def keep_latest_line(spark, folder):
     FROM routes ORDER BY routes.usd DESC, route LIMIT 40""",
 )
 def top_routes(spark, folder):
-    frame = swaps.volume(swaps.with_route(T.trades(spark, folder)), "route")
+    frame = settle(swaps.volume(swaps.with_route(T.trades(spark, folder)), "route"), "routes")
     totals = frame.agg(F.count(F.lit(1)).alias("routes_total"), S.dbl(F.sum("usd")).alias("usd_total"))
     best = ranking.top_k(frame, [F.desc("usd"), F.asc("route")], 40)
     return ranking.with_totals(best, totals).withColumn("usd", S.dbl(F.col("usd")))
@@ -259,12 +260,25 @@ def top_routes(spark, folder):
     SELECT date, account, cast(usd AS double) AS usd, count, rank, accounts_total FROM r WHERE rank <= 5""",
 )
 def top_accounts_per_day(spark, folder):
-    frame = swaps.volume(T.trades(spark, folder), "date", "account")
+    frame = settle(swaps.volume(T.trades(spark, folder), "date", "account"), "day-accounts")
     counts = frame.groupBy("date").agg(F.count(F.lit(1)).alias("accounts_total"))
     best = ranking.top_per_group(frame, ["date"], [F.desc("usd"), F.asc("account")], 5)
     return best.join(counts, "date").withColumn("usd", S.dbl(F.col("usd")))
 
 
+@query(
+    "t03_top_routes_per_day",
+    f"""WITH {T.TRADES_SQL}, a AS (SELECT date, token_in || '→' || token_out AS route, coalesce(sum(usd), 0) AS usd, count(*) AS count FROM trades GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY usd DESC, route) AS rank, count(*) OVER (PARTITION BY date) AS routes_total, sum(usd) OVER (PARTITION BY date) AS usd_total FROM a)
+    SELECT date, route, cast(usd AS double) AS usd, count, rank, routes_total, cast(usd_total AS double) AS usd_total FROM r WHERE rank <= 40""",
+)
+def top_routes_per_day(spark, folder):
+    frame = settle(swaps.volume(swaps.with_route(T.trades(spark, folder)), "date", "route"), "day-routes")
+    totals = frame.groupBy("date").agg(F.count(F.lit(1)).alias("routes_total"), S.dbl(F.sum("usd")).alias("usd_total"))
+    best = ranking.top_per_group(frame, ["date"], [F.desc("usd"), F.asc("route")], 40)
+    return best.join(totals, "date").withColumn("usd", S.dbl(F.col("usd")))
+
+
 @query(
     "t04_top_routes_and_rest",
     f"""WITH {T.TRADES_SQL}, {ROUTES_SQL},
@@ -273,7 +287,7 @@ def top_accounts_per_day(spark, folder):
       cast(sum(count) AS bigint) AS count, count(*) AS members FROM k GROUP BY ALL""",
 )
 def top_routes_and_rest(spark, folder):
-    frame = swaps.volume(swaps.with_route(T.trades(spark, folder)), "route")
+    frame = settle(swaps.volume(swaps.with_route(T.trades(spark, folder)), "route"), "routes")
     return ranking.top_or_rest(frame, "route", "usd", 8, "other").withColumn("usd", S.dbl(F.col("usd")))
 
 
