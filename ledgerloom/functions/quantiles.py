@@ -67,6 +67,17 @@ def exact_ranks(
     return out.select(*keys, "n", *checked)
 
 
+def counted_ranks(counts: DataFrame, value: str, times: str, ranks: dict[str, Column]) -> DataFrame:
+    """One row: the value at each 1-based rank, an expression over `n`, of values given as (value, times), one row a value.
+
+    For values that repeat, such as whole days: the order is over the different values only. NULL values are left out.
+    """
+    known = counts.filter(F.col(value).isNotNull())
+    cumulative = F.sum(times).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = known.select(value, cumulative.alias("__cum"), F.sum(times).over(Window.partitionBy()).alias("n"))
+    return placed.agg(*[F.min(F.when(F.col("__cum") >= rank, F.col(value))).alias(name) for name, rank in ranks.items()])
+
+
 def middles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Lower and upper middle value per key."""
     n = F.col("n")

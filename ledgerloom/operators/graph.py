@@ -54,8 +54,11 @@ def decode_transfers(blocks: DataFrame, event_names: list[str]) -> DataFrame:
     )
 
 
-def event_counts(edges: DataFrame, days: int, day: str = "day") -> DataFrame:
-    """Events by name over everything read, and those inside the last `days` days of the head."""
+def event_counts(edges: DataFrame, days: int, day: str = "day", head=None) -> DataFrame:
+    """Events by name over everything read, and those inside the last `days` days of the head, which may be known already."""
+    if head is not None:
+        inside = F.col(day) >= F.date_sub(F.lit(head), days)
+        return edges.groupBy("chain", "event").agg(F.count(F.lit(1)).alias("events"), F.count_if(inside).alias("in_window"))
     cut = edges.agg(F.date_sub(F.max(day), days).alias("cut"))
     per_day = edges.groupBy("chain", "event", day).agg(F.count(F.lit(1)).alias("n"))
     return with_totals(per_day, cut).groupBy("chain", "event").agg(

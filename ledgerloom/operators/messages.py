@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import nearest_rank, upper_median
+from ..functions.quantiles import counted_ranks
 from ..session import settle
 from .ranking import top_k, with_totals
 
@@ -24,20 +25,33 @@ def whole_day_window(df: DataFrame, day: str, days: int) -> DataFrame:
     return with_totals(df, window).filter(F.col(day) >= F.col("window_from"))
 
 
+def known_window(df: DataFrame, day: str, days: int, first, last) -> DataFrame:
+    """The same window where the source's first and last day are known already: literals, no second look at the rows."""
+    if last is None:
+        return whole_day_window(df, day, days)
+    asked = last - datetime.timedelta(days=days - 1)
+    start = max(asked, first)
+    window = {"window_from": F.lit(start), "window_to": F.lit(last), "clamped": F.lit(asked < first)}
+    return df.filter(F.col(day) >= F.lit(start)).withColumns(window)
+
+
 def window_summary(messages: DataFrame) -> DataFrame:
-    """One row over a window of messages; latencies of matched messages only."""
-    messages = settle(messages.select("outcome", "match_status", "latency"), "message-window")
-    middle = upper_median(messages, [], "latency", "median_latency").select("median_latency")
-    high = nearest_rank(messages, [], "latency", 0.95, "p95_latency").select("p95_latency")
-    done = F.col("outcome") == "Success"
-    totals = messages.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(done).alias("completed"),
-        F.count_if(F.col("outcome") == "Failed").alias("failed"),
-        (F.count_if(done) / F.count(F.lit(1)) * 100).alias("success_rate"),
-        F.count_if(F.col("match_status") == "matched").alias("matched"),
+    """One row over a window of messages; latencies of matched messages only.
+
+    Whole latencies repeat: messages are counted by outcome, match and latency first, and ranks come from those counts.
+    """
+    counted = settle(messages.groupBy("outcome", "match_status", "latency").agg(F.count(F.lit(1)).alias("n")), "message-counts")
+    number = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    every, done = F.coalesce(F.sum("n"), F.lit(0)), F.col("outcome") == "Success"
+    totals = counted.agg(
+        every.alias("total"),
+        number(done).alias("completed"),
+        number(F.col("outcome") == "Failed").alias("failed"),
+        (F.try_divide(number(done), every) * 100).alias("success_rate"),
+        number(F.col("match_status") == "matched").alias("matched"),
     )
-    return with_totals(with_totals(totals, middle), high)
+    ranks = {"median_latency": F.expr("n div 2 + 1"), "p95_latency": F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.95)))}
+    return with_totals(totals, counted_ranks(counted.groupBy("latency").agg(F.sum("n").alias("m")), "latency", "m", ranks))
 
 
 def daily_stats(messages: DataFrame, *by: str) -> DataFrame:

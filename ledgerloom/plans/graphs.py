@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import messages as M
 from ..operators import quality as Q
-from ..operators import ranking
 from ..sources import tables as T
 from .registry import query
 
@@ -67,9 +68,8 @@ def asset_keys(spark, folder):
     SELECT chain, asset, count(*) AS edges, cast(sum(amount) AS varchar) AS amount, min(day) AS first_day FROM edges, h WHERE day >= cut GROUP BY ALL""",
 )
 def windowed_edges(spark, folder):
-    edges = T.transfer_edges(spark, folder)
-    cut = edges.agg(F.date_sub(F.max("day"), 365).alias("cut"))
-    kept = ranking.with_totals(edges, cut).filter("day >= cut")
+    _, head = T.shipped_span(spark, folder)
+    kept = T.transfer_edges(spark, folder, head and head - datetime.timedelta(days=365))
     return kept.groupBy("chain", "asset").agg(
         F.count(F.lit(1)).alias("edges"), F.sum("amount").cast("string").alias("amount"), F.min("day").alias("first_day")
     )
@@ -81,7 +81,7 @@ def windowed_edges(spark, folder):
     SELECT chain, event, count(*) AS events, count(*) FILTER (day >= cut) AS in_window FROM edges, h GROUP BY ALL""",
 )
 def event_counts(spark, folder):
-    return G.event_counts(T.transfer_edges(spark, folder), 365)
+    return G.event_counts(T.transfer_edges(spark, folder), 365, head=T.shipped_span(spark, folder)[1])
 
 
 ENDS_SQL = """ends AS (SELECT sender AS account, receiver AS other, true AS is_out, * FROM edges UNION ALL SELECT receiver, sender, false, * FROM edges)"""
@@ -213,7 +213,7 @@ win AS (SELECT messages.*, lo, hi, clamped FROM messages, span WHERE date >= lo)
     f"WITH {WINDOW_SQL} SELECT date, count(*) AS messages, min(lo) AS window_from, max(hi) AS window_to, bool_or(clamped) AS clamped FROM win GROUP BY date",
 )
 def whole_day_window(spark, folder):
-    return M.whole_day_window(T.messages(spark, folder), "date", 90).groupBy("date", "window_from", "window_to", "clamped").agg(F.count(F.lit(1)).alias("messages"))
+    return last_days(spark, folder, 90).groupBy("date", "window_from", "window_to", "clamped").agg(F.count(F.lit(1)).alias("messages"))
 
 
 @query(
@@ -223,7 +223,13 @@ def whole_day_window(spark, folder):
       percentile_disc(0.5) WITHIN GROUP (ORDER BY latency DESC) AS median_latency, quantile_disc(latency, 0.95) AS p95_latency FROM win""",
 )
 def window_summary(spark, folder):
-    return M.window_summary(M.whole_day_window(T.messages(spark, folder), "date", 90))
+    return M.window_summary(last_days(spark, folder, 90))
+
+
+def last_days(spark, folder, days):
+    """The head comes from the fact table alone; the joins see the window's lines only."""
+    first, last = T.shipped_span(spark, folder)
+    return M.known_window(T.messages(spark, folder, last and last - datetime.timedelta(days=days - 1)), "date", days, first, last)
 
 
 STATS_SQL = "count(*) AS total, count(*) FILTER (outcome = 'Success') AS completed, count(*) FILTER (outcome = 'Failed') AS failed, count(*) FILTER (outcome IS NULL) AS unresolved"
