@@ -80,12 +80,12 @@ def day_closes(obs: DataFrame, key: str = "address") -> DataFrame:
 
 def clipped_peaks(obs: DataFrame, key: str = "address") -> DataFrame:
     """How much of a key's true peak the day closes miss."""
-    raw = obs.groupBy(key).agg(F.max("balance").alias("peak"))
-    daily = day_closes(obs, key).groupBy(key).agg(F.max("balance").alias("daily_peak"))
+    days = obs.groupBy(key, "day").agg(F.max("balance").alias("top"), F.max_by("balance", "block").alias("close"))
+    folded = days.groupBy(key).agg(F.max("top").alias("peak"), F.max("close").alias("daily_peak"))
     part = F.when(F.col("peak") == 0, F.lit(0.0)).otherwise(
         (F.col("peak").cast("double") - F.col("daily_peak").cast("double")) / F.col("peak").cast("double")
     )
-    return raw.join(daily, key).withColumn("clipped", part)
+    return folded.withColumn("clipped", part)
 
 
 def close_of_day(blocks: DataFrame, chain: str, day: str, height: str, at: str) -> DataFrame:

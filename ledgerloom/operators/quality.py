@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import middles
 from ..session import settle
-from .graph import mode_of
 from .ranking import with_totals
 
 
@@ -35,11 +34,11 @@ def flag_outliers(rows: DataFrame, ceiling: float, support: int = 5) -> DataFram
     rows(symbol, digits, decimals, usd): decimals other than the symbol's usual ones, then detached magnitude,
     then a value above the ceiling.
     """
-    rows = settle(rows, "outlier-rows")
-    histogram = rows.groupBy("symbol", "digits").agg(F.count(F.lit(1)).alias("n"))
-    profile = outlier_cuts(histogram, "symbol", "digits", "n", support=support).join(
-        mode_of(rows, "symbol", "decimals").select("symbol", F.col("mode").alias("usual_decimals")), "symbol", "left"
-    )
+    counted = settle(rows.groupBy("symbol", "digits", "decimals").agg(F.count(F.lit(1)).alias("n")), "outlier-counts")
+    histogram = counted.groupBy("symbol", "digits").agg(F.sum("n").alias("n"))
+    by_decimals = counted.filter(F.col("decimals").isNotNull()).groupBy("symbol", "decimals").agg(F.sum("n").alias("n"))
+    usual = by_decimals.groupBy("symbol").agg(F.min_by("decimals", F.struct(-F.col("n"), F.col("decimals"))).alias("usual_decimals"))
+    profile = outlier_cuts(histogram, "symbol", "digits", "n", support=support).join(usual, "symbol", "left")
     comparable = F.col("support") >= support
     reason = (
         F.when(comparable & (F.col("decimals") != F.col("usual_decimals")), "decimals-disagree")

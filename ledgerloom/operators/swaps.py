@@ -249,11 +249,16 @@ def rate_board(trades: DataFrame, tie: str = "id", window: int = 25, limit: int
     return top_k(board, [F.desc("observations"), F.asc("route")], limit)
 
 
-def platform_ratio(trades: DataFrame, legs: DataFrame) -> DataFrame:
-    """Own dollars per day beside the sum over every leg: pools count a route once per leg."""
-    own = trades.groupBy("date").agg(F.sum("usd").alias("own_usd"))
-    pool = legs.groupBy("date").agg(F.sum("usd").alias("pool_usd"))
-    return own.join(pool, "date", "left").select(
+def platform_ratio(rows: DataFrame, own: Column, pooled: Column | None = None) -> DataFrame:
+    """Own dollars per day beside the sum over every leg: pools count a route once per leg.
+
+    `own` marks the rows that are a trade's own dollars, `pooled` those that pools count, by default all.
+    """
+    pool_usd = F.col("usd") if pooled is None else F.when(pooled, F.col("usd"))
+    days = rows.groupBy("date").agg(
+        F.sum(F.when(own, F.col("usd"))).alias("own_usd"), F.sum(pool_usd).alias("pool_usd"), F.count_if(own).alias("__own")
+    )
+    return days.filter("__own > 0").select(
         "date",
         S.dbl(F.col("own_usd")).alias("own_usd"),
         S.dbl(F.col("pool_usd")).alias("pool_usd"),

@@ -60,7 +60,8 @@ def swap_days(trades: DataFrame, legs: DataFrame | None = None, accounts: int =
         "routes": by(swaps.with_route(trades), "route", routes),
     }
     if legs is not None:
-        out["platform"] = swaps.platform_ratio(trades, legs)
+        both = trades.select("date", "usd", F.lit(True).alias("own")).unionByName(legs.select("date", "usd", F.lit(False).alias("own")))
+        out["platform"] = swaps.platform_ratio(both, F.col("own"), ~F.col("own"))
     return out
 
 

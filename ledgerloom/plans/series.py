@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import axis as A
 from ..operators import balances as B
 from ..operators import quality as Q
-from ..session import fresh_path
+from ..session import fresh_path, settle
 from ..sources import landing as L
 from ..sources import tables as T
 from .registry import query
@@ -56,7 +56,7 @@ def two_legs(spark, folder):
     SELECT day, NULL, cast(coalesce(sum(relay) FILTER (bucket = 'dust'), 0) AS bigint), cast(coalesce(sum(hub) FILTER (bucket = 'dust'), 0) AS bigint), count(*) FILTER (bucket = 'dust'), 'dust' FROM b GROUP BY day""",
 )
 def day_with_dust(spark, folder):
-    out = B.day_with_dust(legs2(spark, folder), "day", "account", ["relay", "hub"], 2000)
+    out = B.day_with_dust(settle(legs2(spark, folder), "day-accounts"), "day", "account", ["relay", "hub"], 2000)
     return out.select("day", "account", *LONG("relay", "hub"), "members", "bucket")
 
 
@@ -69,7 +69,7 @@ def day_with_dust(spark, folder):
 )
 def cohort_days(spark, folder):
     cohort = leg_frames(spark, folder).groupBy("account").agg(F.sum("amount").alias("s")).filter("s > 300000")
-    out = B.cohort_days(legs2(spark, folder), cohort, "day", "account", ["relay", "hub"])
+    out = B.cohort_days(settle(legs2(spark, folder), "day-accounts"), cohort, "day", "account", ["relay", "hub"])
     return out.select("day", *LONG("relay", "hub", "total", "top_ten"), "nonzero")
 
 
@@ -194,7 +194,7 @@ def archive_scores(spark, folder):
 
 def archived_pairs(spark, folder):
     """The archive keeps whole units only."""
-    mine = legs2(spark, folder)
+    mine = settle(legs2(spark, folder), "day-accounts")
     archived = mine.select("day", "account", (F.floor(F.col("relay") / 100) * 100).alias("value"))
     return B.archive_pairs(mine.select("day", "account", "relay"), archived, ["day", "account"])
 

@@ -168,8 +168,7 @@ def account_activity(spark, folder):
     FROM o LEFT JOIN p USING (date)""",
 )
 def platform_ratio(spark, folder):
-    legs = T.legs(spark, folder)
-    return swaps.platform_ratio(legs.filter("side = 'in'"), legs)
+    return swaps.platform_ratio(T.legs(spark, folder), F.col("side") == "in")
 
 
 @query(
