@@ -55,6 +55,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 RUN = uuid.uuid4().hex
+#: Called with every frame that is settled, before it is written; tests look at plans this way.
+WATCHERS: list = []
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -80,6 +82,8 @@ def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     this process's prefix of the shared folder until `clear_run` or the folder's owner removes them.
     """
     spark = df.sparkSession
+    for watch in WATCHERS:
+        watch(df)
     path = fresh_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
