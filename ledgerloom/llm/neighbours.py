@@ -27,7 +27,7 @@ NEIGHBOURS, EVERY = 20, 20
 #: Vectors that centroids are fitted on, at most; every row is indexed.
 SAMPLE, CENTROIDS, STEPS = 4096, 32, 8
 #: Width of the error bound in standard deviations of the estimate.
-SPREAD = 2.5
+SPREAD = 3.0
 ROWS, QUERIES_A_CELL, CHUNK, PAIRS = 16_384, 512, 2_048, 1 << 15
 FIRST_LOOK = 2 * NEIGHBOURS
 

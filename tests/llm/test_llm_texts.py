@@ -49,7 +49,7 @@ def test_base_spans_are_those_of_the_patterns(text):
 def test_base_spans_of_dense_texts():
     rng = random.Random(4)
     parts = ["a@b.co", "x.y@q-r.de.", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "+12", "+", "@", "..", "é", "0", "12345678901234567890", "1.2.3.4.5.6.7.8", "@a.b@c.d", "00001.2.3.4"]
-    for _ in range(3000):
+    for _ in range(1000):
         text = "".join(rng.choice(parts + [" ", ""]) for _ in range(rng.randint(1, 9)))
         assert base_spans(text) == plain_spans(text)
     for text in ("1" * 50_000, "1." * 20_000, "a" * 50_000 + "@", "@" * 20_000, "+1" * 20_000, "1 " * 20_000, "a@b." * 10_000):
