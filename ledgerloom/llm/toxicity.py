@@ -9,6 +9,7 @@ follows that: each round the worst window of each document, as the model then se
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,9 +93,15 @@ def train(texts: list[str], labels: list[int], share: float | None = None, round
         return Model(np.zeros(BUCKETS, np.float32), 4.0 if labels and labels[0] else -4.0)
     known: dict[str, int] = {}
     docs = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), np.int32) for t in texts]
-    bags = [np.array(bag(w), np.int32) for w in known]
-    sizes = np.array([len(b) for b in bags], np.int64)
-    starts, flat = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.concatenate(bags)
+    del texts
+    parts, lengths = array("i"), array("i")  # compact: the driver holds some million n-grams
+    for word in known:
+        one = bag(word)
+        parts.extend(one)
+        lengths.append(len(one))
+    known.clear()
+    sizes, flat = np.array(lengths, np.int64), np.frombuffer(parts, np.int32)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     rng = np.random.default_rng(7)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -115,7 +122,7 @@ def train(texts: list[str], labels: list[int], share: float | None = None, round
             if not len(ids):
                 continue
             if t <= FIRST:  # nothing is known yet about which window is the worst
-                window = rng.choice(ids, min(len(ids), 24), replace=False)
+                window = rng.choice(ids, min(len(ids), 12), replace=False)
             else:
                 at = int(_windows(scores[ids]).argmax())
                 window = ids[at : at + WINDOW]
@@ -157,9 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     limit = F.when(F.col("__toxic") == 1, F.lit(int(rate.get(1, 0) * (1 << 30)))).otherwise(F.lit(int(rate.get(0, 0) * (1 << 30))))
     chosen = ruled.filter(F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(1 << 30)) < limit)
     both = docs.select(common.quoted(doc_id).cast("long").alias("__id"), common.quoted(text).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = sorted((r[0], r[1], r[2] or "") for r in both.select("__id", "__toxic", "__text").collect())
+    rows = both.select("__id", "__toxic", F.coalesce("__text", F.lit("")).alias("__text")).toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
     total = sum(have.values())
-    return train([r[2] for r in rows], [r[1] for r in rows], have.get(1, 0) / total if total else None)
+    return train(rows.column("__text").to_pylist(), rows.column("__toxic").to_pylist(), have.get(1, 0) / total if total else None)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
