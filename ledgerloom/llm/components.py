@@ -31,4 +31,4 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(lowest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settle(small.union(lowest.toDF("u", "v")).distinct(), "stars")
         before, now = now, _state(edges)
-    return edges.toDF("node", "root")
+    return edges.toDF("node", "root").union(edges.select("v", "v").distinct())
