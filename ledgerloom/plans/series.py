@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -496,11 +498,7 @@ def archive_dataset(spark, folder):
 )
 def landing_coverage(spark, folder):
     ids = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey"}
-    out = None
-    for name, key in ids.items():
-        df = T.table(spark, folder, name)
-        read = df.select(F.lit(name).alias("source"))
-        claimed = df.agg((F.max(key) + 1).alias("expected")).select(F.lit(name).alias("source"), "expected")
-        row = Q.count_check(read, claimed, ["source"], "expected")
-        out = row if out is None else out.unionByName(row)
-    return out.withColumnRenamed("rows_read", "rows")
+    tables = [(T.table(spark, folder, name), F.lit(name).alias("source"), key) for name, key in ids.items()]
+    read = reduce(DataFrame.unionByName, [df.select(source) for df, source, _ in tables])
+    claimed = reduce(DataFrame.unionByName, [df.agg((F.max(key) + 1).alias("expected")).select(source, "expected") for df, source, key in tables])
+    return Q.count_check(read, claimed, ["source"], "expected").select("source", F.col("rows_read").alias("rows"), "claimed", "complete")
