@@ -91,7 +91,9 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     runs = LineRuns(spark, least)
     for b in range(len(cuts) + 1):
         runs.add(held.filter(F.col("batch") == b).select(*KEY, "doc_id"))
-    lost = held.join(runs.closed().select(*KEY, "newest").hint("merge"), KEY).filter(F.col("doc_id") < F.col("newest"))
+    # Written once, so that the join has a shuffle on both sides and a line with a third of all rows can be split.
+    closed = settle(runs.closed().select(*KEY, "newest"), "closed-lines")
+    lost = held.join(closed.hint("merge"), KEY).filter(F.col("doc_id") < F.col("newest"))
     return lost.groupBy("doc_id", "same").agg(F.collect_set("at").alias("gone"))
 
 
