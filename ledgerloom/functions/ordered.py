@@ -1,7 +1,7 @@
 """Ordered computations that a hot key cannot pile into one task.
 
-The order is cut into stretches of fixed width. Each stretch is its own window; what a stretch inherits from
-the earlier ones comes from a frame with one row per stretch.
+The order is cut into stretches: of fixed width, or of about equal numbers of rows. Each stretch is its own window; what a
+stretch inherits from the earlier ones comes from a frame with one row per stretch.
 """
 
 from __future__ import annotations
@@ -11,17 +11,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 
-def stretch_of(position: str, width: int):
-    return F.floor(F.col(position) / width).cast("bigint")
+
+def stretch_of(position: str, width: int | None):
+    return F.col("__s") if width is None else F.floor(F.col(position) / width).cast("bigint")
+
+
+def in_stretches(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The frame with its stretch `__s`: ranges of the order with about as many rows each, one for a shuffle partition.
+
+    Written once, so that the ranges stay what they are. The order must tell all rows apart; a position with very many
+    rows is then cut as well.
+    """
+    ranged = df.repartitionByRange(*order)
+    return settle(ranged.withColumn("__s", F.spark_partition_id().cast("bigint")), "stretches")
 
 
 def previous_in_order(
-    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], carried: Sequence[str], width: int, step: str = "step"
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], carried: Sequence[str], width: int | None, step: str = "step"
 ) -> DataFrame:
     """Per row: its 1-based position in the key's order, and the `carried` columns of the row before it.
 
-    `order` is unique within a key; its first column is the integer that is cut into stretches of `width`.
+    `order` is unique within a key; its first column is the integer that is cut into stretches of `width`. Without
+    a width the frame brings its stretches along, as `in_stretches` gives them.
     Adds `step` and `previous_<column>`.
     """
     keys = list(keys)
@@ -54,7 +67,7 @@ def previous_in_order(
     )
 
 
-def running_max(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, width: int, name: str) -> DataFrame:
+def running_max(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, width: int | None, name: str) -> DataFrame:
     """Largest `value` up to and including each row of the key's order, NULLs left out."""
     keys = list(keys)
     order = [order] if isinstance(order, str) else list(order)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.ordered import previous_in_order, running_max
+from ..functions.ordered import in_stretches, previous_in_order, running_max
 from ..session import settle
 from .ranking import with_totals
 
@@ -154,17 +154,19 @@ def size_histogram(objects: DataFrame) -> DataFrame:
     return labels.join(counts, "bucket", "left").fillna({"objects": 0, "bytes": 0})
 
 
-def adjacent_runs(objects: DataFrame, width: int = 100_000) -> DataFrame:
+def adjacent_runs(objects: DataFrame, width: int | None = None) -> DataFrame:
     """Leaves written next to each other and closed by a manifest of the same producer, as guessed uploads.
 
     objects(block, idx, hash, hashing, size, family, claimed, expiry). The order is the whole chain's: it is
-    cut into stretches of blocks, and only one row per stretch is looked at together.
+    cut into stretches, of `width` blocks or else of equal numbers of rows, and only one row per stretch is looked at together.
     """
     order = ["block", "idx"]
     rows = objects.withColumn(
         "kind",
         F.when(F.col("claimed"), "other").when(F.col("family") == "dag", "dag").when(F.col("family") == "leaf", "leaf").otherwise("other"),
     )
+    if width is None:
+        rows = in_stretches(rows.select("block", "idx", "hash", "hashing", "size", "expiry", "kind"), order)
     rows = previous_in_order(rows, [], order, ["block", "hashing", "kind"], width)
     follows = (
         (F.col("previous_kind") == "leaf")

@@ -88,7 +88,7 @@ def size_histogram(spark, folder):
 )
 def adjacent_runs(spark, folder):
     objects = O.with_shape(chain_objects(spark, folder)).withColumn("claimed", F.lit(False))
-    return O.adjacent_runs(objects, width=64)
+    return O.adjacent_runs(objects)
 
 
 @query(
