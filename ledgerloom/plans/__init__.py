@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("swaps", "pricing", "registry_joins", "graphs", "series", "capitals", "stored", "expressions", "streams")
+FAMILIES = ("swaps", "pricing", "registry_joins", "graphs", "series", "capitals", "stored", "expressions", "streams", "report_queries")
 
 
 def load() -> None:

@@ -126,19 +126,16 @@ def holder_report(assets: DataFrame, holders: DataFrame, tokens: DataFrame) -> R
 
 
 def netflow_series(frames: DataFrame, floor: object, cap: int = 40) -> Report:
-    """Daily two-leg balances with dust, per-account series that fall to zero after the last day, and peaks.
+    """Daily two-leg balances with dust, per-account series as intervals from close to close, and peaks of series that fall to 0.
 
     frames(day, account, leg, amount) with the legs relay and hub.
     """
     legs = settle(balances.two_legs(frames, ["day", "account"], "relay", "hub", "amount"), "netflows")
     closes = legs.select("account", "day", F.col("total").alias("balance"))
-    read = legs.select("day").distinct().withColumn("present", F.lit(True))
-    series = axis.dense(closes, "day", {}, closes.select("account").distinct()).join(read, "day", "left").fillna({"present": False})
-    series = settle(axis.zero_after_first(series, ["account"], "day", "balance", "present"), "netflow-series")
     return {
         "days": balances.day_with_dust(legs, "day", "account", ["relay", "hub"], floor, cap),
-        "series": series,
-        "peaks": axis.peaks(series, ["account"], "day", "balance"),
+        "series": axis.carried(closes, ["account"], "day"),
+        "peaks": axis.sparse_peaks(closes, legs.select("day").distinct(), "account", "day", "balance"),
         "missing": axis.missing_days(legs, "day"),
     }
 
