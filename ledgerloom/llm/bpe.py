@@ -27,7 +27,7 @@ from . import common
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NEVER = float("inf")
 #: Most entries of a worker's memories of pieces and of pairs; a full one starts anew.
-PIECES, PAIRS = 400_000, 1_000_000
+PIECES, PAIRS = 200_000, 200_000
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -47,7 +47,7 @@ class Encoder:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.shorter = {rank: next((r for n in range(len(token) - 1, 0, -1) if (r := self.ranks.get(token[:n])) is not None), None) for token, rank in self.ranks.items()}
         self.lengths = {rank: len(token) for token, rank in self.ranks.items()}
@@ -92,11 +92,12 @@ class Encoder:
         The parts facing each other at the border are followed from bytes upwards. They would be joined if their
         merge ranks before the left part is absorbed, and not after the right one is: equal ranks merge leftmost first.
         """
-        known = self.pairs.get((left, right))
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._apart(self.edge(left, True), self.edge(right, False))
+            known = self.pairs[key] = self._apart(self.edge(left, True), self.edge(right, False))
         return known
 
     def _apart(self, lefts: list[tuple[int, float]], rights: list[tuple[int, float]]) -> bool:

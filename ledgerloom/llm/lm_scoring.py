@@ -23,7 +23,7 @@ from . import common
 WORDS, PAIRS = 1 << 18, 1 << 20
 #: Even mass given to all words; pairs of a word count as much as its single words when it was seen so often.
 FLOOR, TRUST = 0.05, 20.0
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 
 
 class _Classes(dict):

@@ -27,7 +27,7 @@ SIZES, STEMS = (3, 4, 5), (6, 7, 8, 9)
 FIRST, ROUNDS, RATE = 10, 60, 0.1
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}|…«»“”‘’-*#$%&<>"
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 
 
 def words_of(text: str) -> list[str]:
