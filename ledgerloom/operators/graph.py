@@ -28,18 +28,34 @@ def asset_key(name: Column, asset_id: Column) -> Column:
     )
 
 
-def decode_transfers(blocks: DataFrame, event_names: list[str]) -> DataFrame:
-    """Transfer edges of blocks(number, timestamp, events[{name, args json}]).
-
-    Arguments must be a named object: a positional list is an error, not a guess. Rows without two well-formed
-    accounts and an amount are no transfers.
-    """
+def named_events(blocks: DataFrame, event_names: list[str]) -> DataFrame:
+    """Events of the names with their arguments `a`: a positional list is an error, not a guess."""
     events = blocks.select("number", "timestamp", F.inline("events")).filter(F.col("name").isin(event_names))
     args = F.when(F.startswith(F.ltrim("args"), F.lit("[")), F.raise_error(F.lit("event arguments are positional"))).otherwise(
         F.from_json("args", ARGS)
     )
     # The one-element explode keeps the filters below from parsing the JSON a second time.
-    decoded = events.select("number", "timestamp", F.col("name").alias("event"), F.explode(F.array(args)).alias("a"))
+    return events.select("number", "timestamp", F.col("name").alias("event"), F.explode(F.array(args)).alias("a"))
+
+
+def malformed() -> Column:
+    """Why a named event is no transfer, or NULL: arguments that don't parse, an account that is no account, no amount."""
+    fine = lambda end: F.coalesce(F.col(f"a.{end}").rlike(ACCOUNT), F.lit(False))
+    return F.when(F.col("a").isNull(), "arguments").when(~(fine("from") & fine("to")), "account").when(F.col("a.amount").isNull(), "amount")
+
+
+def decode_quality(blocks: DataFrame, event_names: list[str]) -> DataFrame:
+    """Events by name and the reason that keeps them out of the transfers; NULL for those that are decoded."""
+    found = named_events(blocks, event_names).groupBy("event", malformed().alias("reason"))
+    return found.agg(F.count(F.lit(1)).alias("events"))
+
+
+def decode_transfers(blocks: DataFrame, event_names: list[str]) -> DataFrame:
+    """Transfer edges of blocks(number, timestamp, events[{name, args json}]).
+
+    Rows without two well-formed accounts and an amount are no transfers; `decode_quality` counts them.
+    """
+    decoded = named_events(blocks, event_names)
     whole = F.col("a.from").rlike(ACCOUNT) & F.col("a.to").rlike(ACCOUNT) & F.col("a.amount").isNotNull()
     return decoded.filter(whole).select(
         F.col("number").alias("block"),

@@ -56,6 +56,15 @@ def decoded_transfers(spark, folder):
     return edges.select("block", F.to_date("at").alias("day"), "sender", "receiver", F.col("amount").cast("bigint").alias("amount"), "asset")
 
 
+@query(
+    "p05_decode_quality",
+    """SELECT CASE WHEN l_returnflag = 'N' THEN 'Balances.Transfer' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'PoolAssets.Transferred' WHEN l_returnflag = 'A' THEN 'Assets.Transferred' ELSE 'ForeignAssets.Transferred' END AS event,
+      CASE WHEN l_linenumber = 7 THEN 'account' END AS reason, count(*) AS events FROM lineitem GROUP BY ALL""",
+)
+def decode_quality(spark, folder):
+    return G.decode_quality(chain_blocks(spark, folder), NAMES)
+
+
 @query("p06_asset_keys", f"WITH {DECODED_SQL} SELECT asset, count(*) AS transfers, cast(sum(amount) AS double) AS amount FROM decoded GROUP BY asset")
 def asset_keys(spark, folder):
     edges = G.decode_transfers(chain_blocks(spark, folder), NAMES)
