@@ -1,149 +1,433 @@
 """Language-model scoring by cross-entropy difference: a target and a background bigram model over one vocabulary; a document's
 score is the mean over its words of the loss under the target model less that under the background model.
 
-The vocabulary is a fixed number of classes that words fall into by hash, the same for both models, and pairs of words fall into
-a fixed number of classes as well. So every word of every document is counted, nothing is unknown, and the models have one size
-for any corpus. The background's counts are scaled to the target's number of words: smoothing then acts alike on both.
+All words and pairs of the corpus are counted, each for itself: a word is known by 64 bits, a pair by the 128 bits of its two words.
+So the counts grow with the corpus, and no process ever holds them all. Words of documents are dealt out by word, so that one task
+sees all places where a word stands and hence its count, the counts of the pairs that end in it, and what each document gets for them.
+Frequent words and pairs are a short list of bounded size; they are counted exactly beforehand and scored where the text is read, so no
+key is hot. The background's counts are scaled to the target's number of words: smoothing then acts alike on both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ledgerloom.session import settle
 
 from . import common
 
-WORDS, PAIRS = 1 << 18, 1 << 20
-#: Even mass given to all words; pairs of a word count as much as its single words when it was seen so often.
-FLOOR, TRUST = 0.05, 20.0
+#: Even mass: FLOOR / WORDS for any word, whatever the vocabulary. Pairs of a word count as much as its single words when it was seen so often.
+FLOOR, WORDS, TRUST = 0.05, 1 << 18, 20.0
 WORDS_KEPT = 250_000
+#: Most words and pairs on the list of frequent ones, which is drawn up from about SAMPLE documents. It decides where work is done, not what comes out.
+FREQUENT, SAMPLE = (1 << 16, 1 << 17), 8_000
+#: Words that a task holds before it hands them on, and about as many go to a task that scores.
+HELD = 2_000_000
+#: Stand before the first word and behind the last one.
+START, END = np.uint64(0), np.uint64(1)
+ROW = "__row"
 
 
 class _Classes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        found = xxhash.xxh32_intdigest(word) % WORDS
+        found = xxhash.xxh64_intdigest(word)
+        found += 2 * (found < 2)
         if len(word) <= 64:
             self[word] = found
         return found
 
 
 def pairs(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """64 bits of a pair; they say where it is counted. Pairs are told apart by both words."""
     mixed = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + after.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(PAIRS)).astype(np.int64)
+    return mixed ^ (mixed >> np.uint64(29))
 
 
 def classes(text: str, known: _Classes) -> np.ndarray:
-    """Word classes of a text, A-Z in lower case."""
+    """The 64 bits of each word of a text, A-Z in lower case."""
     words = text.encode().lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Positions of keys, -1 for those that are not there."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+class Frequent:
+    """Frequent words and pairs of them, sorted, at most as many as FREQUENT says (and the words of these pairs)."""
+
+    def __init__(self, words: np.ndarray, couples: np.ndarray):
+        self.words = np.unique(np.concatenate((words, couples.ravel())))
+        before, after = (_found(self.words, couples[:, k]) for k in (0, 1))
+        self.couples = np.unique(before * len(self.words) + after)
+
+    def find(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its place among the words, and the place among the pairs of it and the word before; -1: not there. first: where texts begin."""
+        word = _found(self.words, ids)
+        before = np.concatenate(([-1], word[:-1])) if len(word) else word
+        before[first] = -1
+        couple = np.full(len(ids), -1, np.int64)
+        both = np.flatnonzero((word >= 0) & (before >= 0))
+        couple[both] = _found(self.couples, before[both] * len(self.words) + word[both])
+        return word, couple
+
+
+@dataclass
+class _Texts:
+    """Texts one behind the other: words, their texts' numbers, where texts begin and end (those without words left out)."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+
+    def __post_init__(self):
+        ends = np.cumsum(self.sizes)
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first, self.last = (ends - self.sizes)[self.sizes > 0], ends[self.sizes > 0] - 1
+
+
+def _read(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[_Texts, list[np.ndarray]]]:
+    """Texts of (text, others ...) rows with the other columns, about `held` words at a time."""
+    known, parts, others, size = _Classes(), [], [], 0
+
+    def out():
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        return _Texts(np.concatenate(parts), sizes), [np.array(x) for x in zip(*others)]
+
+    for b in batches:
+        for text, *other in zip(*[c.to_pylist() for c in b.columns]):
+            parts.append(classes(text or "", known))
+            others.append(other)
+            size += len(parts[-1])
+            if size >= held or len(parts) >= held:
+                yield out()
+                parts, others, size = [], [], 0
+    if parts:
+        yield out()
 
 
 @dataclass
+class _Targets:
+    """One bit a document: numbers of 64 documents and their bits."""
+
+    keys: np.ndarray
+    bits: np.ndarray
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        at = _found(self.keys, rows >> 6)
+        if not len(self.keys):
+            return np.zeros(len(rows), bool)
+        return (at >= 0) & ((self.bits[at] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 class Models:
-    """Counts by class of the target and of the background, scaled to the target's size."""
+    """What a corpus says of its words: exact totals and counts of frequent words and pairs; those of all others are worked out while scoring."""
+
+    def __init__(self, docs: DataFrame, corpus: DataFrame, targets, frequent: Frequent, counted: np.ndarray):
+        self.docs, self.corpus, self.targets, self.frequent, self.counted = docs, corpus, targets, frequent, counted
+        self.total = counted[:, 0]
+        self.scale = self.total[0] / self.total[1] if self.total[0] and self.total[1] else 1.0
 
-    words: tuple[np.ndarray, np.ndarray]
-    pairs: tuple[np.ndarray, np.ndarray]
+    @cached_property
+    def table(self) -> DataFrame:
+        """(word, n_target, n_background), a row a word, for a look at the counts."""
+        return settle(word_counts(self.corpus, self.targets), "word-counts")
+
+    @property
+    def words(self) -> tuple[_Looked, _Looked]:
+        return _Looked(self, "n_target", 1.0), _Looked(self, "n_background", self.scale)
+
+
+@dataclass
+class _Looked:
+    models: Models
+    name: str
+    factor: float
+
+    def __getitem__(self, word: int) -> float:
+        row = self.models.table.filter(F.col("word") == (word - (1 << 64) if word >> 63 else word)).first()
+        return row[self.name] * self.factor if row else 0.0
 
 
 class Scorer:
-    """The models with what all texts share worked out once."""
+    """Parts of a loss difference, from counts of the target and of the background."""
 
     def __init__(self, models: Models):
-        self.models = models
-        self.alone = [((1 - FLOOR) * w / max(w.sum(dtype=np.float64), 1e-9) + FLOOR / WORDS) for w in models.words]
-
-    def score(self, ids: np.ndarray) -> float:
-        if not len(ids):
-            return 0.0
-        both = pairs(ids[:-1], ids[1:])
-        total = []
-        for which in (0, 1):
-            chance = self.alone[which][ids]
-            seen = self.models.words[which][ids[:-1]]
-            chance[1:] = (np.minimum(self.models.pairs[which][both], seen) + TRUST * chance[1:]) / (seen + TRUST)
-            total.append(-np.log(chance).mean())
-        return float(total[0] - total[1])
-
-
-def counts(texts: DataFrame) -> DataFrame:
-    """(class, n_target, n_background) of texts (text, target): words at their class, pairs behind all words. All rows count as background.
-
-    A task counts into arrays of a fixed size and hands on one row a class that it has seen; Spark sums them.
-    """
+        self.total, self.scale, self.frequent = models.total, models.scale, models.frequent
+        n = len(self.frequent.words)
+        self.words = models.counted[:, 1 : 1 + n]
+        self.alone = self.chance(self.words)
+        self.behind = self.seen(self.words)
+        self.begins = self.start(self.alone)
+        self.couples = self.pair(models.counted[:, 1 + n :], self.alone[:, self.frequent.couples % max(n, 1)])
+
+    def chance(self, words: np.ndarray) -> np.ndarray:
+        return (1 - FLOOR) * words / np.maximum(self.total, 1e-9)[:, None] + FLOOR / WORDS
+
+    def seen(self, words: np.ndarray) -> np.ndarray:
+        """What the word before adds to the difference."""
+        return np.log(words[0] + TRUST) - np.log(words[1] * self.scale + TRUST)
+
+    def pair(self, counts: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """What a word adds behind another one."""
+        return np.log(counts[1] * self.scale + TRUST * alone[1]) - np.log(counts[0] + TRUST * alone[0])
+
+    def start(self, alone: np.ndarray) -> np.ndarray:
+        return np.log(alone[1]) - np.log(alone[0])
+
+
+def word_counts(corpus: DataFrame, targets) -> DataFrame:
+    """(word, n_target, n_background) of a corpus (text, row), a row a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = _Classes(), np.zeros((2, WORDS + PAIRS), np.int64)
-        for b in batches:
-            for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = classes(text or "", known)
-                if not len(ids):
-                    continue
-                every = np.concatenate((ids, WORDS + pairs(ids[:-1], ids[1:])))
-                np.add.at(held[1], every, 1)
-                if target:
-                    np.add.at(held[0], every, 1)
+        for texts, (rows,) in _read(batches, HELD):
+            words, at = np.unique(texts.ids, return_inverse=True)
+            target = targets.value.of(rows)[texts.of]
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(at[target], minlength=len(words))), pa.array(np.bincount(at, minlength=len(words)))], ["word", "n_target", "n_background"])
+
+    return corpus.mapInArrow(run, "word long, n_target long, n_background long").groupBy("word").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
+
+
+def _frequent(corpus: DataFrame, most: tuple[int, int], rows: int) -> Frequent:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, _ in _read(batches, HELD):
+            after = np.ones(len(texts.ids), bool)
+            after[texts.first] = False
+            at = np.flatnonzero(after)
+            words, n = np.unique(texts.ids, return_counts=True)
+            both, m = np.unique(np.stack((texts.ids[at - 1], texts.ids[at]), 1), axis=0, return_counts=True)
+            often, many = n > 2, m > 2
+            before = np.concatenate((np.full(often.sum(), START), both[many, 0]))
+            columns = before.view(np.int64), np.concatenate((words[often], both[many, 1])).view(np.int64), np.concatenate((n[often], m[many]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["before", "after", "n"])
+
+    if min(most) <= 0:
+        return Frequent(np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64))
+    seen = common.sample(corpus, rows, F.col(ROW)).mapInArrow(run, "before long, after long, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
+    seen = settle(seen, "frequent")
+    lists = []
+    for alone, limit in ((True, most[0]), (False, most[1])):
+        top = seen.filter((F.col("before") == 0) == F.lit(alone)).orderBy(F.desc("n"), "before", "after").limit(limit).toArrow()
+        lists.append(np.stack([top.column(k).to_numpy().astype(np.int64).view(np.uint64) for k in (0, 1)], 1))
+    return Frequent(lists[0][:, 1], lists[1])
+
+
+def _counted(corpus: DataFrame, targets, frequent) -> np.ndarray:
+    """(2, 1 + words + pairs) exact counts over all texts, target and background: all words, each frequent word, each frequent pair."""
+    n, m = len(frequent.value.words), len(frequent.value.couples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 1 + n + m), np.int64)
+        for texts, (rows,) in _read(batches, HELD // 8):
+            word, couple = frequent.value.find(texts.ids, texts.first)
+            target = targets.value.of(rows)[texts.of]
+            for k, which in ((0, target), (1, slice(None))):
+                w, c = word[which], couple[which]
+                held[k, 0] += len(w)
+                held[k, 1 : 1 + n] += np.bincount(w[w >= 0], minlength=n)
+                held[k, 1 + n :] += np.bincount(c[c >= 0], minlength=m)
         seen = np.flatnonzero(held[1])
         for at in range(0, len(seen), 50_000):
             part = seen[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[0, part]), pa.array(held[1, part])], ["class", "n_target", "n_background"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[0, part]), pa.array(held[1, part])], ["at", "n_target", "n_background"])
+
+    table = corpus.mapInArrow(run, "at long, n_target long, n_background long").groupBy("at").agg(F.sum("n_target"), F.sum("n_background")).toArrow()
+    found = np.zeros((2, 1 + n + m))
+    found[:, table.column(0).to_numpy()] = table.column(1).to_numpy(), table.column(2).to_numpy()
+    return found
 
-    found = texts.select("text", "target").mapInArrow(run, "class long, n_target long, n_background long")
-    return found.groupBy("class").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
 
+def _numbered(docs: DataFrame, stable: bool) -> DataFrame:
+    """Documents with a number each that is the same on every read."""
+    rows = common.without(docs, [ROW]).withColumn(ROW, F.monotonically_increasing_id())
+    return rows if stable else settle(rows, "numbered")
 
-def fit(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Models:
+
+def fit(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", frequent: tuple[int, int] = FREQUENT, stable: bool = False) -> Models:
     """Models over all documents; target documents are those whose id is in targets (doc_id).
 
-    The driver gets one row a class, WORDS + PAIRS at most.
+    stable: docs is read straight from files and so gives the same rows in the same order every time; otherwise it is written once first.
+    The driver and the workers get the counts of frequent words and pairs and one bit for each document in 64 that have a target among them.
     """
-    wanted = targets.select(F.col("doc_id").cast("long").alias("__id")).filter(F.col("__id").isNotNull()).distinct().withColumn("target", F.lit(True))
-    # Targets grow with the corpus, so the join is the same at every size: texts are shuffled once, by their ids.
-    marked = docs.select(common.quoted(doc_id).cast("long").alias("__id"), common.quoted(text).alias("text")).join(wanted.hint("merge"), "__id", "left")
-    table = counts(marked).toArrow()
-    held = np.zeros((2, WORDS + PAIRS), np.float64)
-    held[:, table.column(0).to_numpy()] = table.column(1).to_numpy(), table.column(2).to_numpy()
-    size = held[:, :WORDS].sum(1)
-    held[1] *= size[0] / size[1] if size[1] and size[0] else 1.0
-    held = held.astype(np.float32)
-    return Models((held[0, :WORDS], held[1, :WORDS]), (held[0, WORDS:], held[1, WORDS:]))
-
-
-def score(docs: DataFrame, models: Models, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`n_words` and `score` beside the columns of docs; below 0 the text is more like the target than like the corpus.
+    spark = docs.sparkSession
+    numbered = _numbered(docs, stable)
+    wanted = targets.select(F.col("doc_id").cast("long").alias("__id")).filter(F.col("__id").isNotNull()).distinct()
+    rows = numbered.select(common.quoted(doc_id).cast("long").alias("__id"), ROW).join(wanted.hint("merge"), "__id", "left_semi")
+    bits = rows.groupBy(F.shiftright(ROW, 6).alias("key")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({ROW} & 63 AS int))")).alias("bits")).orderBy("key").toArrow()
+    chosen = spark.sparkContext.broadcast(_Targets(*[bits.column(k).to_numpy().astype(np.int64).view(kind) for k, kind in ((0, np.int64), (1, np.uint64))]))
+    corpus = numbered.select(common.quoted(text).alias("text"), ROW)
+    found = _frequent(corpus, frequent, SAMPLE)
+    return Models(numbered, corpus, chosen, found, _counted(corpus, chosen, spark.sparkContext.broadcast(found)))
 
-    Texts without words, empty and null ones have score 0. Without target texts both models are the same even one and all scores lean
-    to the background. Columns of these names give way.
+
+_DEALT = ["words", "word_runs", "befores", "before_runs", "at", "n", "rows", "flags", "own_rows", "own_words", "own_sums"]
+
+
+def _dealt(texts: DataFrame, targets, scorer, parts: int, held: int) -> DataFrame:
+    """(part, ...) of texts (text, row, counted, scored): words and the words before them, packed by the part where they are counted and scored.
+
+    Frequent pairs are scored here. A word that is not frequent goes by itself, a frequent one by the pair, with its text's number.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def make():
-        one, known = Scorer(shared.value), _Classes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one: Scorer = scorer.value
+        for turn, (t, (rows, counted, scored)) in enumerate(_read(batches, held)):
+            word, couple = one.frequent.find(t.ids, t.first)
+            before = np.concatenate(([START], t.ids[:-1])).astype(np.uint64) if len(t.ids) else t.ids
+            before[t.first] = START
+            starts = np.zeros(len(t.ids), bool)
+            starts[t.first] = True
+            lasts = np.zeros(len(t.ids), bool)
+            lasts[t.last] = True
+            often = word >= 0
+            value = np.zeros(len(t.ids))
+            value[often & ~lasts] += one.behind[word[often & ~lasts]]
+            value[often & starts] += one.begins[word[often & starts]]
+            value[couple >= 0] += one.couples[couple[couple >= 0]]
+            sums = np.bincount(t.of, value, len(rows))
+            go = np.flatnonzero(~(couple >= 0) & ~(often & starts))
+            ends = np.flatnonzero(lasts & ~often & scored[t.of])
+            ids = np.concatenate((t.ids[go], t.ids[ends]))
+            prev = np.concatenate((before[go], np.full(len(ends), END)))
+            of = np.concatenate((t.of[go], t.of[ends]))
+            by = np.where(np.concatenate((often[go], often[ends])), prev, START)
+            part = (pairs(by, ids) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+            order = np.lexsort((of, prev, ids, part))
+            ids, prev, of, part = ids[order], prev[order], of[order], part[order]
+            new_word = np.ones(len(ids), bool)
+            new_word[1:] = (ids[1:] != ids[:-1]) | (part[1:] != part[:-1])
+            new_pair = new_word.copy()
+            new_pair[1:] |= prev[1:] != prev[:-1]
+            new = new_pair.copy()
+            new[1:] |= of[1:] != of[:-1]
+            kept = np.flatnonzero(new)
+            n = np.diff(np.append(kept, len(ids))).astype(np.int32)
+            ids, prev, of, part, new_word, new_pair = (x[kept] for x in (ids, prev, of, part, new_word, new_pair))
+            flags = targets.value.of(rows) * 1 * counted + counted * 2 + scored * 4
+            whole = np.flatnonzero(scored)
+            home = (turn + int(rows[0])) % parts
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            packed, size = [], 0
+            for p in range(parts):
+                a, b = cuts[p], cuts[p + 1]
+                if a == b and p != home:
+                    continue
+                w, c = np.flatnonzero(new_word[a:b]), np.flatnonzero(new_pair[a:b])
+                used = np.zeros(len(rows), bool)
+                used[of[a:b]] = True
+                mine = np.flatnonzero(used)
+                small = (np.cumsum(used) - 1)[of[a:b]].astype(np.uint32)
+                own = whole if p == home else whole[:0]
+                out = [ids[a:b][w], np.diff(np.append(w, b - a)).astype(np.int32), prev[a:b][c], np.diff(np.append(c, b - a)).astype(np.int32), small, n[a:b], np.diff(rows[mine], prepend=0), flags[mine].astype(np.uint8), rows[own], t.sizes[own], sums[own]]
+                packed.append((p, *[x.tobytes() for x in out]))
+                size += sum(map(len, packed[-1][1:]))
+                if size >= 1 << 22:
+                    yield _batch(packed)
+                    packed, size = [], 0
+            if packed:
+                yield _batch(packed)
+
+    return texts.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in _DEALT))
+
 
-        def run(texts: list[str]) -> list[list]:
-            ids = [classes(t, known) for t in texts]
-            return [[len(i) for i in ids], [one.score(i) for i in ids]]
+def _batch(packed: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*packed))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", *_DEALT])
 
-        return run
 
-    return common.map_texts(docs, make, [T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())], text=text, keep=keep)
+def _added(dealt: DataFrame, scorer) -> DataFrame:
+    """(row, n_words, total): what the words of one part add to each text. All places of a word, or of a frequent word's pair, are in one part."""
+    kinds = dict(zip(_DEALT, (np.uint64, np.int32, np.uint64, np.int32, np.uint32, np.int32, np.int64, np.uint8, np.int64, np.int64, np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one: Scorer = scorer.value
+        held = []
+        for b in batches:
+            for at in range(b.num_rows):
+                x = {c: np.frombuffer(b.column(c)[at].as_buffer(), kind) for c, kind in kinds.items()}
+                if len(x["own_rows"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x["own_rows"]), pa.array(x["own_words"]), pa.array(x["own_sums"])], ["row", "n_words", "total"])
+                ids, befores = np.repeat(x["words"], x["word_runs"]), np.repeat(x["befores"], x["before_runs"])
+                held.append((ids, befores, np.cumsum(x["rows"])[x["at"]], x["n"].copy(), x["flags"][x["at"]]))
+        if not held or not sum(len(x[0]) for x in held):
+            return
+        ids, befores, rows, n, flags = (np.concatenate(x) for x in zip(*held))
+        del held
+        order = np.lexsort((befores, ids))
+        ids, befores, rows, n, flags = (x[order] for x in (ids, befores, rows, n, flags))
+        del order
+        new_word = np.ones(len(ids), bool)
+        new_word[1:] = ids[1:] != ids[:-1]
+        new_pair = new_word.copy()
+        new_pair[1:] |= befores[1:] != befores[:-1]
+        w, c = np.flatnonzero(new_word), np.flatnonzero(new_pair)
+        real = n * (befores != END)
+        each = np.stack((real * (flags & 1), real * ((flags >> 1) & 1))).astype(np.float64)
+        words, couples = np.add.reduceat(each, w, 1), np.add.reduceat(each, c, 1)
+        del each, real
+        listed = _found(one.frequent.words, ids[w])
+        words[:, listed >= 0] = one.words[:, listed[listed >= 0]]
+        # The word of each pair; a frequent word's share as the word before was added where the text was read.
+        of = np.cumsum(new_word)[c] - 1
+        alone, behind = one.chance(words)[:, of], np.where(listed >= 0, 0.0, one.seen(words))[of]
+        kind = befores[c]
+        value = np.where(kind == END, -behind, np.where(kind == START, one.start(alone), one.pair(couples, alone)) + behind)
+        total = value[np.cumsum(new_pair) - 1] * n
+        scored = np.flatnonzero(flags & 4)
+        rows, at = np.unique(rows[scored], return_inverse=True)
+        total = np.bincount(at, total[scored], len(rows))
+        for k in range(0, len(rows), 100_000):
+            part = slice(k, k + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[part]), pa.array(np.zeros(len(rows[part]), np.int64)), pa.array(total[part])], ["row", "n_words", "total"])
+
+    return dealt.mapInArrow(run, "row long, n_words long, total double")
+
+
+def score(docs: DataFrame, models: Models, *, text: str = "text", keep: list[str] | None = None, held: int = HELD, stable: bool = False) -> DataFrame:
+    """`n_words` and `score` beside the columns of docs; below 0 the text is more like the target than like the corpus.
+
+    Texts without words, empty and null ones have score 0. Without target texts both models are the same even one and all scores lean
+    to the background. Columns of these names give way. `models.docs` is the corpus itself: its words are then dealt out once.
+    """
+    spark = docs.sparkSession
+    if docs is models.docs:
+        numbered, size = docs, models.total[1]
+        texts = models.corpus.select("text", ROW, F.lit(True).alias("counted"), F.lit(True).alias("scored"))
+    else:
+        numbered = _numbered(docs, stable)
+        other = numbered.select(common.quoted(text).alias("text"), F.col(ROW))
+        size = models.total[1] + (other.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 4
+        texts = models.corpus.select("text", ROW, F.lit(True).alias("counted"), F.lit(False).alias("scored"))
+        texts = texts.union(other.select("text", ROW, F.lit(False), F.lit(True)))
+    scorer = spark.sparkContext.broadcast(Scorer(models))
+    parts = max(1, int(-(-size // held)))
+    dealt = _dealt(texts, models.targets, scorer, parts, held).repartitionById(parts, F.col("part"))
+    sums = _added(dealt, scorer).groupBy("row").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total")).select(F.col("row").alias(ROW), F.col("n_words").alias("__n"), F.col("total").alias("__total"))
+    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("n_words", "score", ROW)]
+    joined = numbered.select(*[common.quoted(c) for c in names], ROW).join(sums, ROW, "left")
+    n = F.coalesce("__n", F.lit(0).cast("long"))
+    return joined.select(*[common.quoted(c) for c in names], n.alias("n_words"), F.when(n > 0, F.col("__total") / n).otherwise(F.lit(0.0)).alias("score"))
 
 
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Every document by how much closer it is to texts labelled as good than to the whole corpus; held-out labels are not used."""
     docs = common.table(spark, folder, "documents")
     labels = common.table(spark, folder, "labels")
-    models = fit(docs, labels.filter((F.col("quality") == 1) & ~common.held_out()).select("doc_id"))
-    return score(docs, models, keep=["doc_id"]).select("doc_id", common.held_out().alias("held_out"), "n_words", "score")
+    models = fit(docs, labels.filter((F.col("quality") == 1) & ~common.held_out()).select("doc_id"), stable=True)
+    return score(models.docs, models, keep=["doc_id"]).select("doc_id", common.held_out().alias("held_out"), "n_words", "score")
 
 
 QUERIES = {"op8_lm_scoring": op8_lm_scoring}

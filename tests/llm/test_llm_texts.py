@@ -220,3 +220,42 @@ def test_language_models_by_dictionaries(spark, monkeypatch):
     assert all(np.isfinite(r["score"]) for r in found)
     assert np.isfinite([r["score"] for r in lm_scoring.score(docs, lm_scoring.fit(docs, docs.limit(0))).collect()]).all()
     assert lm_scoring.score(docs.limit(0), models).collect() == []
+
+
+def plain_scores(texts, target):
+    """Scores from dictionaries of real words and pairs of them."""
+    words = [re.findall(WORD, (t or "").translate(LOW)) for t in texts]
+    counts = [(Counter(w for x in held for w in x), Counter(p for x in held for p in zip(x, x[1:]))) for held in ([words[i] for i in target], words)]
+    every = [sum(c[0].values()) for c in counts]
+    factors = [1.0, every[0] / every[1]]
+    found = []
+    for x in words:
+        total = [0.0, 0.0]
+        for k, w in enumerate(x):
+            for m, ((alone, both), factor) in enumerate(zip(counts, factors)):
+                p = (1 - lm_scoring.FLOOR) * alone[w] / every[m] + lm_scoring.FLOOR / lm_scoring.WORDS
+                if k:
+                    p = (both[x[k - 1], w] * factor + lm_scoring.TRUST * p) / (alone[x[k - 1]] * factor + lm_scoring.TRUST)
+                total[m] -= np.log(p)
+        found.append((len(x), (total[0] - total[1]) / len(x) if x else 0.0))
+    return found
+
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_language_models_count_every_word_and_pair_for_itself(spark):
+    # Among 40,000 words thousands share one of 2^18 classes.
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(40_000)}" if rng.random() < 0.7 else rng.choice(["the", "The", "of"]) for _ in range(rng.randrange(400))) for _ in range(120)]
+    texts += ["", None, "the", "only", "the of " * 500] + texts[:3]
+    docs = documents(spark, texts)
+    target = [i for i in range(len(texts)) if i % 3 == 0]
+    want = plain_scores(texts, target)
+    wanted = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    for frequent, held in (((1 << 16, 1 << 17), 2_000_000), ((3, 2), 3_000), ((0, 0), 5_000)):
+        models = lm_scoring.fit(docs, wanted, frequent=frequent)
+        for frame in (models.docs, docs):
+            found = lm_scoring.score(frame, models, held=held, keep=["doc_id"]).collect()
+            assert sorted(r["doc_id"] for r in found) == list(range(len(texts)))
+            assert all(r["n_words"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 1e-9 for r in found)
