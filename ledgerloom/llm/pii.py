@@ -33,7 +33,7 @@ _SCHEME = re.compile(r"[A-Za-z0-9+.-]")
 _URL = re.compile(r"[^\x00-\x20\"'<>()\[\]{}|\\^`]+")
 _IBAN = re.compile(r"[Ii][Bb][Aa][Nn][ :.#]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(r"[A-Za-z]+(?: (?:number|nummer|no|nr))?[ .:#]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
-_SECRET = re.compile(r"[A-Za-z_]+[ ]?[=:][ ]?[\"']?([A-Za-z0-9+/_.-]{8,256})")
+_SECRET = re.compile(r"[A-Za-z_]+[ ]?[=:][ ]?[\"']?([A-Za-z0-9+/_.-]{8,})")
 
 
 def luhn(digits: str) -> bool:

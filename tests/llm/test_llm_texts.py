@@ -259,3 +259,10 @@ def test_language_models_count_every_word_and_pair_for_itself(spark):
             found = lm_scoring.score(frame, models, held=held, keep=["doc_id"]).collect()
             assert sorted(r["doc_id"] for r in found) == list(range(len(texts)))
             assert all(r["n_words"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 1e-9 for r in found)
+
+
+def test_long_secrets_are_covered_to_their_end(spark):
+    long = "eyJhbGciOi" + "Ab9_-." * 400
+    text = f"token: {long} and more"
+    assert [s for s in pii.spans(text, ANCHORS) if s[0] == "secret"] == [("secret", 7, 7 + len(long))]
+    assert pii.masked(documents(spark, [text])).first()["text"] == "token: <secret> and more"
