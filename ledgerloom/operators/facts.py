@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import islice
+from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -42,32 +45,51 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def touched_by(new: DataFrame, most: int = 20_000) -> Column:
-    """A literal filter for the partitions that a batch brings; a batch of more than `most` partitions is refused."""
+def _any_of(partitions: Iterable[Row]) -> Column:
+    """A literal filter for partitions. A filter a source and operation would nest too deep, so they are joined pairwise."""
     months: dict[tuple, list] = {}
-    found = new.select(*PARTITIONS).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"a batch may touch {most} partitions at most; put it in parts")
-    for row in found:
+    for row in partitions:
         months.setdefault((row[0], row[1]), []).append(row[2])
-    filters = [(F.col("source") == s) & (F.col("operation") == o) & F.col("month").isin(m) for (s, o), m in sorted(months.items())]
-    return reduce(lambda a, b: a | b, filters, F.lit(False))
+    equal = lambda name, value: F.col(name).isNull() if value is None else F.col(name) == value
+    filters = [F.lit(False)]
+    for (s, o), m in months.items():
+        month = F.col("month").isin([x for x in m if x is not None])
+        filters.append(equal("source", s) & equal("operation", o) & (month | F.col("month").isNull() if None in m else month))
+    while len(filters) > 1:
+        filters = [reduce(or_, filters[k : k + 2]) for k in range(0, len(filters), 2)]
+    return filters[0]
 
 
-def put_facts(new: DataFrame, path: str) -> None:
+def touched_by(new: DataFrame) -> Column:
+    """A literal filter for the partitions that a batch brings."""
+    return _any_of(new.select(*PARTITIONS).distinct().collect())
+
+
+def slices(new: DataFrame, most: int) -> Iterator[Column]:
+    """Literal filters for the partitions that a batch brings, `most` partitions each."""
+    found = settle(new.select(*PARTITIONS).distinct(), "facts-partitions").toLocalIterator()
+    while part := list(islice(found, most)):
+        yield _any_of(part)
+
+
+def put_facts(new: DataFrame, path: str, most: int = 20_000) -> None:
     """Insert or replace by key. Only the months the batch touches are read back and rewritten.
 
     Inside a batch, and against what is stored, the row stored last wins. Putting the same batch again leaves
     the table as it is. The batch is written once; its partitions, months of a few operations, become literal filters,
-    so the scan of the stored table opens no other partition. Replacing partitions is not atomic for readers of them.
+    so the scan of the stored table opens no other partition. `most` partitions are replaced at a time. Replacing partitions is not atomic for readers of them.
     """
     spark = new.sparkSession
     stored = read_facts(spark, path)
-    rows = new
-    if stored is not None:
-        rows = new = settle(new, "facts-batch")
-        touched = stored.filter(touched_by(new))
-        rows = touched.select(*new.columns).unionByName(new)
+    if stored is None:
+        _replace(new, path)
+        return
+    new = settle(new, "facts-batch")
+    for touched in slices(new, most):
+        _replace(stored.filter(touched).select(*new.columns).unionByName(new.filter(touched)), path)
+
+
+def _replace(rows: DataFrame, path: str) -> None:
     order = [F.desc("stored_at"), F.desc("code_version"), F.desc_nulls_last("head")]
     kept = keep_one(rows, KEY, order)
     (

@@ -102,6 +102,15 @@ def test_putting_a_segment_again_replaces_it(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(source" in plan
 
 
+def test_a_batch_of_many_partitions_is_put_in_slices(spark, tmp_path):
+    rows = "SELECT 'v' || n %% 3 AS source, 'daily' AS operation, '{}' AS params, m || '-01' AS segment, %d AS n, 'h' AS head, '%d' AS code_version, TIMESTAMP'2024-01-0%d 00:00:00' AS stored_at, m AS month FROM (SELECT id AS n, format_string('20%%02d-01', id) AS m FROM range(%d, %d))"
+    path = str(tmp_path / "facts")
+    K.put_facts(spark.sql(rows % (1, 1, 1, 0, 8)), path)
+    K.put_facts(spark.sql(rows % (2, 2, 2, 3, 14)), path, most=2)
+    found = sorted((r.month, r.n) for r in K.read_facts(spark, path).collect())
+    assert found == [(f"20{k:02}-01", 1 if k < 3 else 2) for k in range(14)]
+
+
 @pytest.mark.parametrize("hours,matched", [(10, 1), (24 * 100, 0)])
 def test_fills_outside_the_bound_do_not_match(spark, tmp_path, hours, matched):
     placed = spark.createDataFrame([(1, T0)], "order_id long, placed_at timestamp")
