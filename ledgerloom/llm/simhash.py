@@ -117,20 +117,20 @@ def links(prints: DataFrame, *, distance: int = DISTANCE, m: int = SEGMENTS, cro
     return cold.union(wanted.join(prints, "fp", "left_semi").select("own", "fp"))
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): one row a document; component_id is the smallest id reached over links, itself included.
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id) and the columns to carry: one row a document; component_id is the smallest id reached over links, itself included.
 
     Copies share a fingerprint and are one node; only fingerprints that differ are compared. Texts without words have
     fingerprint 0 and link like others. Rows without an id are no part of any class: their component_id is null.
     Of rows with the same id each has the class that its own fingerprint reaches.
     """
-    ids = docs.select(common.quoted(doc_id).cast("long").alias("doc_id"), common.quoted(text).alias("text"))
-    marked = settle(fingerprints(ids, keep=["doc_id"]), "fingerprints")
+    ids = docs.select(common.quoted(doc_id).cast("long").alias("doc_id"), common.quoted(text).alias("text"), *carry)
+    marked = settle(fingerprints(ids, keep=["doc_id", *carry]), "fingerprints")
     prints = settle(marked.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = components(links(prints.select("fp"), distance=distance)).withColumnRenamed("node", "fp")
     rooted = prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *carry)
 
 
 def hex16(value: Column) -> Column:
@@ -138,10 +138,18 @@ def hex16(value: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class stays: the one with the smallest id. Rows without an id all stay; of rows that repeat an id one stays."""
-    found = classes(docs, doc_id=doc_id, text=text)
-    losers = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__loser")).distinct()
-    stay = docs.join(losers, common.quoted(doc_id) == F.col("__loser"), "left_anti")
+    """One document of each class stays: the one with the smallest id. Rows without an id all stay; of rows that repeat an id one stays.
+
+    A row goes by its id and text: that another text under its id is a copy of something does not touch it. Of several texts that would
+    stay under one id, the one whose hash is smallest does.
+    """
+    same = F.xxhash64(F.coalesce(common.quoted(text), F.lit("")))
+    found = classes(docs.withColumn("__same", same), doc_id=doc_id, text=text, carry=("__same",)).filter(F.col("doc_id").isNotNull())
+    first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("__same").alias("__first"))
+    gone = (F.col("doc_id") != F.col("component_id")) | (F.col("__same") != F.col("__first"))
+    losers = found.join(first, "doc_id", "left").filter(gone).select(F.col("doc_id").alias("__loser"), F.col("__same").alias("__lost")).distinct()
+    # Dealt by id alone, as dropDuplicates needs it: the texts are compared within an id.
+    stay = docs.join(losers, (common.quoted(doc_id) == F.col("__loser")) & (same.bitwiseXOR(F.col("__lost")) == 0), "left_anti")
     return stay.filter(common.quoted(doc_id).isNotNull()).dropDuplicates([doc_id]).union(docs.filter(common.quoted(doc_id).isNull()))
 
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import side_by_side as sbs
 import xxhash
-from llm_tools import HARD, documents, hard, write_tables
+from llm_tools import DOCS, HARD, documents, hard, write_tables
 
 from ledgerloom.llm import line_dedup, simhash
 from ledgerloom.llm.components import components
@@ -182,6 +182,15 @@ def test_classes_bear_hard_rows_and_one_of_each_stays(spark):
     assert simhash.classes(docs.limit(0)).collect() == [] and simhash.keep_one(docs.limit(0)).collect() == []
 
 
+def test_a_copy_takes_no_other_text_of_its_id_along(spark):
+    a, b, c = "alpha beta gamma delta", "one two three four five", "six seven eight nine ten"
+    docs = documents(spark, []).union(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(1, b), (2, a), (2, b), (3, a), (4, c), (4, c), (5, c)]], DOCS))
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == [(1, b), (2, a), (4, c)]
+    twice = spark.createDataFrame([(7, a, "en", "s", 1), (7, c, "en", "s", 1)], DOCS)
+    kept = {simhash.keep_one(twice.orderBy("text", ascending=up)).collect()[0]["text"] for up in (True, False)}
+    assert len(kept) == 1
+
+
 def test_line_dedup_query_beside_its_sql(spark, tmp_path):
     line = "This line stands in many documents, more than forty letters"
     rows = [(k, f"{line}{'' if k % 2 else ' '}\nown {k}\n", "en", "s", 1) for k in range(9)] + [(20, None, "en", "s", 1), (21, "", "en", "s", 1)]
