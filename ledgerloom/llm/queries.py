@@ -7,9 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, language, line_dedup, lm_scoring, mixing, neighbours, pii, quality, simhash, toxicity
+from . import alignment, bpe, jaccard, language, lexical, line_dedup, lm_scoring, mixing, neighbours, pii, quality, simhash, toxicity
 
-MODULES = [bpe, line_dedup, neighbours, simhash, quality, toxicity, pii, lm_scoring, language, mixing, alignment]
+MODULES = [bpe, line_dedup, neighbours, simhash, quality, toxicity, pii, lm_scoring, language, mixing, lexical, alignment, jaccard]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
