@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import islice
 from operator import or_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settle
+from ..sources.ledger import Ledger, live
 from .ranking import keep_one
 
 IDENTITY = ["source", "operation", "params"]
@@ -35,14 +36,20 @@ def stamp(rows: DataFrame, source: str, operation: str, params, segment: str, he
     )
 
 
+def _stored(ledger: Ledger, state: dict) -> DataFrame | None:
+    entries = state["tables"].get("facts")
+    if not entries:
+        return None
+    schema = T.StructType.fromJson(entries[-1]["schema"]).add("put", "string")
+    folder = f"{ledger.path}/data/facts"
+    rows = ledger.spark.read.schema(schema).option("basePath", folder).parquet(*[f"{folder}/put={p}" for p in entries[-1]["puts"]])
+    return live(rows, ledger.read("manifest", state), PARTITIONS).drop("put")
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        # Nothing put yet, or only empty batches.
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    """The facts of the newest whole commit; None if nothing was put yet. Later commits do not change a frame that was read."""
+    ledger = Ledger(spark, path)
+    return _stored(ledger, ledger.state())
 
 
 def _any_of(partitions: Iterable[Row]) -> Column:
@@ -72,33 +79,61 @@ def slices(new: DataFrame, most: int) -> Iterator[Column]:
         yield _any_of(part)
 
 
-def put_facts(new: DataFrame, path: str, most: int = 20_000) -> None:
-    """Insert or replace by key. Only the months the batch touches are read back and rewritten.
+def put_facts(new: DataFrame, path: str, most: int = 20_000, cursor: int | None = None) -> None:
+    """Insert or replace by key, all at once: readers see the table before the batch or after it.
 
-    Inside a batch, and against what is stored, the row stored last wins. Putting the same batch again leaves
-    the table as it is. The batch is written once; its partitions, months of a few operations, become literal filters,
-    so the scan of the stored table opens no other partition. `most` partitions are replaced at a time. Replacing partitions is not atomic for readers of them.
+    Inside a batch, and against what is stored, the row stored last wins. Putting the same batch again leaves the table as it is.
+    Only the months that the batch touches are read back and written anew, to folders of their own; the batch's partitions become
+    literal filters, `most` of them at a time, so the scan of the stored table opens no other partition. One commit then makes the new
+    folders, the manifest (count, first and last segment by folder and identity) and the cursor visible together. Of two writers at a
+    time the later one fails and has changed nothing.
     """
     spark = new.sparkSession
-    stored = read_facts(spark, path)
+    ledger = Ledger(spark, path)
+    base = ledger.state()
+    stored = _stored(ledger, base)
+    manifest = ledger.read("manifest", base)
     if stored is None:
-        _replace(new, path)
+        written = [_written(ledger, new)]
+    else:
+        new = settle(new, "facts-batch")
+        written = [_written(ledger, stored.filter(touched).select(*new.columns).unionByName(new.filter(touched))) for touched in slices(new, most)]
+    if not written:  # an empty batch moves the cursor only
+        ledger.publish(base, {}, cursor=cursor)
         return
-    new = settle(new, "facts-batch")
-    for touched in slices(new, most):
-        _replace(stored.filter(touched).select(*new.columns).unionByName(new.filter(touched)), path)
+    fresh = reduce(DataFrame.union, [_described(ledger, entry) for entry in written])
+    if manifest is not None:
+        fresh = settle(fresh, "manifest")
+        brought = fresh.select(*[F.col(c).alias(f"__{c}") for c in PARTITIONS]).distinct()
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in PARTITIONS))
+        fresh = fresh.unionByName(manifest.join(brought, same, "left_anti"))
+    entry = ledger.write(fresh.coalesce(1), "manifest")
+    puts = [r[0] for r in ledger.read("manifest", {"tables": {"manifest": [entry]}}).select("put").distinct().collect()]  # at most one a batch and slice
+    facts = {"put": entry["put"], "puts": puts or [written[-1]["put"]], "level": 0, "schema": written[-1]["schema"]}
+    ledger.publish(base, {"facts": [facts], "manifest": [entry]}, cursor=cursor)
+
+
+def _written(ledger: Ledger, rows: DataFrame) -> dict:
+    order = [F.desc("stored_at"), F.desc("code_version"), F.desc_nulls_last("head")]
+    return ledger.write(keep_one(rows, KEY, order).hint("rebalance", *PARTITIONS), "facts", *PARTITIONS)
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    order = [F.desc("stored_at"), F.desc("code_version"), F.desc_nulls_last("head")]
-    kept = keep_one(rows, KEY, order)
-    (
-        kept.hint("rebalance", *PARTITIONS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
+def _described(ledger: Ledger, entry: dict) -> DataFrame:
+    """What a folder holds, by partition and identity; reads its key columns only."""
+    rows = ledger.read("facts", {"tables": {"facts": [entry]}})
+    counted = rows.groupBy("source", "operation", "month", "params").agg(F.count(F.lit(1)).alias("segments"), F.min("segment").alias("first"), F.max("segment").alias("last"))
+    return counted.withColumn("put", F.lit(entry["put"]))
+
+
+def facts_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink that puts every batch once: its number is the cursor committed with its rows, and a batch that is in already is passed over."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        done = Ledger(batch.sparkSession, path).state()["cursor"]
+        if done is None or number > done:
+            put_facts(batch, path, cursor=number)
+
+    return write
 
 
 def facts_before(facts: DataFrame, source: str, operation: str, bound: str) -> DataFrame:
@@ -114,3 +149,12 @@ def coverage(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*IDENTITY).agg(
         F.count(F.lit(1)).alias("segments"), F.min("segment").alias("earliest"), F.max("segment").alias("latest")
     )
+
+
+def stored_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """Segments, earliest and latest per identity from the manifest alone: no file of the table is opened."""
+    ledger = Ledger(spark, path)
+    manifest = ledger.read("manifest", ledger.state())
+    if manifest is None:
+        return spark.createDataFrame([], "source string, operation string, params string, segments long, earliest string, latest string")
+    return manifest.groupBy(*IDENTITY).agg(F.sum("segments").alias("segments"), F.min("first").alias("earliest"), F.max("last").alias("latest"))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import facts as K
-from ..operators import orders as O
 from ..operators import quality as Q
 from ..session import fresh_path, prepare
 from ..sources import tables as T
+from ..sources.ledger import Ledger
 from ..streaming import rollup as R
+from ..streaming import settlement as St
 from .registry import query
 
 
-def lined_facts(spark, folder):
-    """Daily line facts put once, and the year 1997 put again by a newer version of the code."""
+def put_lined_facts(spark, folder):
+    """Daily line facts put once, and the year 1997 put again, twice, by a newer version of the code."""
     path = fresh_path(spark, "facts")
     li = T.table(spark, folder, "lineitem")
     day = F.to_date("l_shipdate")
@@ -28,7 +33,11 @@ def lined_facts(spark, folder):
     newer = K.stamp(again, "venue", "daily", params, "day", head=F.lit("h2"), code_version="2", stored_at=at("2024-02-01 00:00:00"))
     K.put_facts(newer, path)
     K.put_facts(newer, path)
-    return K.read_facts(spark, path)
+    return path
+
+
+def lined_facts(spark, folder):
+    return K.read_facts(spark, put_lined_facts(spark, folder))
 
 
 FACTS_SQL = """
@@ -50,7 +59,8 @@ def facts_before(spark, folder):
 
 @query("s08_fact_coverage", f"WITH {FACTS_SQL} SELECT params, count(*) AS segments, min(segment) AS earliest, max(segment) AS latest FROM facts GROUP BY params")
 def fact_coverage(spark, folder):
-    return K.coverage(lined_facts(spark, folder)).drop("source", "operation")
+    """From the manifest of the newest commit; the facts themselves are not read."""
+    return K.stored_coverage(spark, put_lined_facts(spark, folder)).drop("source", "operation")
 
 
 @query(
@@ -71,17 +81,67 @@ def event_stream(spark, path, files_per_batch=None):
 MEASURES = lambda: {"rows": F.count(F.lit(1)), "value": F.sum(S.money(F.col("value")))}
 
 
-@query(
-    "r01_settled_days",
-    """WITH d AS (SELECT cast(ts AS date) AS day, event_type, count(*) AS rows, cast(sum(cast(value AS decimal(18,4))) AS double) AS total FROM events GROUP BY 1, 2)
-    SELECT day, event_type, rows, total AS value FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
-)
-def settled_days(spark, folder):
+def landed(spark, folder, name, parts):
+    """Parts written one after the other as files of a landing folder; a stream takes them in that order."""
+    path = fresh_path(spark, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def in_time(events, pieces):
+    """The events cut into so many stretches of time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    step = (high - low) // pieces + 1 if low is not None else 1
+    return [events.filter(F.floor((at - F.lit(low or 0)) / step) == k) for k in range(pieces)]
+
+
+def shuffled(events, pieces):
+    """The events dealt out by a hash: every piece spans the whole time."""
+    return [events.filter(F.pmod(F.xxhash64("event_id"), F.lit(pieces)) == k) for k in range(pieces)]
+
+
+def settled_from(spark, landing, clock, keys=("event_type",), ledger=None):
+    """A settlement drained from a landing folder, one file a batch; its ledger."""
     prepare(spark)
-    out = fresh_path(spark, "settled-days")
-    days = R.settled_days(event_stream(spark, f"{folder}/events.parquet"), "at", "2 hours", ["event_type"], MEASURES())
-    R.drain(days, R.replace_partitions(out, "day"), fresh_path(spark, "cursor"))
-    return spark.read.schema("event_type string, rows long, value decimal(28,4), day date").parquet(out).select("day", "event_type", "rows", S.dbl(F.col("value")).alias("value"))
+    ledger = ledger or Ledger(spark, fresh_path(spark, "settlement"))
+    days = St.DaySettlement(ledger, "at", TWO_HOURS, keys, MEASURES(), wait=dt.timedelta(hours=1), clock=lambda: clock)
+    R.drain(event_stream(spark, landing, 1), days.sink, f"{ledger.path}/cursor")
+    return ledger
+
+
+TWO_HOURS, LONG_AFTER = dt.timedelta(hours=2), dt.datetime(2100, 1, 1)
+DAYS_SQL = "SELECT cast(ts AS date) AS day, event_type, count(*) AS rows, cast(sum(cast(value AS decimal(18,4))) AS double) AS total FROM events GROUP BY 1, 2"
+
+
+@query("r01_settled_days", f"SELECT day, event_type, rows, total AS value FROM ({DAYS_SQL}) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
+def settled_days(spark, folder):
+    """Four files in order of time, one a batch: open days are carried from batch to batch and given out once."""
+    landing = landed(spark, folder, "events", in_time(T.table(spark, folder, "events"), 4))
+    rows = settled_from(spark, landing, LONG_AFTER).read("settled")
+    return rows.select("day", "event_type", "rows", S.dbl(F.col("value")).alias("value"))
+
+
+@query("r01_two_gates", f"SELECT day, event_type, rows, total AS value FROM ({DAYS_SQL}) WHERE day + INTERVAL 1 DAY <= least((SELECT max(ts) FROM events) - INTERVAL 2 HOUR, TIMESTAMP '2024-01-17 00:30:00' - INTERVAL 1 HOUR)")
+def two_gates(spark, folder):
+    """The clock stands at 2024-01-17 00:30 and days wait an hour: the 16th has ended in event time, but not long enough ago."""
+    landing = landed(spark, folder, "events", in_time(T.table(spark, folder, "events"), 3))
+    rows = settled_from(spark, landing, dt.datetime(2024, 1, 17, 0, 30)).read("settled")
+    return rows.select("day", "event_type", "rows", S.dbl(F.col("value")).alias("value"))
+
+
+@query("r01_reconciled_days", DAYS_SQL.replace("AS total", "AS value"))
+def reconciled_days(spark, folder):
+    """Five files in no order of time, one a batch: what is settled, still open and late adds up to all events."""
+    landing = landed(spark, folder, "events", shuffled(T.table(spark, folder, "events"), 5))
+    ledger = settled_from(spark, landing, LONG_AFTER)
+    state = ledger.state()
+    parts = [ledger.read("settled", state), ledger.read("open", state)]
+    late = ledger.read("late", state)
+    parts.append(None if late is None else late.groupBy(F.to_date("at").alias("day"), "event_type").agg(*[m.alias(n) for n, m in MEASURES().items()]))
+    sums = reduce(DataFrame.unionByName, [x for x in parts if x is not None]).groupBy("day", "event_type")
+    return sums.agg(F.sum("rows").alias("rows"), S.dbl(F.sum("value")).alias("value"))
 
 
 @query(
@@ -93,59 +153,65 @@ def settled_days(spark, folder):
 def late_rows(spark, folder):
     """Error events land after their days were given out: they are kept apart, the days stay as they were."""
     events = T.table(spark, folder, "events")
-    landing, out, late, marks = (fresh_path(spark, n) for n in ("landing", "settled", "late", "marks"))
-    cursor, late_cursor = fresh_path(spark, "cursor"), fresh_path(spark, "late-cursor")
+    landing, ledger = fresh_path(spark, "landing"), Ledger(spark, fresh_path(spark, "settlement"))
     for part in (events.filter("event_type <> 'error'"), events.filter("event_type = 'error'")):
         part.write.mode("append").parquet(landing)
-        days = R.settled_days(event_stream(spark, landing), "at", "2 hours", [], MEASURES())
-        R.drain(days, R.replace_partitions(out, "day"), cursor)
-        R.drain(event_stream(spark, landing), R.late_sink(marks, late, "at", "2 hours"), late_cursor)
+        settled_from(spark, landing, LONG_AFTER, keys=(), ledger=ledger)
     expected = events.filter("event_type <> 'error'").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("expected"))
-    kept = spark.read.schema("rows long, day date").parquet(out)
-    unchanged = kept.join(expected, "day").select("day", (F.col("rows") == F.col("expected")).alias("day_unchanged"))
-    return (
-        spark.read.schema("event_id long, at timestamp, batch int").parquet(late)
-        .groupBy(F.to_date("at").alias("day"))
-        .agg(F.count(F.lit(1)).alias("late_rows"), F.min("event_id").alias("first_event"))
-        .join(unchanged, "day")
-    )
+    unchanged = ledger.read("settled").join(expected, "day").select("day", (F.col("rows") == F.col("expected")).alias("day_unchanged"))
+    late = ledger.read("late").groupBy(F.to_date("at").alias("day")).agg(F.count(F.lit(1)).alias("late_rows"), F.min("event_id").alias("first_event"))
+    return late.join(unchanged, "day")
 
 
 @query("r04_repeated_batches", "SELECT cast(ts AS date) AS day, count(*) AS rows FROM events GROUP BY ALL")
 def repeated_batches(spark, folder):
-    """The same batch delivered twice to the sink leaves one copy of every day."""
+    """The same batch delivered twice: rows and cursor are committed together, so the second time it is passed over."""
     out = fresh_path(spark, "sink")
     daily = T.table(spark, folder, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
-    sink = R.replace_partitions(out, "day")
-    sink(daily, 0)
-    sink(daily, 0)
-    return spark.read.parquet(out).select(F.col("day").cast("date").alias("day"), "rows")
+    batch = K.stamp(daily, "events", "daily", F.lit("{}"), "day", stored_at=F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    sink = K.facts_sink(out)
+    sink(batch, 0)
+    sink(batch, 0)
+    return K.read_facts(spark, out).select(F.col("segment").cast("date").alias("day"), "rows")
 
 
 @query("r05_redelivered_events", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
 def redelivered_events(spark, folder):
     """The first half of the events lands; the second delivery repeats its last twelve hours, within the delay, and goes on."""
     events = T.table(spark, folder, "events")
-    landing, out, cursor = (fresh_path(spark, n) for n in ("landing", "deduped", "cursor"))
+    landing, ledger = fresh_path(spark, "landing"), Ledger(spark, fresh_path(spark, "deduped"))
     at = F.col("ts").cast("timestamp")
     half = events.agg(F.timestamp_micros(((F.unix_micros(F.min(at)) + F.unix_micros(F.max(at))) / 2).cast("long")).alias("half")).scalar()
     for part in (events.filter(at < half), events.filter(at >= half - F.expr("interval 12 hours"))):
         part.write.mode("append").parquet(landing)
-        R.drain(R.drop_redelivered(event_stream(spark, landing), ["event_id"], "at", "1 day"), R.append_batches(out), cursor)
-    return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("ids"))
+        R.drain(event_stream(spark, landing), St.keep_first_sink(ledger, ["event_id"], "at", dt.timedelta(days=1)), f"{ledger.path}/cursor")
+    return ledger.read("kept").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("r05_shuffled_redelivery", "SELECT event_type, count(*) AS ids, count(*) + count(*) FILTER (event_id % 3 = 0) AS rows FROM events GROUP BY event_type")
+def shuffled_redelivery(spark, folder):
+    """Four files in no order of time, then a third of the events again: kept, late and repeated rows are all rows that were delivered."""
+    events = T.table(spark, folder, "events")
+    landing = landed(spark, folder, "events", [*shuffled(events, 4), events.filter(F.col("event_id") % 3 == 0)])
+    ledger = Ledger(spark, fresh_path(spark, "deduped"))
+    R.drain(event_stream(spark, landing, 1), St.keep_first_sink(ledger, ["event_id"], "at", dt.timedelta(days=3)), f"{ledger.path}/cursor")
+    state = ledger.state()
+    parts = [ledger.read(name, state) for name in ("kept", "late", "repeated")]
+    rows = reduce(DataFrame.unionByName, [x for x in parts if x is not None])
+    return rows.groupBy("event_type").agg(F.countDistinct("event_id").alias("ids"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("r06_bounded_ingest", "SELECT event_type, count(*) AS rows, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY event_type")
 def bounded_ingest(spark, folder):
-    """Two deliveries, taken file by file; the second run resumes behind the first."""
+    """Two deliveries, taken file by file; the second run resumes behind the first. Six batches come to few folders."""
     events = T.table(spark, folder, "events")
-    landing, out, cursor = (fresh_path(spark, n) for n in ("landing", "ingested", "cursor"))
+    landing, ledger = fresh_path(spark, "landing"), Ledger(spark, fresh_path(spark, "ingested"))
     first = events.filter("event_type IN ('view', 'click')")
     rest = events.filter("event_type NOT IN ('view', 'click')")
     for part in (first, rest):
         part.repartition(3, "event_id").write.mode("append").parquet(landing)
-        R.drain(R.read_landing(spark, landing, files_per_batch=1), R.append_batches(out), cursor)
-    return spark.read.parquet(out).groupBy("event_type").agg(
+        R.drain(R.read_landing(spark, landing, files_per_batch=1), St.append_sink(ledger, "rows"), f"{ledger.path}/cursor")
+    return ledger.read("rows").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event")
     )
 
@@ -216,8 +282,33 @@ def placed_and_filled(spark, orders_landing, lines_landing):
     SELECT order_id, fills, state, first_latency_s FROM e""",
 )
 def order_ends(spark, folder):
-    """Returned lines are refunds, accepted ones are redeemed; an order without any line is placed only."""
-    orders = T.table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("placed_at"))
-    kind = F.when(F.col("l_returnflag") == "R", "refunded").when(F.col("l_returnflag") == "A", "redeemed")
-    fills = T.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp").alias("filled_at"), kind.alias("end"))
-    return O.order_ends(orders, fills).select("order_id", "fills", "state", "first_latency_s")
+    """Returned lines are refunds, accepted ones are redeemed; an order without any line is placed only. From three deliveries; no order expires."""
+    return ends_from(spark, folder, None).ends().select("order_id", "fills", "state", "first_latency_s")
+
+
+def ends_from(spark, folder, within):
+    """Orders and lines as one stream of steps, in three deliveries by time, one file a batch."""
+    kind = F.when(F.col("l_returnflag") == "R", "refunded").when(F.col("l_returnflag") == "A", "redeemed").otherwise("filled")
+    placed = T.table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_id"), F.lit("placed").alias("step"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    fills = T.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), kind.alias("step"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    steps = placed.union(fills)
+    low, high = placed.agg(F.min(F.to_date("at")), F.max(F.to_date("at"))).first()
+    cuts = [low + (high - low) * k // 3 for k in (1, 2)] if low else []
+    third = reduce(lambda k, cut: k + (F.col("at") >= F.lit(cut)).cast("int"), cuts, F.lit(0))
+    landing = landed(spark, folder, "steps", [steps.filter(third == k) for k in range(3)])
+    orders = St.OrderEnds(Ledger(spark, fresh_path(spark, "orders")), dt.timedelta(days=2), within)
+    R.drain(R.read_landing(spark, landing, 1), orders.sink, f"{orders.ledger.path}/cursor")
+    return orders
+
+
+@query(
+    "r09_expired_orders",
+    """WITH f AS (SELECT l_orderkey AS order_id, count(*) AS fills, min(l_shipdate) AS first_fill, count(*) FILTER (l_returnflag = 'R') AS refunded, count(*) FILTER (l_returnflag = 'A') AS redeemed
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 90 DAY GROUP BY ALL),
+    h AS (SELECT greatest((SELECT max(l_shipdate) FROM lineitem), (SELECT max(o_orderdate) FROM orders)) - INTERVAL 2 DAY AS mark)
+    SELECT o_orderkey AS order_id, coalesce(fills, 0) AS fills, CASE WHEN coalesce(refunded, 0) > 0 THEN 'refunded' WHEN coalesce(redeemed, 0) > 0 THEN 'redeemed' WHEN fills > 0 THEN 'filled' ELSE 'placed' END AS state,
+      cast(epoch(first_fill) - epoch(o_orderdate) AS bigint) AS first_latency_s, o_orderdate + INTERVAL 90 DAY < mark AS final FROM orders LEFT JOIN f ON order_id = o_orderkey, h""",
+)
+def expired_orders(spark, folder):
+    """Lines count for 90 days; orders that nothing filled by then are given out as placed. `final` rows were given out, the others are open."""
+    return ends_from(spark, folder, dt.timedelta(days=90)).ends()

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.facts import read_facts
 from ..operators.ranking import keep_one
 from ..session import settle
+from ..sources.ledger import read_written
 
 
 def read_landing(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -26,7 +26,10 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 
 def settled_days(stream: DataFrame, at: str, delay: str, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
-    """One row per day and key, given out once: when the newest event lies `delay` behind the day's end."""
+    """One row per day and key, given out once: when the newest event lies `delay` behind the day's end.
+
+    Spark drops rows behind its watermark; `settlement.DaySettlement` keeps them apart and also waits for the clock.
+    """
     window = F.window(at, "1 day")
     return (
         stream.withWatermark(at, delay)
@@ -64,32 +67,6 @@ def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return query
 
 
-def late_sink(marks_path: str, late_path: str, at: str, delay: str) -> Callable[[DataFrame, int], None]:
-    """Keep the rows a settled-day rollup over the same stream leaves out because their day was given out before.
-
-    The rule is the rollup's own: a day is closed once the newest event of the earlier batches lies `delay` behind
-    its end. The newest event of every batch is kept in a small table of marks, so the answer needs no look at the
-    rollup's output and does not depend on which of the two runs first. Each batch owns one partition of both
-    tables: a repeated batch adds nothing.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        marks = read_facts(batch.sparkSession, marks_path)
-        earlier = None
-        if marks is not None:
-            earlier = marks.filter(F.col("batch") < number).agg(F.unix_micros(F.max("head"))).first()[0]
-        head = batch.agg(F.max(at).alias("head")).withColumn("batch", F.lit(number))
-        replace_partitions(marks_path, "batch")(head, number)
-        if earlier is None:
-            return
-        closed = F.timestamp_micros(F.lit(earlier)) - F.expr(f"interval {delay}")
-        day_end = F.date_add(F.to_date(at), 1).cast("timestamp")
-        late = batch.filter(day_end <= closed).withColumn("batch", F.lit(number))
-        replace_partitions(late_path, "batch")(late, number)
-
-    return write
-
-
 def append_batches(path: str) -> Callable[[DataFrame, int], None]:
     """Sink that adds every batch as a partition of its own; the same batch again replaces that partition."""
 
@@ -113,7 +90,7 @@ def month_sink(days_path: str, months_path: str) -> Callable[[DataFrame, int], N
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = settle(batch.withColumn("month", F.date_format("day", "yyyy-MM")).withColumn("fresh", F.lit(1)), "month-batch")
-        stored = read_facts(spark, days_path)
+        stored = read_written(spark, days_path)
         if stored is not None:
             months = [r[0] for r in rows.select("month").distinct().collect()]  # bounded by the calendar
             touched = stored.filter(F.col("month").isin(months))

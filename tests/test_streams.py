@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import facts as K
+from ledgerloom.sources.ledger import Ledger, Overtaken, read_written
 from ledgerloom.streaming import rollup as R
 
 ROW = "event_id long, at timestamp, kind string"
@@ -72,7 +73,7 @@ def test_months_pass_on_when_whole(spark, tmp_path):
     sink = R.month_sink(str(tmp_path / "d"), str(tmp_path / "m"))
     sink(rows(range(0, 20)), 0)
     sink(rows(range(10, 28)), 1)
-    assert K.read_facts(spark, str(tmp_path / "m")) is None or spark.read.parquet(str(tmp_path / "m")).count() == 0
+    assert read_written(spark, str(tmp_path / "m")) is None or spark.read.parquet(str(tmp_path / "m")).count() == 0
     sink(rows([28, 29]), 2)
     assert [(r.month, r.days, r.trades) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [("2024-02", 29, 29)]
 
