@@ -31,7 +31,7 @@ from . import common
 #: Results for a question; documents that a block of a list has on average; lists shorter than this have no blocks and are read whole.
 TOP, BLOCK, SHORT = 10, 32, 8
 #: Pairs of question and term in a block of questions; cells (documents x terms) of a shard.
-PAIRS, CELLS = 1 << 17, 1 << 23
+PAIRS, CELLS = 1 << 17, 1 << 21
 #: Dimensions of the random projection that says which documents are alike, and shards that give the first bars.
 DIMENSIONS, FIRST = 24, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
