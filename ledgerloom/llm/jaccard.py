@@ -86,11 +86,27 @@ def first_hashes(hashes: np.ndarray, listed: np.ndarray, seen: np.ndarray, perce
     """
     n = len(hashes)
     many = n - -(-n * percent // 100) + 1
-    times = np.zeros(n, np.int64)
-    if len(listed):
-        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
-        times = np.where(listed[at] == hashes, seen[at], 0)
-    return hashes[np.lexsort((hashes, times))[:many]]
+    if not len(listed):
+        return hashes[:many]
+    at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+    hit = listed[at] == hashes
+    rare = hashes[~hit]
+    if len(rare) >= many:
+        return rare[:many]
+    often, times = hashes[hit], seen[at[hit]]
+    return np.concatenate((rare, often[np.lexsort((often, times))]))[:many]
+
+
+def bitmap(hashes: np.ndarray, power: int) -> np.ndarray:
+    """2 ** power bits: those at the leading bits of the hashes."""
+    bits, at = np.zeros(max(1, (1 << power) >> 6), np.uint64), hashes >> np.uint64(64 - power)
+    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return bits
+
+
+def power_for(size: int) -> int:
+    """Twice as many bits as hashes, up to the widest bitmap."""
+    return min(WIDEST, max(6, int(2 * size - 1).bit_length()))
 
 
 class Tree:
@@ -100,7 +116,7 @@ class Tree:
         order = sorted(range(len(sets)), key=lambda i: (int(sets[i][1]) if len(sets[i]) > 1 else 0, len(sets[i]), int(keys[i])))
         self.keys, self.sets = keys[order], [sets[i] for i in order]
         self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
-        self.power = min(WIDEST, max(6, int(2 * self.sizes.max() - 1).bit_length()))
+        self.power = power_for(int(self.sizes.max()))
         self._levels: dict[int, list] = {}
 
     def pack(self) -> bytes:
@@ -117,10 +133,7 @@ class Tree:
     def levels(self, power: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(bitmaps, smallest size, largest size, most hashes without a bit of their own) by level; the sets first, one root last."""
         if power not in self._levels:
-            bits = np.zeros((len(self.sets), max(1, (1 << power) >> 6)), np.uint64)
-            at = np.concatenate(self.sets) >> np.uint64(64 - power)
-            of = np.repeat(np.arange(len(self.sets)), self.sizes)
-            np.bitwise_or.at(bits, (of, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+            bits = np.stack([bitmap(x, power) for x in self.sets])
             spare = self.sizes - np.bitwise_count(bits).sum(1).astype(np.int64)
             found = [(bits, self.sizes, self.sizes, spare)]
             while len(found[-1][0]) > 1:
@@ -130,12 +143,6 @@ class Tree:
             self._levels[power] = found
         return self._levels[power]
 
-    @property
-    def signature(self) -> tuple:
-        """power, bitmap, smallest and largest size, most spare hashes: the root as a row."""
-        bits, low, high, spare = self.levels(self.power)[-1]
-        return self.power, bits[0].astype("<u8").tobytes(), int(low[0]), int(high[0]), int(spare[0])
-
 
 def may_reach(one: tuple, two: tuple, percent: int = PERCENT) -> np.ndarray:
     """For pairs of tree nodes (bitmaps, low, high, spare), one row a pair: whether two sets under them could be similar enough.
@@ -221,7 +228,12 @@ def traverse(one: Tree, two: Tree, percent: int = PERCENT) -> list[tuple[int, in
     return links
 
 
-MARKS = [T.StructField("__n", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__home", T.LongType()), T.StructField("__first", T.ArrayType(T.LongType()))]
+MARKS = [
+    *[T.StructField(c, T.LongType()) for c in ("__n", "__node", "__home")],
+    T.StructField("__first", T.ArrayType(T.LongType())),
+    T.StructField("__power", T.IntegerType()),
+    T.StructField("__bits", T.BinaryType()),
+]
 
 
 def _listed(texts: DataFrame, words: int, rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +269,7 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def marks(docs: DataFrame, shared, words: int, percent: int) -> DataFrame:
-    """Beside (doc_id): size of the set, its hash, its smallest hash and its first hashes in the common order."""
+    """Beside (doc_id): size of the set, its hash, its smallest hash, its first hashes in the common order, and its bitmap."""
 
     def make():
         known = _Hashes()
@@ -266,7 +278,11 @@ def marks(docs: DataFrame, shared, words: int, percent: int) -> DataFrame:
             rows = []
             for t in texts:
                 s = shingles(t, known, words)
-                rows.append((len(s), set_hash(s), int(s[:1].view(np.int64)[0]) if len(s) else 0, first_hashes(s, *shared.value, percent).view(np.int64).tolist() if len(s) else []))
+                if len(s):
+                    power = power_for(len(s))
+                    rows.append((len(s), set_hash(s), int(s[:1].view(np.int64)[0]), first_hashes(s, *shared.value, percent).view(np.int64), power, bitmap(s, power).astype("<u8").tobytes()))
+                else:
+                    rows.append((0, 0, 0, [], 0, b""))
             return list(zip(*rows)) if rows else [[] for _ in MARKS]
 
         return run
@@ -280,12 +296,60 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield list(group)
 
 
+def signatures(placed: DataFrame) -> DataFrame:
+    """(tree, k, power, bits, low, high, spare) of placed (tree, node, n, power, bits): the roots of trees, before any set has moved.
+
+    Bitmaps of a tree are brought to the width of its narrowest one.
+    """
+    kinds = pa.schema([("tree", pa.int64()), ("k", pa.int64()), ("power", pa.int32()), ("bits", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("spare", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for rows in _runs(batches):
+            each = list({r["node"]: r for r in rows}.values())
+            power = min(r["power"] for r in each)
+            bits = np.stack([_folded(np.frombuffer(r["bits"], "<u8"), power) for r in each])
+            sizes = np.array([r["n"] for r in each], np.int64)
+            spare = sizes - np.bitwise_count(bits).sum(1).astype(np.int64)
+            out.append({"tree": each[0]["tree"], "k": len(each), "power": power, "bits": np.bitwise_or.reduce(bits).astype("<u8").tobytes(), "low": int(sizes.min()), "high": int(sizes.max()), "spare": int(spare.max())})
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    rows = placed.select("tree", "node", "n", "power", "bits").repartition("tree").sortWithinPartitions("tree")
+    return rows.mapInArrow(run, "tree long, k long, power int, bits binary, low long, high long, spare long")
+
+
+def root_pairs(pairs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """The pairs (t1, t2) whose roots could have similar sets under them, the larger tree first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for r in batch.to_pylist():
+                power = min(r["p1"], r["p2"])
+                # A folded bitmap leaves more hashes without a bit of their own, but the bound takes the smaller of both trees' numbers.
+                one, two = [(_folded(np.frombuffer(r[f"b{k}"], "<u8"), power), *(np.int64(x) for x in (r[f"l{k}"], r[f"h{k}"], r[f"s{k}"] + (r[f"h{k}"] if r[f"p{k}"] > power else 0)))) for k in (1, 2)]
+                good.append(bool(may_reach(one, two, percent)))
+            yield batch.select(["t1", "t2"]).filter(pa.array(good, pa.bool_()))
+
+    def root(k: int) -> list[Column]:
+        return [F.col("tree").alias(f"t{k}"), F.col("power").alias(f"p{k}"), F.col("bits").alias(f"b{k}"), F.col("low").alias(f"l{k}"), F.col("high").alias(f"h{k}"), F.col("spare").alias(f"s{k}"), (F.col("k") * F.col("high")).alias(f"w{k}")]
+
+    both = pairs.join(roots.select(*root(1)), "t1").join(roots.select(*root(2)), "t2")
+    larger = F.col("w1") >= F.col("w2")
+    ends = [F.when(larger, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("t1", "t2"), ("t2", "t1"))]
+    both = both.select(*ends, *[f"{c}{k}" for k in (1, 2) for c in "pblhs"])
+    return settle(both.mapInArrow(run, "t1 long, t2 long"), "root-pairs")
+
+
 def trees(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(tree, blob, links, power, bits, low, high, spare) of (tree, node, text): a row a tree, with the links within it.
+    """(tree, blob, links) of (tree, node, text): a row a tree, with the links within it.
 
     Texts whose set is not the node's are left out: another text under the same id.
     """
-    schema = "tree long, blob binary, links array<struct<a: long, b: long>>, power int, bits binary, low long, high long, spare long"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -293,20 +357,19 @@ def trees(texts: DataFrame, words: int, percent: int) -> DataFrame:
             out = []
             for tree, node, text in zip(*[c.to_pylist() for c in batch.columns]):
                 s = shingles(text or "", known, words)
-                if set_hash(s) == node:
+                if len(s) and set_hash(s) == node:
                     out.append((tree, node, s.astype("<u8").tobytes()))
             columns = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["tree", "node", "hashes"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("tree", pa.int64()), ("blob", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("power", pa.int32()), ("bits", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("spare", pa.int64())])
+        kinds = pa.schema([("tree", pa.int64()), ("blob", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
         out, size = [], 0
         for rows in _runs(batches):
             each = {r["node"]: r["hashes"] for r in rows}
             one = Tree(np.array(list(each), np.int64), [np.frombuffer(h, "<u8").astype(np.uint64) for h in each.values()])
             links = [{"a": a, "b": b} for a, b in traverse(one, one, percent)] if len(each) > 1 else []
-            power, bits, low, high, spare = one.signature
-            out.append({"tree": rows[0]["tree"], "blob": one.pack(), "links": links, "power": power, "bits": bits, "low": low, "high": high, "spare": spare})
+            out.append({"tree": rows[0]["tree"], "blob": one.pack(), "links": links})
             size += len(out[-1]["blob"])
             if size > 1 << 22 or len(out) >= 1000:
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
@@ -315,46 +378,39 @@ def trees(texts: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     packed = texts.select("tree", "node", "text").mapInArrow(sets, "tree long, node long, hashes binary")
-    return packed.repartition("tree").sortWithinPartitions("tree").mapInArrow(build, schema)
+    return packed.repartition("tree").sortWithinPartitions("tree").mapInArrow(build, "tree long, blob binary, links array<struct<a: long, b: long>>")
 
 
 def met(pairs: DataFrame, built: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the trees of pairs (t1, t2), as many as connect what all of them connect. Roots meet first, then whole trees."""
+    """(a, b): links between the trees of pairs (t1, t2), as many as connect what all of them connect."""
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for r in batch.to_pylist():
-                power = min(r["p1"], r["p2"])
-                bits = [_folded(np.frombuffer(r[f"b{k}"], "<u8"), r[f"p{k}"], power) for k in (1, 2)]
-                # A narrower bitmap leaves more hashes without a bit of their own; the wide one's spare hashes grow by the bits lost.
-                spare = [r[f"s{k}"] + (r[f"h{k}"] if r[f"p{k}"] > power else 0) for k in (1, 2)]
-                one, two = [(bits[k - 1], *(np.int64(x) for x in (r[f"l{k}"], r[f"h{k}"], spare[k - 1]))) for k in (1, 2)]
-                good.append(bool(may_reach(one, two, percent)))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["t1", "t2"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, one = None, None
         for batch in batches:
             links = []
-            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                links += traverse(Tree.unpack(one), Tree.unpack(two), percent)
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x != packed:
+                    packed, one = x, Tree.unpack(x)
+                links += traverse(one, Tree.unpack(y), percent)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def root(k: int) -> list[Column]:
-        return [F.col("tree").alias(f"t{k}"), F.col("power").alias(f"p{k}"), F.col("bits").alias(f"b{k}"), F.col("low").alias(f"l{k}"), F.col("high").alias(f"h{k}"), F.col("spare").alias(f"s{k}")]
+    needed = _trees_of(pairs)
+    blobs = settle(built.select("tree", "blob").join(needed, "tree", "left_semi"), "needed-trees")
+    # The smaller tree travels to the larger one.
+    both = pairs.join(blobs.toDF("t2", "y"), "t2").join(blobs.toDF("t1", "x"), "t1")
+    return settle(both.select("x", "y").mapInArrow(run, "a long, b long"), "tree-links")
+
 
-    both = pairs.join(built.select(*root(1)), "t1").join(built.select(*root(2)), "t2").select("t1", "t2", *[f"{c}{k}" for k in (1, 2) for c in "pblhs"])
-    left = settle(both.mapInArrow(roots, "t1 long, t2 long"), "tree-pairs")
-    blobs = left.join(built.select(F.col("tree").alias("t1"), F.col("blob").alias("x")), "t1").join(built.select(F.col("tree").alias("t2"), F.col("blob").alias("y")), "t2")
-    return settle(blobs.select("x", "y").mapInArrow(whole, "a long, b long"), "tree-links")
+def _trees_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("t1").alias("tree")).union(pairs.select("t2")).distinct()
 
 
-def _folded(bits: np.ndarray, power: int, wanted: int) -> np.ndarray:
+def _folded(bits: np.ndarray, power: int) -> np.ndarray:
     """A bitmap of fewer bits: neighbours are combined, as fewer leading bits of the hashes would have it."""
-    one = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), bitorder="little")
-    if power == wanted:
+    if len(bits) << 6 == 1 << power:
         return bits.astype(np.uint64)
-    return np.packbits(one.reshape(1 << wanted, -1).any(1), bitorder="little").view("<u8").astype(np.uint64)
+    one = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), bitorder="little")
+    return np.packbits(one.reshape(1 << power, -1).any(1), bitorder="little").view("<u8").astype(np.uint64)
 
 
 def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, tree: int = TREE) -> DataFrame:
@@ -369,37 +425,43 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     shared = spark.sparkContext.broadcast(_listed(ids.select("text"), words, SAMPLE, frequent))
     marked = settle(marks(ids, shared, words, percent), "marks")
     some = marked.filter((F.col("__n") > 0) & F.col("doc_id").isNotNull())
-    nodes = settle(some.groupBy("__node").agg(F.min("doc_id").alias("first"), F.min("__n").alias("n"), F.min("__home").alias("home")), "nodes")
-    # One row of each set speaks for it: the first hashes are the same for all.
-    spoken = some.join(nodes.select(F.col("__node").alias("node"), "first"), (F.col("__node") == F.col("node")) & (F.col("doc_id") == F.col("first")), "left_semi")
-    rows = spoken.select(F.col("__node").alias("node"), F.explode("__first").alias("hash"))
-    rows = settle(rows, "first-hashes")
+    nodes = settle(some.groupBy("__node").agg(F.min("doc_id").alias("first")), "nodes")
+    # One row of each set speaks for it: what is known of a set is the same in all.
+    spoken = some.join(nodes.withColumnRenamed("__node", "node"), (F.col("__node") == F.col("node")) & (F.col("doc_id") == F.col("first")), "left_semi")
+    rows = settle(spoken.select(F.col("__node").alias("node"), F.explode("__first").alias("hash")), "first-hashes")
     often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("hash")
     held = settle(rows.join(often, "hash"), "shared-hashes")
-    inside = held.select("node").distinct()
-    homes = nodes.join(inside, nodes["__node"] == inside["node"], "left_semi")
-    crowds = homes.groupBy("home").agg(F.count(F.lit(1)).alias("k"))
+    homes = spoken.join(held.select(F.col("node").alias("__node")).distinct(), "__node", "left_semi")
+    crowds = homes.groupBy("__home").agg(F.count(F.lit(1)).alias("k"))
     part = F.pmod(F.xxhash64("__node"), F.ceil(F.col("k") / tree))
-    placed = settle(homes.join(crowds, "home").select(F.col("__node").alias("node"), "first", F.xxhash64("home", part).alias("tree")), "placed")
-    chosen = placed.select("node", F.col("first").alias("doc_id"), "tree")
-    built = settle(trees(ids.join(chosen, "doc_id").select("tree", "node", "text"), words, percent), "trees")
-    inner = built.select(F.inline("links"))
+    known = [F.col("__node").alias("node"), "doc_id", F.col("__n").alias("n"), F.col("__power").alias("power"), F.col("__bits").alias("bits")]
+    placed = settle(homes.join(crowds, "__home").select(*known, F.xxhash64("__home", part).alias("tree")), "placed")
+    roots = settle(signatures(placed), "tree-roots")
     # Trees that share a hash: first each with its neighbour in the hash's list, then those that are not connected by that.
     by_hash = settle(held.join(placed.select("node", "tree"), "node").select("hash", "tree", "node"), "hash-trees")
-    listed = by_hash.select("hash", "tree").distinct()
-    first = settle(_neighbours(listed), "next-trees")
-    links = inner.union(met(first, built, percent))
-    roots = components(links)
-    named = by_hash.join(roots, by_hash["node"] == roots["node"], "left").select("hash", "tree", F.coalesce(roots["root"], by_hash["node"]).alias("root"))
-    spread = settle(named.groupBy("hash", "tree").agg(F.min("root").alias("low"), F.max("root").alias("high")), "tree-roots")
+    first = settle(_neighbours(by_hash.select("hash", "tree").distinct()), "next-trees")
+    near = root_pairs(first, roots, percent)
+    needed = settle(roots.filter(F.col("k") > 1).select("tree").union(_trees_of(near)).distinct(), "needed")
+
+    def build(which: DataFrame) -> DataFrame:
+        chosen = placed.join(which, "tree", "left_semi").select("tree", "node", "doc_id")
+        return settle(trees(ids.join(chosen, "doc_id"), words, percent), "trees")
+
+    built = build(needed)
+    links = built.select(F.inline("links")).union(met(near, built, percent))
+    connected = components(links)
+    named = by_hash.join(connected, by_hash["node"] == connected["node"], "left").select("hash", "tree", F.coalesce(connected["root"], by_hash["node"]).alias("root"))
+    spread = settle(named.groupBy("hash", "tree").agg(F.min("root").alias("low"), F.max("root").alias("high")), "tree-components")
     mixed = spread.groupBy("hash").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.count(F.lit(1)).alias("k"))
     open_ = settle(spread.join(mixed.filter((F.col("lowest") != F.col("highest")) & (F.col("k") > 1)).select("hash"), "hash"), "open-trees")
     x, y = open_.toDF("hash", "t1", "low1", "high1"), open_.toDF("hash", "t2", "low2", "high2")
     apart = (F.least("low1", "low2") != F.greatest("high1", "high2")) & (F.col("t1") < F.col("t2"))
     rest = x.join(y, "hash").filter(apart).select("t1", "t2").distinct().join(first, ["t1", "t2"], "left_anti")
-    links = settle(links.union(met(settle(rest, "open-pairs"), built, percent)), "links")
-    roots = components(links).withColumnsRenamed({"node": "__node", "root": "__root"})
-    rooted = nodes.join(roots, "__node", "left").select("__node", "first", F.coalesce("__root", "__node").alias("__root"))
+    near = root_pairs(settle(rest, "open-pairs"), roots, percent)
+    built = built.union(build(_trees_of(near).join(needed, "tree", "left_anti")))
+    links = settle(links.union(met(near, built, percent)), "links")
+    connected = components(links).withColumnsRenamed({"node": "__node", "root": "__root"})
+    rooted = nodes.join(connected, "__node", "left").select("__node", "first", F.coalesce("__root", "__node").alias("__root"))
     least_id = rooted.join(rooted.groupBy("__root").agg(F.min("first").alias("component_id")), "__root").select("__node", "component_id")
     found = marked.select("doc_id", "__n", "__node").join(least_id, "__node", "left")
     alone = F.when(F.col("__n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
