@@ -46,11 +46,23 @@ def months_between(df: DataFrame, day: str) -> DataFrame:
     )
 
 
-def settled_months(months: DataFrame, now: Column, head: Column, delay_hours: int) -> DataFrame:
-    """A month is settled once its end lies `delay_hours` back on the clock and the source has passed it."""
-    end = F.date_add("last_day", 1).cast("timestamp")
-    ready = (now >= end + F.expr(f"interval {int(delay_hours)} hours")) & (head >= end)
-    return months.withColumn("settled", ready)
+def settled_months(months: DataFrame, now: Column, head: Column, delay_hours: int, floors: DataFrame | None = None, source: str = "source") -> DataFrame:
+    """A month is settled once its end lies `delay_hours` back on the clock and the source has passed it.
+
+    With floors (source, floor day; one row a source, a small dimension) months also carry their source: months that begin below its floor,
+    months of a source without one, and texts that are no month (`YYYY-MM`) are refused instead of settled, and `refused` says why.
+    """
+    delay = F.expr(f"interval {int(delay_hours)} hours")
+    if floors is None:
+        end = F.date_add("last_day", 1).cast("timestamp")
+        return months.withColumn("settled", (now >= end + delay) & (head >= end))
+    known = floors.select(F.col(source).alias("__source"), F.col("floor").alias("__floor"))
+    joined = months.join(known, F.col(source) == F.col("__source"), "left")
+    first = F.when(F.col("month").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), F.try_to_date(F.concat("month", F.lit("-01")), "yyyy-MM-dd"))
+    end = F.add_months(first, 1).cast("timestamp")
+    refused = F.when(F.col("__source").isNull(), "unknown source").when(first.isNull(), "malformed month").when(first < F.col("__floor"), "below floor")
+    settled = F.coalesce(refused.isNull() & (now >= end + delay) & (head >= end), F.lit(False))
+    return joined.withColumn("refused", refused).withColumn("settled", settled).drop("__source", "__floor")
 
 
 def fill_forward(dense_df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:

@@ -11,43 +11,97 @@ from ..functions import scalars as S
 from ..session import settle
 
 
+#: A walk of some hops from `id`: where it leads (`to`, NULL at its end), the product of ratios and the number of hops up to there, and the
+#: deepest price on it, with the product and hops up to that.
+WALK = ["id", "to", "factor", "hops", "unit", "by_oracle", "unit_factor", "unit_hops"]
+
+
+def _joined_walks(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Each walk of `first` followed by the walk of `second` that starts where it leads."""
+    then = second.select(*[F.col(c).alias(f"__{c}") for c in WALK])
+    deeper = F.col("__unit").isNotNull()
+    pick = lambda there, here: F.when(deeper, there).otherwise(here)
+    return first.join(then, F.col("to") == F.col("__id")).select(
+        "id",
+        F.col("__to").alias("to"),
+        (F.col("factor") * F.col("__factor")).alias("factor"),
+        (F.col("hops") + F.col("__hops")).alias("hops"),
+        pick(F.col("__unit"), F.col("unit")).alias("unit"),
+        pick(F.col("__by_oracle"), F.col("by_oracle")).alias("by_oracle"),
+        pick(F.col("factor") * F.col("__unit_factor"), F.col("unit_factor")).alias("unit_factor"),
+        pick(F.col("hops") + F.col("__unit_hops"), F.col("unit_hops")).alias("unit_hops"),
+    )
+
+
+def _walked(steps: DataFrame, most: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Walks to their end, those still going after 2 ** most hops, and all walks by round.
+
+    Every round doubles the walks: one followed by the walk of the node it leads to. Ended walks are joined to, but not again.
+    """
+    whole, rounds = settle(steps, "walks"), []
+    while True:
+        rounds.append(whole)
+        going = whole.filter(F.col("to").isNotNull())
+        if len(rounds) > most or going.isEmpty():
+            return whole.filter(F.col("to").isNull()), going, rounds
+        whole = settle(whole.filter(F.col("to").isNull()).unionByName(_joined_walks(going, whole)), "walks")
+
+
+def _around(on_cycle: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """Walks once around for nodes of cycles (id, length), put together from walks of doubled lengths."""
+    walks, most = None, on_cycle.agg(F.max("length")).first()[0]
+    for k in range(most.bit_length()):
+        odd = F.shiftright("length", k).bitwiseAND(F.lit(1)) == 1
+        if walks is None:
+            walks = on_cycle.select("id", "length", F.col("id").alias("to"), F.lit(1.0).alias("factor"), F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("double").alias("unit"), F.lit(None).cast("boolean").alias("by_oracle"), F.lit(None).cast("double").alias("unit_factor"), F.lit(None).cast("bigint").alias("unit_hops"))
+        longer = _joined_walks(walks.filter(odd), rounds[k]).join(walks.select("id", "length"), "id")
+        walks = settle(longer.unionByName(walks.filter(~odd)), "around")
+    return walks.withColumn("to", F.lit(None).cast(on_cycle.schema["id"].dataType)).select(*WALK)
+
+
 def resolve_prices(assets: DataFrame, wraps: DataFrame, oracle: DataFrame, spot: DataFrame) -> DataFrame:
     """Price of wrapped assets: the oracle first, else the wrapped asset's price times the ratio, else the spot.
 
-    assets(id), wraps(id, underlying, ratio), oracle(id, price), spot(id, price). All assets walk one wrap
-    further per hop; a walk ends at an oracle price, at an asset that wraps nothing known, or where it comes back to an
-    asset that it has seen. However long the walks are, all are walked to their end.
+    assets(id), wraps(id, underlying, ratio), oracle(id, price), spot(id, price), one row an id. A walk ends at an oracle price, at an asset that
+    wraps nothing known, or where it comes back to an asset that it has seen; without an oracle the deepest spot on it counts. Walks are
+    doubled in length each round, so a chain of d wraps takes log d rounds. Nodes whose walks never end lie on or before a cycle: nodes of
+    cycles are where such walks have led after as many hops as there are wraps; they are walked once around, the others up to them.
     """
-    links = wraps.filter(F.col("underlying").isNotNull() & F.col("ratio").isNotNull()).select(
-        F.col("id").alias("node"), "underlying", F.col("ratio").alias("__ratio")
-    )
-    prices = oracle.select(F.col("id").alias("node"), F.col("price").alias("oracle")).join(
-        spot.select(F.col("id").alias("node"), F.col("price").alias("spot")), "node", "full_outer"
-    )
-    start = assets.select("id", F.col("id").alias("node"), F.lit(0).alias("hop"), F.lit(1.0).alias("factor"))
-    frontier = settle(start.join(prices, "node", "left"), "wrap-hop")
-    reached = frontier
-    hop = 0
-    while not frontier.isEmpty():
-        hop += 1
-        step = (
-            frontier.filter("oracle IS NULL")
-            .drop("oracle", "spot")
-            .join(links, "node")
-            .select("id", F.col("underlying").alias("node"), F.lit(hop).alias("hop"), (F.col("factor") * F.col("__ratio")).alias("factor"))
-            .join(reached.select("id", "node"), ["id", "node"], "left_anti")
-        )
-        frontier = settle(step.select("id", "node", "hop", "factor").join(prices, "node", "left").select(*reached.columns), "wrap-hop")
-        reached = reached.unionByName(frontier)
-    # At most one hop has an oracle price, and it is the last one; otherwise the deepest spot on the walk counts.
-    priced = F.col("oracle").isNotNull() | F.col("spot").isNotNull()
-    value = F.struct(F.coalesce("oracle", "spot").alias("unit"), "factor", "hop", F.col("oracle").isNotNull().alias("by_oracle"))
-    best = F.max_by(F.when(priced, value), F.when(priced, F.col("hop")))
-    return reached.groupBy("id").agg(best.alias("b")).select(
+    links = wraps.filter(F.col("underlying").isNotNull() & F.col("ratio").isNotNull()).select("id", "underlying", F.col("ratio").cast("double").alias("ratio"))
+    prices = oracle.select("id", F.col("price").cast("double").alias("oracle")).join(spot.select("id", F.col("price").cast("double").alias("spot")), "id", "full_outer")
+    nodes = assets.select("id").union(links.select("id")).union(links.select("underlying")).distinct()
+    known = nodes.join(links, "id", "left").join(prices, "id", "left")
+    ends = F.col("oracle").isNotNull() | F.col("underlying").isNull()
+    priced = F.coalesce("oracle", "spot").isNotNull()
+    first = known.select(
+        "id",
+        F.when(~ends, F.col("underlying")).alias("to"),
+        F.coalesce("ratio", F.lit(1.0)).alias("factor"),
+        F.lit(1).cast("bigint").alias("hops"),
+        F.coalesce("oracle", "spot").alias("unit"),
+        F.when(priced, F.col("oracle").isNotNull()).alias("by_oracle"),
+        F.when(priced, F.lit(1.0)).alias("unit_factor"),
+        F.when(priced, F.lit(0).cast("bigint")).alias("unit_hops"),
+    )
+    first = settle(first, "wraps")
+    done, going, rounds = _walked(first, first.filter("to IS NOT NULL").count().bit_length())
+    if not going.isEmpty():
+        on_cycle = settle(going.select(F.col("to").alias("id")).distinct(), "on-cycle")
+        tails = going.join(on_cycle, "id", "left_anti").select("id")
+        # From a node of a cycle, the smallest node around names the cycle; reached by doubling as well.
+        least = first.join(on_cycle, "id", "left_semi").select("id", "to", F.col("id").alias("name"))
+        for _ in range(len(rounds)):
+            then = least.select(F.col("id").alias("__id"), F.col("to").alias("__to"), F.col("name").alias("__name"))
+            least = settle(least.join(then, F.col("to") == F.col("__id")).select("id", F.col("__to").alias("to"), F.least("name", "__name").alias("name")), "cycle-names")
+        lengths = least.groupBy("name").agg(F.count(F.lit(1)).alias("length"))
+        around = settle(_around(settle(least.join(lengths, "name").select("id", "length"), "cycle-lengths"), rounds), "cycles")
+        before, _, _ = _walked(first.join(tails, "id", "left_semi").unionByName(around), len(rounds))
+        done = done.join(around.select("id").union(tails), "id", "left_anti").unionByName(before)
+    return assets.select("id").join(done, "id", "left").select(
         "id",
-        S.six_digits(F.col("b.unit") * F.col("b.factor")).alias("price"),
-        F.when(F.col("b").isNull(), F.lit(None).cast("string")).when(F.col("b.by_oracle"), "oracle").otherwise("spot").alias("via"),
-        F.col("b.hop").cast("bigint").alias("hops"),
+        S.six_digits(F.col("unit") * F.col("unit_factor")).alias("price"),
+        F.when(F.col("unit").isNull(), F.lit(None).cast("string")).when(F.col("by_oracle"), "oracle").otherwise("spot").alias("via"),
+        F.col("unit_hops").alias("hops"),
     )
 
 

@@ -342,6 +342,30 @@ def settled_months(spark, folder):
     return out.select("month", "settled")
 
 
+@query(
+    "r02_settled_by_source",
+    """WITH o AS (SELECT DISTINCT n_name AS source, CASE WHEN o_orderpriority LIKE '1%' THEN strftime(o_orderdate, '%Y-%m') WHEN o_orderpriority LIKE '2%' THEN strftime(o_orderdate, '%Y-0%m') ELSE strftime(o_orderdate, '%Y-%m') END AS month
+      FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+    f AS (SELECT n_name AS source, CAST(make_date(1993 + cast(n_regionkey AS int), 3, 1) AS date) AS floor FROM nation WHERE n_nationkey % 5 <> 4),
+    h AS (SELECT max(o_orderdate) AS head FROM orders),
+    c AS (SELECT o.*, floor, head, f.source IS NULL AS unknown, regexp_matches(month, '^[0-9]{4}-(0[1-9]|1[0-2])$') AS good, CASE WHEN good THEN cast(month || '-01' AS date) END AS first FROM o LEFT JOIN f ON o.source = f.source, h)
+    SELECT source, month, CASE WHEN unknown THEN 'unknown source' WHEN NOT good THEN 'malformed month' WHEN first < floor THEN 'below floor' END AS refused,
+      coalesce(refused IS NULL AND TIMESTAMP '1998-02-01 02:00:00' >= first + INTERVAL 1 MONTH + INTERVAL 2 HOUR AND head >= first + INTERVAL 1 MONTH, false) AS settled FROM c""",
+)
+def settled_by_source(spark, folder):
+    """Nations as sources with a floor by region, one in five without; months of urgent orders come malformed. The clock stands at 1998-02-01 02:00."""
+    orders, customer, nation = (T.table(spark, folder, n) for n in ("orders", "customer", "nation"))
+    name = F.when(F.col("o_orderpriority").startswith("2"), F.date_format("o_orderdate", "yyyy-0MM")).otherwise(F.date_format("o_orderdate", "yyyy-MM"))
+    months = (
+        orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).select("c_nationkey", name.alias("month")).distinct()
+        .join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_name").alias("source"), "month")
+    )
+    floors = nation.filter(F.col("n_nationkey") % 5 != 4).select(F.col("n_name").alias("source"), F.make_date(F.lit(1993) + F.col("n_regionkey").cast("int"), F.lit(3), F.lit(1)).alias("floor"))
+    head = orders.agg(F.max("o_orderdate").cast("timestamp").alias("h")).scalar()
+    out = A.settled_months(months.withColumn("__head", head), F.lit("1998-02-01 02:00:00").cast("timestamp"), F.col("__head"), 2, floors)
+    return out.select("source", "month", "refused", "settled")
+
+
 def holder_frames(spark, folder):
     """Suppliers hold what they shipped of a part; suppliers of region 0 are sovereign accounts of their nation."""
     li, supplier, nation, part = (T.table(spark, folder, n) for n in ("lineitem", "supplier", "nation", "part"))
