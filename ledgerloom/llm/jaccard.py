@@ -1,9 +1,10 @@
 """Join of word n-gram sets by Jaccard similarity, with signature trees.
 
-Equal sets are one node. Nodes live in trees: those with the same smallest hash share one, split by hash beyond TREE of them. A tree's
-levels hold OR-combined bitmaps of hashes and size ranges. Two trees are traversed together, level by level, and a pair of tree nodes is
-followed only while the overlap that bitmaps and sizes still allow could reach the threshold; what is left at the leaves is compared by
-the sets themselves. Tree nodes that lie within one component already are not followed: only connections are asked for.
+Equal sets are one node. Nodes of about one size that share a hash live in a tree, split by hash beyond TREE of them. A tree's levels hold
+OR-combined bitmaps of hashes and size ranges. Two trees are traversed together, level by level, and a pair of tree nodes is followed
+only while the overlap that bitmaps and sizes still allow could reach the threshold. Bitmaps go first, they are a small part of the sets;
+only sets that are left at the leaves move, and are compared themselves. Trees that lie within one component already do not meet again:
+only connections are asked for.
 
 Which trees meet: sets similar enough share a hash among the first few in any one order of hashes. Frequent hashes, a list of bounded
 size, come last in that order, so that a passage which many documents share brings no strangers together.
@@ -109,6 +110,45 @@ def power_for(size: int) -> int:
     return min(WIDEST, max(6, int(2 * size - 1).bit_length()))
 
 
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def levels_of(bits: np.ndarray, sizes: np.ndarray) -> list[Level]:
+    """(bitmaps, smallest size, largest size, most hashes without a bit of their own) by level; the sets first, one root last."""
+    found = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(1).astype(np.int64))]
+    while len(found[-1][0]) > 1:
+        bits, low, high, spare = found[-1]
+        cuts = np.arange(0, len(bits), FAN)
+        found.append((np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(spare, cuts)))
+    return found
+
+
+class Signatures:
+    """A tree without its sets: bitmaps and sizes of its nodes, like bitmaps side by side."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
+        order = np.lexsort((keys, sizes, bits[:, 0]))
+        self.keys, self.sizes, self.bits = keys[order], sizes[order], bits[order]
+        self.power = (bits.shape[1] << 6).bit_length() - 1
+        self._levels: dict[int, list[Level]] = {}
+
+    def pack(self) -> bytes:
+        head = np.concatenate(([len(self.keys)], self.keys, self.sizes)).astype(np.int64).view(np.uint64)
+        return zstandard.compress(np.concatenate((head, self.bits.ravel())).astype("<u8").tobytes(), 1)
+
+    @classmethod
+    def unpack(cls, packed: bytes) -> Signatures:
+        whole = np.frombuffer(zstandard.decompress(packed), "<u8").astype(np.uint64)
+        n = int(whole[0])
+        return cls(whole[1 : 1 + n].view(np.int64), whole[1 + n : 1 + 2 * n].astype(np.int64), whole[1 + 2 * n :].reshape(n, -1))
+
+    def levels(self, power: int) -> list[Level]:
+        if power not in self._levels:
+            bits = self.bits if power == self.power else np.stack([_folded(x, power) for x in self.bits])
+            self._levels[power] = levels_of(bits, self.sizes)
+        return self._levels[power]
+
+
 class Tree:
     """Sets in an order that puts like ones side by side, under levels of tree nodes with FAN children each."""
 
@@ -117,7 +157,7 @@ class Tree:
         self.keys, self.sets = keys[order], [sets[i] for i in order]
         self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
         self.power = power_for(int(self.sizes.max()))
-        self._levels: dict[int, list] = {}
+        self._levels: dict[int, list[Level]] = {}
 
     def pack(self) -> bytes:
         head = np.concatenate(([len(self.sets)], self.keys, self.sizes)).astype(np.int64).view(np.uint64)
@@ -130,17 +170,9 @@ class Tree:
         sizes = whole[1 + n : 1 + 2 * n].astype(np.int64)
         return cls(whole[1 : 1 + n].view(np.int64), np.split(whole[1 + 2 * n :], np.cumsum(sizes)[:-1]))
 
-    def levels(self, power: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(bitmaps, smallest size, largest size, most hashes without a bit of their own) by level; the sets first, one root last."""
+    def levels(self, power: int) -> list[Level]:
         if power not in self._levels:
-            bits = np.stack([bitmap(x, power) for x in self.sets])
-            spare = self.sizes - np.bitwise_count(bits).sum(1).astype(np.int64)
-            found = [(bits, self.sizes, self.sizes, spare)]
-            while len(found[-1][0]) > 1:
-                bits, low, high, spare = found[-1]
-                cuts = np.arange(0, len(bits), FAN)
-                found.append((np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(spare, cuts)))
-            self._levels[power] = found
+            self._levels[power] = levels_of(np.stack([bitmap(x, power) for x in self.sets]), self.sizes)
         return self._levels[power]
 
 
@@ -180,8 +212,8 @@ def _children(pairs: np.ndarray, sizes: tuple[int, int], same: bool) -> np.ndarr
     return found[inside & (found[:, 0] <= found[:, 1])] if same else found[inside]
 
 
-def traverse(one: Tree, two: Tree, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (key, key) between sets of two trees, or within one tree given twice: as many as connect what all links connect."""
+def survivors(one: Signatures | Tree, two: Signatures | Tree, percent: int = PERCENT) -> tuple[np.ndarray, list[Level], list[Level]]:
+    """Pairs of places of two trees, or of one given twice, that bitmaps and sizes leave at every level; and the levels compared."""
     same = one is two
     power = min(one.power, two.power)
     a, b = one.levels(power), two.levels(power)
@@ -209,7 +241,16 @@ def traverse(one: Tree, two: Tree, percent: int = PERCENT) -> list[tuple[int, in
             kept.append(part[good])
         pairs = np.concatenate(kept) if kept else pairs
         if not len(pairs):
-            return []
+            break
+    return pairs, a, b
+
+
+def traverse(one: Tree, two: Tree, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (key, key) between sets of two trees, or within one tree given twice: as many as connect what all links connect."""
+    same = one is two
+    pairs, a, b = survivors(one, two, percent)
+    if not len(pairs):
+        return []
     shared = np.bitwise_count(a[0][0][pairs[:, 0]] & b[0][0][pairs[:, 1]]).sum(1)
     order = np.argsort(-shared.astype(np.int64), kind="stable")  # likely links first, so that most others connect nothing new
     joined, links = _Joined(len(one.sets) + (0 if same else len(two.sets))), []
@@ -229,7 +270,7 @@ def traverse(one: Tree, two: Tree, percent: int = PERCENT) -> list[tuple[int, in
 
 
 MARKS = [
-    *[T.StructField(c, T.LongType()) for c in ("__n", "__node", "__home")],
+    *[T.StructField(c, T.LongType()) for c in ("__n", "__node")],
     T.StructField("__first", T.ArrayType(T.LongType())),
     T.StructField("__power", T.IntegerType()),
     T.StructField("__bits", T.BinaryType()),
@@ -269,7 +310,7 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def marks(docs: DataFrame, shared, words: int, percent: int) -> DataFrame:
-    """Beside (doc_id): size of the set, its hash, its smallest hash, its first hashes in the common order, and its bitmap."""
+    """Beside (doc_id): size of the set, its hash, its first hashes in the common order, and its bitmap."""
 
     def make():
         known = _Hashes()
@@ -280,9 +321,9 @@ def marks(docs: DataFrame, shared, words: int, percent: int) -> DataFrame:
                 s = shingles(t, known, words)
                 if len(s):
                     power = power_for(len(s))
-                    rows.append((len(s), set_hash(s), int(s[:1].view(np.int64)[0]), first_hashes(s, *shared.value, percent).view(np.int64), power, bitmap(s, power).astype("<u8").tobytes()))
+                    rows.append((len(s), set_hash(s), first_hashes(s, *shared.value, percent).view(np.int64), power, bitmap(s, power).astype("<u8").tobytes()))
                 else:
-                    rows.append((0, 0, 0, [], 0, b""))
+                    rows.append((0, 0, [], 0, b""))
             return list(zip(*rows)) if rows else [[] for _ in MARKS]
 
         return run
@@ -297,21 +338,17 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def signatures(placed: DataFrame) -> DataFrame:
-    """(tree, k, power, bits, low, high, spare) of placed (tree, node, n, power, bits): the roots of trees, before any set has moved.
-
-    Bitmaps of a tree are brought to the width of its narrowest one.
-    """
-    kinds = pa.schema([("tree", pa.int64()), ("k", pa.int64()), ("power", pa.int32()), ("bits", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("spare", pa.int64())])
+    """(tree, k, power, bits, low, high, spare, sign) of placed (tree, node, n, power, bits): roots, and trees without their sets."""
+    kinds = pa.schema([("tree", pa.int64()), ("k", pa.int64()), ("power", pa.int32()), ("bits", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("spare", pa.int64()), ("sign", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for rows in _runs(batches):
-            each = list({r["node"]: r for r in rows}.values())
-            power = min(r["power"] for r in each)
-            bits = np.stack([_folded(np.frombuffer(r["bits"], "<u8"), power) for r in each])
-            sizes = np.array([r["n"] for r in each], np.int64)
-            spare = sizes - np.bitwise_count(bits).sum(1).astype(np.int64)
-            out.append({"tree": each[0]["tree"], "k": len(each), "power": power, "bits": np.bitwise_or.reduce(bits).astype("<u8").tobytes(), "low": int(sizes.min()), "high": int(sizes.max()), "spare": int(spare.max())})
+            each = {r["node"]: r for r in rows}
+            bits = np.stack([np.frombuffer(r["bits"], "<u8").astype(np.uint64) for r in each.values()])
+            one = Signatures(np.array(list(each), np.int64), np.array([r["n"] for r in each.values()], np.int64), bits)
+            root, low, high, spare = one.levels(one.power)[-1]
+            out.append({"tree": rows[0]["tree"], "k": len(each), "power": one.power, "bits": root[0].astype("<u8").tobytes(), "low": int(low[0]), "high": int(high[0]), "spare": int(spare[0]), "sign": one.pack()})
             if len(out) >= 1000:
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
                 out = []
@@ -319,7 +356,29 @@ def signatures(placed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     rows = placed.select("tree", "node", "n", "power", "bits").repartition("tree").sortWithinPartitions("tree")
-    return rows.mapInArrow(run, "tree long, k long, power int, bits binary, low long, high long, spare long")
+    return rows.mapInArrow(run, "tree long, k long, power int, bits binary, low long, high long, spare long, sign binary")
+
+
+def alike(pairs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(t1, t2, nodes): those of the pairs whose signatures leave some sets that could be similar, and these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, one = None, None
+        for batch in batches:
+            out = []
+            for t1, t2, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+                if x != packed:
+                    packed, one = x, Signatures.unpack(x)
+                two = one if t1 == t2 else Signatures.unpack(y)
+                found = survivors(one, two, percent)[0]
+                if len(found):
+                    out.append((t1, t2, np.unique(np.concatenate((one.keys[found[:, 0]], two.keys[found[:, 1]])))))
+            columns = list(zip(*out)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["t1", "t2", "nodes"])
+
+    signs = roots.select("tree", "sign")
+    both = pairs.join(signs.toDF("t2", "y"), "t2").join(signs.toDF("t1", "x"), "t1")
+    return settle(both.select("t1", "t2", "x", "y").mapInArrow(run, "t1 long, t2 long, nodes array<long>"), "alike-trees")
 
 
 def root_pairs(pairs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -394,17 +453,12 @@ def met(pairs: DataFrame, built: DataFrame, percent: int) -> DataFrame:
                 links += traverse(one, Tree.unpack(y), percent)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    needed = _trees_of(pairs)
-    blobs = settle(built.select("tree", "blob").join(needed, "tree", "left_semi"), "needed-trees")
+    blobs = built.select("tree", "blob")
     # The smaller tree travels to the larger one.
     both = pairs.join(blobs.toDF("t2", "y"), "t2").join(blobs.toDF("t1", "x"), "t1")
     return settle(both.select("x", "y").mapInArrow(run, "a long, b long"), "tree-links")
 
 
-def _trees_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("t1").alias("tree")).union(pairs.select("t2")).distinct()
-
-
 def _folded(bits: np.ndarray, power: int) -> np.ndarray:
     """A bitmap of fewer bits: neighbours are combined, as fewer leading bits of the hashes would have it."""
     if len(bits) << 6 == 1 << power:
@@ -429,26 +483,30 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     # One row of each set speaks for it: what is known of a set is the same in all.
     spoken = some.join(nodes.withColumnRenamed("__node", "node"), (F.col("__node") == F.col("node")) & (F.col("doc_id") == F.col("first")), "left_semi")
     rows = settle(spoken.select(F.col("__node").alias("node"), F.explode("__first").alias("hash")), "first-hashes")
-    often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("hash")
+    often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1)
     held = settle(rows.join(often, "hash"), "shared-hashes")
-    homes = spoken.join(held.select(F.col("node").alias("__node")).distinct(), "__node", "left_semi")
-    crowds = homes.groupBy("__home").agg(F.count(F.lit(1)).alias("k"))
-    part = F.pmod(F.xxhash64("__node"), F.ceil(F.col("k") / tree))
-    known = [F.col("__node").alias("node"), "doc_id", F.col("__n").alias("n"), F.col("__power").alias("power"), F.col("__bits").alias("bits")]
-    placed = settle(homes.join(crowds, "__home").select(*known, F.xxhash64("__home", part).alias("tree")), "placed")
+    # A node lives with those that share the hash which most nodes share with it: copies of one text come together.
+    lives = held.groupBy("node").agg(F.max(F.struct("k", "hash")).alias("most")).select(F.col("node").alias("__node"), F.col("most.hash").alias("home"))
+    homes = spoken.join(lives, "__node").select(F.col("__node").alias("node"), "doc_id", F.col("__n").alias("n"), F.col("__power").alias("power"), F.col("__bits").alias("bits"), "home")
+    homes = settle(homes, "homes")
+    crowds = homes.groupBy("home", "power").agg(F.count(F.lit(1)).alias("k"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / tree))
+    placed = settle(homes.join(crowds, ["home", "power"]).select("node", "doc_id", "n", "power", "bits", F.xxhash64("home", "power", part).alias("tree")), "placed")
     roots = settle(signatures(placed), "tree-roots")
-    # Trees that share a hash: first each with its neighbour in the hash's list, then those that are not connected by that.
-    by_hash = settle(held.join(placed.select("node", "tree"), "node").select("hash", "tree", "node"), "hash-trees")
-    first = settle(_neighbours(by_hash.select("hash", "tree").distinct()), "next-trees")
-    near = root_pairs(first, roots, percent)
-    needed = settle(roots.filter(F.col("k") > 1).select("tree").union(_trees_of(near)).distinct(), "needed")
 
-    def build(which: DataFrame) -> DataFrame:
-        chosen = placed.join(which, "tree", "left_semi").select("tree", "node", "doc_id")
-        return settle(trees(ids.join(chosen, "doc_id"), words, percent), "trees")
+    def between(pairs: DataFrame) -> DataFrame:
+        """Links within and between trees of pairs: roots meet first, then signatures, then the sets that are left."""
+        near = alike(pairs, roots, percent)
+        nodes_left = near.select(F.explode("nodes").alias("node")).distinct()
+        chosen = placed.join(nodes_left, "node", "left_semi").select("tree", "node", "doc_id")
+        built = settle(trees(ids.join(chosen, "doc_id"), words, percent), "trees")
+        return built.select(F.inline("links")).union(met(near.filter(F.col("t1") != F.col("t2")).select("t1", "t2"), built, percent))
 
-    built = build(needed)
-    links = built.select(F.inline("links")).union(met(near, built, percent))
+    # Trees that share a hash: first each with itself and its neighbour in the hash's list, then those that are not connected by that.
+    by_hash = settle(held.join(placed.select("node", "tree"), "node").select("hash", "tree", "node"), "hash-trees")
+    first = settle(_neighbours(by_hash.select("hash", "tree").distinct()), "next-trees")
+    themselves = roots.filter(F.col("k") > 1).select(F.col("tree").alias("t1"), F.col("tree").alias("t2"))
+    links = between(root_pairs(first, roots, percent).union(themselves))
     connected = components(links)
     named = by_hash.join(connected, by_hash["node"] == connected["node"], "left").select("hash", "tree", F.coalesce(connected["root"], by_hash["node"]).alias("root"))
     spread = settle(named.groupBy("hash", "tree").agg(F.min("root").alias("low"), F.max("root").alias("high")), "tree-components")
@@ -457,9 +515,7 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     x, y = open_.toDF("hash", "t1", "low1", "high1"), open_.toDF("hash", "t2", "low2", "high2")
     apart = (F.least("low1", "low2") != F.greatest("high1", "high2")) & (F.col("t1") < F.col("t2"))
     rest = x.join(y, "hash").filter(apart).select("t1", "t2").distinct().join(first, ["t1", "t2"], "left_anti")
-    near = root_pairs(settle(rest, "open-pairs"), roots, percent)
-    built = built.union(build(_trees_of(near).join(needed, "tree", "left_anti")))
-    links = settle(links.union(met(near, built, percent)), "links")
+    links = settle(links.union(between(root_pairs(settle(rest, "open-pairs"), roots, percent))), "links")
     connected = components(links).withColumnsRenamed({"node": "__node", "root": "__root"})
     rooted = nodes.join(connected, "__node", "left").select("__node", "first", F.coalesce("__root", "__node").alias("__root"))
     least_id = rooted.join(rooted.groupBy("__root").agg(F.min("first").alias("component_id")), "__root").select("__node", "component_id")
