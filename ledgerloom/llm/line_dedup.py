@@ -107,21 +107,24 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opti
     A key held by a third of all documents is summed before the shuffle; joins on it are split.
     """
     gone = dropped_lines(docs, doc_id=doc_id, text=text, **options)
-    kept = common.without(docs, ["n_lines", "n_dropped", "__id", "__same", "gone"])
+    kept = common.without(docs, ["n_lines", "n_dropped"])
     whole = F.coalesce(quoted(text), F.lit(""))
-    keyed = kept.withColumn("__id", quoted(doc_id).cast("long")).withColumn("__same", F.xxhash64(whole))
-    both = keyed.join(gone.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), "gone"), ["__id", "__same"], "left")
-    split = both.withColumn("__lines", F.split(whole, "\n", -1))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone"))
-    text_left = F.when(F.col("gone").isNull(), quoted(text)).otherwise(F.array_join(F.transform(F.array_sort(stays), lambda i: F.get(F.col("__lines"), i)), "\n"))
+    # Documents travel whole, as one column, so that no name of theirs can clash.
+    packed = kept.select(F.struct(*[quoted(c).alias(c) for c in kept.columns]).alias("doc"), quoted(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("same"))
+    both = packed.join(gone, ["doc_id", "same"], "left")
+    inner = F.col("doc").getField(text)
+    split = both.withColumn("lines", F.split(F.coalesce(inner, F.lit("")), "\n", -1))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text_left = F.when(F.col("gone").isNull(), inner).otherwise(F.array_join(F.transform(F.array_sort(stays), lambda i: F.get(F.col("lines"), i)), "\n"))
     return split.select(
-        *[text_left.alias(c) if c == text else quoted(c) for c in kept.columns],
-        F.size("__lines").cast("long").alias("n_lines"),
+        *[(text_left if c == text else F.col("doc").getField(c)).alias(c) for c in kept.columns],
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that at least five share, by digest."""
     kept = dedup(common.table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

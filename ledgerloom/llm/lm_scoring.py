@@ -250,20 +250,18 @@ def _counted(corpus: DataFrame, targets, frequent) -> np.ndarray:
     return found
 
 
-def _numbered(docs: DataFrame, stable: bool) -> DataFrame:
-    """Documents with a number each that is the same on every read."""
-    rows = common.without(docs, [ROW]).withColumn(ROW, F.monotonically_increasing_id())
-    return rows if stable else settle(rows, "numbered")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with a number each, written once: a number that the scan makes up would change with its splits."""
+    return settle(common.without(docs, [ROW]).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-def fit(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", frequent: tuple[int, int] = FREQUENT, stable: bool = False) -> Models:
+def fit(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", frequent: tuple[int, int] = FREQUENT) -> Models:
     """Models over all documents; target documents are those whose id is in targets (doc_id).
 
-    stable: docs is read straight from files and so gives the same rows in the same order every time; otherwise it is written once first.
     The driver and the workers get the counts of frequent words and pairs and one bit for each document in 64 that have a target among them.
     """
     spark = docs.sparkSession
-    numbered = _numbered(docs, stable)
+    numbered = _numbered(docs)
     wanted = targets.select(F.col("doc_id").cast("long").alias("__id")).filter(F.col("__id").isNotNull()).distinct()
     rows = numbered.select(common.quoted(doc_id).cast("long").alias("__id"), ROW).join(wanted.hint("merge"), "__id", "left_semi")
     bits = rows.groupBy(F.shiftright(ROW, 6).alias("key")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({ROW} & 63 AS int))")).alias("bits")).orderBy("key").toArrow()
@@ -396,7 +394,7 @@ def _added(dealt: DataFrame, scorer) -> DataFrame:
     return dealt.mapInArrow(run, "row long, n_words long, total double")
 
 
-def score(docs: DataFrame, models: Models, *, text: str = "text", keep: list[str] | None = None, held: int = HELD, stable: bool = False) -> DataFrame:
+def score(docs: DataFrame, models: Models, *, text: str = "text", keep: list[str] | None = None, held: int = HELD) -> DataFrame:
     """`n_words` and `score` beside the columns of docs; below 0 the text is more like the target than like the corpus.
 
     Texts without words, empty and null ones have score 0. Without target texts both models are the same even one and all scores lean
@@ -407,7 +405,7 @@ def score(docs: DataFrame, models: Models, *, text: str = "text", keep: list[str
         numbered, size = docs, models.total[1]
         texts = models.corpus.select("text", ROW, F.lit(True).alias("counted"), F.lit(True).alias("scored"))
     else:
-        numbered = _numbered(docs, stable)
+        numbered = _numbered(docs)
         other = numbered.select(common.quoted(text).alias("text"), F.col(ROW))
         size = models.total[1] + (other.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 4
         texts = models.corpus.select("text", ROW, F.lit(True).alias("counted"), F.lit(False).alias("scored"))
@@ -426,7 +424,7 @@ def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Every document by how much closer it is to texts labelled as good than to the whole corpus; held-out labels are not used."""
     docs = common.table(spark, folder, "documents")
     labels = common.table(spark, folder, "labels")
-    models = fit(docs, labels.filter((F.col("quality") == 1) & ~common.held_out()).select("doc_id"), stable=True)
+    models = fit(docs.select("doc_id", "text"), labels.filter((F.col("quality") == 1) & ~common.held_out()).select("doc_id"))
     return score(models.docs, models, keep=["doc_id"]).select("doc_id", common.held_out().alias("held_out"), "n_words", "score")
 
 

@@ -142,15 +142,18 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     """
     found = mix(docs, doc_id=doc_id, text=text, source=source)
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    often = found.filter(F.col("size") > 0).select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), times.alias("__times")).filter(F.col("__times") > 0)
-    # Rows that repeat an id and a text are told apart by their number among themselves, on both sides.
-    number = lambda df, by: df.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__same").orderBy(by)))
-    left = docs.withColumn("__id", quoted(doc_id)).withColumn("__same", F.xxhash64(F.coalesce(quoted(text), F.lit(""))))
-    joined = number(left, F.lit(0)).join(number(often, F.col("__times").desc()).withColumnsRenamed({"__id": "i", "__same": "s", "__n": "n"}), F.col("__id").eqNullSafe(F.col("i")) & (F.col("__same") == F.col("s")) & (F.col("__n") == F.col("n")))
-    return joined.select(*[quoted(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    often = found.filter(F.col("size") > 0).select(F.col("doc_id").alias("id"), "same", times.alias("times")).filter(F.col("times") > 0)
+    # Rows that repeat an id and a text are told apart by their number among themselves, on both sides. Documents travel whole, as one
+    # column, so that no name of theirs can clash.
+    number = lambda df, by: df.withColumn("n", F.row_number().over(Window.partitionBy("id", "same").orderBy(by)))
+    packed = docs.select(F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("doc"), quoted(doc_id).alias("id"), F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias("same"))
+    left, right = number(packed, F.lit(0)), number(often, F.col("times").desc()).toDF("i", "s", "times", "k")
+    joined = left.join(right, F.col("id").eqNullSafe(F.col("i")) & (F.col("same") == F.col("s")) & (F.col("n") == F.col("k")))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document the mix takes, and its source's target."""
     found = mix(common.table(spark, folder, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 

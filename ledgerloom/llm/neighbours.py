@@ -69,7 +69,9 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
     Null vectors, vectors that hold a null, and vectors of another length take no part.
     """
-    named = vectors.select(common.quoted(vec_id).cast("long").alias("vec_id"), common.quoted(embedding).cast("array<float>").alias("v"))
+    # Components stay as they are: only narrower or other kinds of numbers are widened.
+    kind = vectors.select(common.quoted(embedding)).schema[0].dataType.simpleString()
+    named = vectors.select(common.quoted(vec_id).cast("long").alias("vec_id"), common.quoted(embedding).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
     whole = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
     fine = named.filter(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)))
     sizes = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -87,7 +89,7 @@ def indexed(fine: DataFrame, frame: Frame) -> DataFrame:
             own, code, *numbers = encode(_matrix(b.column(1)), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), *(pa.array(n, pa.float64()) for n in numbers)], ["vec_id", "v", "own", "code", "length", "follow", "product"])
 
-    return fine.mapInArrow(run, "vec_id long, v array<float>, own int, code binary, length double, follow double, product double")
+    return fine.mapInArrow(run, f"vec_id long, v {fine.schema['v'].dataType.simpleString()}, own int, code binary, length double, follow double, product double")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -192,6 +194,7 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embe
 
 
 def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of all other vectors for every twentieth id."""
     return search(common.table(spark, folder, "embeddings"))
 
 

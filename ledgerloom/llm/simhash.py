@@ -118,7 +118,8 @@ def links(prints: DataFrame, *, distance: int = DISTANCE, m: int = SEGMENTS, cro
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, component_id) and the columns to carry: one row a document; component_id is the smallest id reached over links, itself included.
+    """(doc_id, fp, component_id, class_fp) and the columns to carry: one row a document; component_id is the smallest id reached over links, itself included.
+    class_fp is a fingerprint of the class, the same for all of it and for no other.
 
     Copies share a fingerprint and are one node; only fingerprints that differ are compared. Texts without words have
     fingerprint 0 and link like others. Rows without an id are no part of any class: their component_id is null.
@@ -129,8 +130,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", dist
     prints = settle(marked.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = components(links(prints.select("fp"), distance=distance)).withColumnRenamed("node", "fp")
     rooted = prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *carry)
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", F.col("root").alias("class_fp"))
+    return marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "class_fp", *carry)
 
 
 def hex16(value: Column) -> Column:
@@ -138,22 +139,26 @@ def hex16(value: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class stays: the one with the smallest id. Rows without an id all stay; of rows that repeat an id one stays.
+    """One document of each class stays: the one with the smallest id. Rows without an id all stay.
 
-    A row goes by its id and text: that another text under its id is a copy of something does not touch it. Of several texts that would
-    stay under one id, the one whose hash is smallest does.
+    A row goes by its id and text: two texts under one id that are copies of nothing both stay, and that another text under its id is a
+    copy of something does not touch a row. Of several texts of a class under its smallest id the one whose hash is smallest stays, of rows
+    that repeat an id and a text one. Columns keep whatever names they have.
     """
-    same = F.xxhash64(F.coalesce(common.quoted(text), F.lit("")))
-    found = classes(docs.withColumn("__same", same), doc_id=doc_id, text=text, carry=("__same",)).filter(F.col("doc_id").isNotNull())
-    first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("__same").alias("__first"))
-    gone = (F.col("doc_id") != F.col("component_id")) | (F.col("__same") != F.col("__first"))
-    losers = found.join(first, "doc_id", "left").filter(gone).select(F.col("doc_id").alias("__loser"), F.col("__same").alias("__lost")).distinct()
-    # Dealt by id alone, as dropDuplicates needs it: the texts are compared within an id.
-    stay = docs.join(losers, (common.quoted(doc_id) == F.col("__loser")) & (same.bitwiseXOR(F.col("__lost")) == 0), "left_anti")
-    return stay.filter(common.quoted(doc_id).isNotNull()).dropDuplicates([doc_id]).union(docs.filter(common.quoted(doc_id).isNull()))
+    packed = docs.select(F.struct(*[quoted_as(c) for c in docs.columns]).alias("doc"), common.quoted(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(common.quoted(text), F.lit(""))).alias("same"))
+    marked = classes(docs.select(common.quoted(doc_id).alias("doc_id"), common.quoted(text).alias("text"), F.xxhash64(F.coalesce(common.quoted(text), F.lit(""))).alias("same")), carry=("same",))
+    first = marked.filter(F.col("doc_id") == F.col("component_id")).groupBy("class_fp").agg(F.min("doc_id").alias("id"), F.min("same").alias("same"))
+    # Dealt by id and text, as dropDuplicates needs it too.
+    stay = packed.join(first.select("id", "same").distinct(), ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
+    return stay.select("doc").union(packed.filter(F.col("id").isNull()).select("doc")).select("doc.*")
+
+
+def quoted_as(name: str) -> Column:
+    return common.quoted(name).alias(name)
 
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint and the component that links of two bits put it in."""
     found = classes(common.table(spark, folder, "documents"))
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
