@@ -196,5 +196,12 @@ def test_pipeline_runs_as_registered_and_bears_an_empty_table(spark, tmp_path):
 
 def test_every_query_is_registered():
     names = queries.queries()
-    assert sorted(int(n.split("_")[0][2:]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_vectors_of_doubles_keep_their_precision(spark):
+    rows = [(20, [0.3, 0.0])] + [(k, [0.3 + d, 1e-12]) for k, d in ((1, 1e-10), (2, 3e-10), (3, 2e-10), (4, -1e-10))]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [2, 3, 1, 4]
+    assert all(r["score"] == 0.3 * dict(rows)[r["vec_id"]][0] + 0.0 for r in found)

@@ -266,3 +266,19 @@ def test_long_secrets_are_covered_to_their_end(spark):
     text = f"token: {long} and more"
     assert [s for s in pii.spans(text, ANCHORS) if s[0] == "secret"] == [("secret", 7, 7 + len(long))]
     assert pii.masked(documents(spark, [text])).first()["text"] == "token: <secret> and more"
+
+
+def test_scores_do_not_depend_on_the_number_of_cores(spark, tmp_path):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices([f"w{k}" for k in range(50)], k=draw.randrange(5, 60))) for _ in range(120)]
+    documents(spark, texts).repartition(6).write.parquet(str(tmp_path / "docs"))
+    wanted = spark.createDataFrame([(k,) for k in range(0, 120, 7)], "doc_id long")
+    scores = []
+    for fitting, scoring in ((4, 40), (40, 2)):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", fitting)
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        models = lm_scoring.fit(docs, wanted)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", scoring)
+        scores.append({r["doc_id"]: r["score"] for r in lm_scoring.score(models.docs, models, keep=["doc_id"]).collect()})
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert scores[0].keys() == set(range(120)) and all(abs(scores[0][k] - scores[1][k]) < 1e-9 for k in scores[0])
