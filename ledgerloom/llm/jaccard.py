@@ -31,8 +31,8 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Nodes of a tree, children of a tree node, and bits of the widest bitmap as a power of two.
 TREE, FAN, WIDEST = 256, 8, 14
-#: Most hashes on the list of frequent ones, which is drawn up from about SAMPLE documents. It decides where sets meet, not what comes out.
-FREQUENT, SAMPLE = 1 << 17, 8_000
+#: Most hashes on the list of frequent ones, which is drawn up from one in SHARE documents. It decides where sets meet, not what comes out.
+FREQUENT, SHARE = 1 << 17, 6
 WORDS_KEPT = 250_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -277,7 +277,7 @@ MARKS = [
 ]
 
 
-def _listed(texts: DataFrame, words: int, rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _listed(texts: DataFrame, words: int, share: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that a sample of the texts holds three times or more, sorted, and how often."""
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if most <= 0:
@@ -295,7 +295,8 @@ def _listed(texts: DataFrame, words: int, rows: int, most: int) -> tuple[np.ndar
         if held:
             yield _counted(held)
 
-    seen = common.sample(texts, rows, F.xxhash64("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 2)
+    drawn = texts.filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(share)) == 0)
+    seen = drawn.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 2)
     top = seen.orderBy(F.desc("n"), "h").limit(most).toArrow()
     if not top.num_rows:
         return none
@@ -476,7 +477,7 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     """
     spark = docs.sparkSession
     ids = docs.select(common.quoted(doc_id).cast("long").alias("doc_id"), common.quoted(text).alias("text"))
-    shared = spark.sparkContext.broadcast(_listed(ids.select("text"), words, SAMPLE, frequent))
+    shared = spark.sparkContext.broadcast(_listed(ids.select("text"), words, SHARE, frequent))
     marked = settle(marks(ids, shared, words, percent), "marks")
     some = marked.filter((F.col("__n") > 0) & F.col("doc_id").isNotNull())
     nodes = settle(some.groupBy("__node").agg(F.min("doc_id").alias("first")), "nodes")
