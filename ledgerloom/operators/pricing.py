@@ -28,28 +28,32 @@ def usable_legs(legs: DataFrame) -> DataFrame:
 def derive_rates(legs: DataFrame, pegged: Iterable[str]) -> DataFrame:
     """Sweep outwards from the pegged symbols: a trade with one priced side states a price for the other.
 
-    A pass gives every newly reached symbol the upper median of its observations; a priced symbol is not
-    revised. Passes go on until one reaches no new symbol. Legs that state the same are counted together first, and each
-    pass leaves only its small rate table behind.
+    A pass gives every newly reached symbol the upper median of its observations; a priced symbol is not revised. Passes go on until one
+    reaches no new symbol. A pass joins only the symbols that the one before it priced to legs of which no side was priced before;
+    it leaves what those legs state and the legs that are still open, so each pass reads less than the one before.
     """
     spark = legs.sparkSession
-    usable = settle(usable_legs(legs).select("in_symbol", "in_amount", "out_symbol", "out_amount"), "pricing-legs")
-    rates = spark.createDataFrame([(symbol, 1.0, None, 0) for symbol in pegged], RATES)
+    sides = ["in_symbol", "in_amount", "out_symbol", "out_amount"]
+    open_legs = usable_legs(legs).select(*sides)
+    rates = front = spark.createDataFrame([(symbol, 1.0, None, 0) for symbol in pegged], RATES)
     number = 0
     while True:
         number += 1
-        known = rates.filter("rate <> 0").select("symbol", "rate")
-        paid = known.select(F.col("symbol").alias("in_symbol"), F.col("rate").alias("in_rate"))
-        got = known.select(F.col("symbol").alias("out_symbol"), F.col("rate").alias("out_rate"))
-        sides = usable.join(paid, "in_symbol", "left").join(got, "out_symbol", "left")
+        paid = front.select(F.col("symbol").alias("in_symbol"), F.col("rate").alias("in_rate"))
+        got = front.select(F.col("symbol").alias("out_symbol"), F.col("rate").alias("out_rate"))
+        both = open_legs.join(paid, "in_symbol", "left").join(got, "out_symbol", "left")
         forward = F.col("in_rate").isNotNull() & F.col("out_rate").isNull()
         backward = F.col("out_rate").isNotNull() & F.col("in_rate").isNull()
-        stated = sides.filter(forward | backward).select(
-            F.when(forward, F.col("out_symbol")).otherwise(F.col("in_symbol")).alias("symbol"),
-            F.when(forward, F.col("in_amount") * F.col("in_rate") / F.col("out_amount"))
-            .otherwise(F.col("out_amount") * F.col("out_rate") / F.col("in_amount"))
-            .alias("price"),
+        price = F.when(forward, F.col("in_amount") * F.col("in_rate") / F.col("out_amount")).when(backward, F.col("out_amount") * F.col("out_rate") / F.col("in_amount"))
+        neither = F.col("in_rate").isNull() & F.col("out_rate").isNull()
+        swept = both.filter(forward | backward | neither).select(
+            F.when(forward, F.col("out_symbol")).when(backward, F.col("in_symbol")).alias("symbol"),
+            price.alias("price"),
+            *[F.when(neither, F.col(c)).alias(c) for c in sides],
+            F.when(neither, "open").otherwise("stated").alias("kind"),
         )
+        swept = settle(swept, f"sweep-{number}", "kind")
+        stated = swept.filter("kind = 'stated'").select("symbol", "price")
         found = upper_median(stated, ["symbol"], "price", "rate").select(
             "symbol", "rate", F.col("n").alias("observations"), F.lit(number).alias("pass")
         )
@@ -57,6 +61,8 @@ def derive_rates(legs: DataFrame, pegged: Iterable[str]) -> DataFrame:
         if found.isEmpty():
             break
         rates = rates.unionByName(found)
+        front = found.filter("rate <> 0")
+        open_legs = swept.filter("kind = 'open'").select(*sides)
     return rates
 
 

@@ -31,6 +31,38 @@ def test_order_statistics_with_a_hot_key_and_repeats(spark):
     assert got == {r.k: (r.s[(len(r.s) - 1) // 2], r.s[len(r.s) // 2]) for r in want}
 
 
+@pytest.mark.parametrize("shape", ["narrow", "wide", "ties"])
+def test_order_statistics_over_many_rounds(spark, monkeypatch, shape):
+    """A third of all rows in one key, few values ordered together: ranks are narrowed round by round."""
+    monkeypatch.setattr(quantiles, "ORDERED", 20)
+    monkeypatch.setattr(quantiles, "CELLS", 64)
+    rng = random.Random(7)
+    value = {
+        "narrow": lambda: 1 + rng.randrange(10**6) * 1e-12,
+        "wide": lambda: rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) * rng.random(),
+        "ties": lambda: rng.choice([-1.0, -0.0, 0.0, 0.0, 1.0, 1.001]),
+    }[shape]
+    rows = [(0 if i % 3 == 0 else 1 + i % 40, value()) for i in range(3000)]
+    df = spark.createDataFrame([*rows, (None, 1.0), (3, None)], "k int, v double")
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    got = {r.k: (r.n, r.lower, r.upper) for r in quantiles.middles(df, ["k"], "v").collect()}
+    want = {k: (len(v), sorted(v)[(len(v) - 1) // 2], sorted(v)[len(v) // 2]) for k, v in groups.items()}
+    assert got == want
+    every = sorted(v for _, v in [*rows, (None, 1.0)])
+    row = quantiles.nearest_rank(df, [], "v", 0.9, "p").collect()[0]
+    assert (row.n, row.p) == (len(every), every[math.ceil(len(every) * 0.9) - 1])
+    assert quantiles.middles(df.limit(0), [], "v").collect() == quantiles.middles(df.limit(0), ["k"], "v").collect() == []
+
+
+def test_order_statistics_of_decimals_beyond_doubles(spark):
+    values = [Decimal(10**20 + k) for k in range(31)]
+    df = spark.createDataFrame([(v,) for v in reversed(values)], "v decimal(38,0)")
+    row = quantiles.middles(df, [], "v").collect()[0]
+    assert (row.lower, row.upper) == (values[15], values[15])
+
+
 def test_six_digits_round_the_binary_value(spark):
     rng = random.Random(5)
     values = [1.403125, 1.390625, 463.3125, 1078.735, 0.0, -2.5, -463.3125, 9.999995, 999999.5, 1e-9, 123456789.0, 1e15 + 0.5]

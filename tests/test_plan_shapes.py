@@ -77,3 +77,34 @@ def test_ranks_are_limited_before_the_shuffle(spark, small):
     assert "WindowGroupLimit" in plan_of(registry.QUERIES["w08_latest_per_account"](spark, small))
     for name in ("t01_top_routes", "t02_worst_archive_gaps", "t05_value_order", "t06_order_page", "w02_concentration", "a40_busiest_routes"):
         assert "TakeOrderedAndProject" in plan_of(registry.QUERIES[name](spark, small)), name
+
+
+@pytest.mark.parametrize("name", ["q01_derived_rates", "q04_valued_trades", "q07_hub_prices"])
+def test_medians_are_plain_hash_aggregation(spark, small, name):
+    seen = []
+    watch = lambda df: seen.append(plan_of(df))
+    session.WATCHERS.append(watch)
+    try:
+        seen.append(plan_of(registry.QUERIES[name](spark, small)))
+    finally:
+        session.WATCHERS.remove(watch)
+    text = "\n".join(seen)
+    assert "HashAggregate" in text and "ObjectHashAggregate" not in text and "SortAggregate" not in text
+
+
+def test_a_price_sweep_reads_less_each_pass(spark, small, monkeypatch):
+    from ledgerloom.operators import pricing
+    from ledgerloom.plans import pricing as queries
+
+    written, settle = [], pricing.settle
+
+    def watched(df, name, *by):
+        out = settle(df, name, *by)
+        if name.startswith("sweep"):
+            written.append(out.filter("kind = 'open'").count())
+        return out
+
+    monkeypatch.setattr(pricing, "settle", watched)
+    legs = queries.pricing_legs(spark, small)
+    pricing.derive_rates(legs, queries.PEGGED)
+    assert len(written) > 1 and written == sorted(written, reverse=True) and written[-1] < pricing.usable_legs(legs).count()
