@@ -202,6 +202,17 @@ def holdings_per_chain(holders: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
+def holdings_per_network(assets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Per network: assets, those with a known supply, those without decimals, and distinct symbols. assets(network, asset, supply), tokens(asset, symbol, decimals)."""
+    one = assets.groupBy("network", "asset").agg(F.max("supply").alias("supply")).join(tokens, "asset", "left")
+    return one.groupBy("network").agg(
+        F.count(F.lit(1)).alias("assets"),
+        F.count("supply").alias("with_supply"),
+        F.count_if(F.col("decimals").isNull()).alias("unscaled"),
+        F.countDistinct("symbol").alias("symbols"),
+    )
+
+
 def symbols_per_chain(holders: DataFrame, tokens: DataFrame) -> DataFrame:
     """The symbols that a chain holds, as long rows with the number of assets behind each; assets without a token count under NULL."""
     held = holders.filter(F.col("chain").isNotNull()).select("chain", "asset").distinct().join(tokens, "asset", "left")

@@ -41,11 +41,8 @@ SHAPES = [
 ]
 
 
-def explode_records(blocks: DataFrame, packed: str) -> DataFrame:
-    """Packed vectors to one row per record: a compact length, then fixed-width little-endian fields.
-
-    A record cut off at the end of its vector is left out.
-    """
+def _vector(packed: str) -> tuple[Column, Column, Column, Column]:
+    """Of a packed vector: its digits, where records begin, how many are announced and how many are there whole."""
     h = F.regexp_replace(F.col(packed), "^0x", "")
     mode = F.conv(F.substring(h, 1, 2), 16, 10).cast("int").bitwiseAND(3)
     le = lambda start, digits: S.hex_uint_le(F.substring(h, start, digits))
@@ -59,6 +56,27 @@ def explode_records(blocks: DataFrame, packed: str) -> DataFrame:
     start = F.when(mode == 0, 2).when(mode == 1, 4).when(mode == 2, 8).otherwise(big * 2 + 2)
     room = F.floor((F.length(h) - start) / RECORD_DIGITS).cast("bigint")
     whole = F.least(count, room)
+    return h, start, count, whole
+
+
+def record_quality(blocks: DataFrame, packed: str) -> DataFrame:
+    """The columns of blocks with `announced` and `cut_off`: records that the vector's length promises, and those that it has no room for."""
+    h, _, count, whole = _vector(packed)
+    kept = [c for c in blocks.columns if c != packed]
+    filled = F.length(h) > 0
+    return blocks.select(
+        *kept,
+        F.coalesce(F.when(filled, count.cast("bigint")), F.lit(0)).alias("announced"),
+        F.coalesce(F.when(filled, (count - F.greatest(whole, F.lit(0))).cast("bigint")), F.lit(0)).alias("cut_off"),
+    )
+
+
+def explode_records(blocks: DataFrame, packed: str) -> DataFrame:
+    """Packed vectors to one row per record: a compact length, then fixed-width little-endian fields.
+
+    A record cut off at the end of its vector is left out; `record_quality` counts those.
+    """
+    h, start, _, whole = _vector(packed)
     kept = [c for c in blocks.columns if c != packed]
     rows = (
         blocks.filter(F.length(h) > 0)

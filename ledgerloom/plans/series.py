@@ -427,6 +427,19 @@ def holdings_per_chain(spark, folder):
     return B.holdings_per_chain(holder_frames(spark, folder)[1], tokens)
 
 
+@query(
+    "a25_holdings_per_network",
+    f"""WITH {HOLDERS_SQL} SELECT p_type AS network, count(*) AS assets, count(supply) AS with_supply, count(*) FILTER (p_size > 45) AS unscaled, count(DISTINCT p_name) AS symbols
+    FROM assets JOIN part ON asset = p_partkey GROUP BY p_type""",
+)
+def holdings_per_network(spark, folder):
+    """Part types as networks; the supplies are those that the holder sweep claims."""
+    part = T.table(spark, folder, "part")
+    tokens = part.select(F.col("p_partkey").alias("asset"), F.col("p_name").alias("symbol"), F.when(F.col("p_size") <= 45, F.col("p_size")).alias("decimals"))
+    networks = part.select(F.col("p_partkey").alias("asset"), F.col("p_type").alias("network"))
+    return B.holdings_per_network(holder_frames(spark, folder)[0].join(networks, "asset").select("network", "asset", "supply"), tokens)
+
+
 @query(
     "a25_symbols_per_chain",
     f"""WITH {HOLDERS_SQL} SELECT chain, p_name AS symbol, count(DISTINCT asset) AS assets FROM holders JOIN part ON asset = p_partkey WHERE chain IS NOT NULL GROUP BY ALL""",
@@ -484,6 +497,19 @@ def label_csv(spark, folder):
     return L.read_labels(spark, path)
 
 
+@query(
+    "s02_label_quality",
+    """SELECT s_nationkey % 5 <> 0 AS usable, count(*) AS lines FROM supplier WHERE s_nationkey % 5 <> 1 GROUP BY ALL""",
+)
+def label_quality(spark, folder):
+    """Lines of some nations lost their comma, those of others everything: the former are counted as not usable, blank lines are none."""
+    path = fresh_path(spark, "labels-csv")
+    group = F.col("s_nationkey") % 5
+    line = F.when(group == 0, F.col("s_name")).when(group == 1, "  ").otherwise(F.concat("s_name", F.lit(",nation "), "s_nationkey"))
+    T.table(spark, folder, "supplier").select(line.alias("value")).write.text(path)
+    return L.read_label_lines(spark, path).groupBy("usable").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(
     "s03_ndjson_blocks",
     """SELECT event_type AS name, event_type <> 'error' AS usable, count(*) AS blocks, count(DISTINCT event_id) AS numbers FROM events GROUP BY ALL""",

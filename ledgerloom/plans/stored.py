@@ -12,7 +12,7 @@ from .registry import query
 
 def chain_objects(spark, folder):
     """Documents as stored objects: French ones are manifests, the first ten sources hash with one function, the rest with another."""
-    first = F.regexp_extract("source", "([0-9]+)$", 1).cast("int") < 10
+    first = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") < 10
     return T.table(spark, folder, "documents").select(
         F.col("doc_id").alias("block"),
         F.lit(0).alias("idx"),
@@ -114,6 +114,20 @@ def le(value, digits: int):
 )
 def packed_records(spark, folder):
     """Packs one to three records per document, the German ones with the last record cut short, and unpacks them."""
+    out = O.explode_records(packed_blocks(spark, folder), "packed")
+    return out.drop("chunk_root").withColumn("content_hash", F.lower("content_hash"))
+
+
+@query(
+    "s05_record_quality",
+    "SELECT doc_id AS block, cast(1 + n_chars % 3 AS bigint) AS announced, CASE WHEN lang = 'de' THEN 1 ELSE 0 END::bigint AS cut_off FROM documents",
+)
+def record_quality(spark, folder):
+    """How many records each block announces, and how many its vector has no room for."""
+    return O.record_quality(packed_blocks(spark, folder), "packed")
+
+
+def packed_blocks(spark, folder):
     docs = T.table(spark, folder, "documents").select(
         F.col("doc_id").alias("block"), (1 + F.col("n_chars") % 3).alias("records"), "lang"
     )
@@ -131,8 +145,7 @@ def packed_records(spark, folder):
     body = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("records") - 1), record), "")
     packed = F.concat(F.lit("0x"), F.lpad(F.hex(F.shiftleft("records", 2)), 2, "0"), body)
     cut = F.when(F.col("lang") == "de", F.substr(packed, F.lit(1), F.length(packed) - 10)).otherwise(packed)
-    out = O.explode_records(rows.select("block", cut.alias("packed")), "packed")
-    return out.drop("chunk_root").withColumn("content_hash", F.lower("content_hash"))
+    return rows.select("block", cut.alias("packed"))
 
 
 def part_manifests(spark, folder):

@@ -33,13 +33,17 @@ def read_balances(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labels split at the first comma only: what follows may contain commas."""
+def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(name, address, usable, line): every line that is not blank, split at the first comma; one without a comma is not usable."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    return lines.select(
-        F.regexp_extract("value", r"^([^,]*),(.*)$", 1).alias("name"),
-        F.trim(F.regexp_extract("value", r"^([^,]*),(.*)$", 2)).alias("address"),
-    )
+    usable = F.col("value").contains(",")
+    part = lambda k: F.when(usable, F.regexp_extract("value", r"^([^,]*),(.*)$", k))
+    return lines.select(part(1).alias("name"), F.trim(part(2)).alias("address"), usable.alias("usable"), F.col("value").alias("line"))
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Usable labels: what follows the first comma may contain commas. `read_label_lines` also shows the lines that are left out."""
+    return read_label_lines(spark, path).filter("usable").select("name", "address")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
