@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import tables as T
-from . import reports, series
+from . import graphs, reports, series
 from .registry import ORACLES, query
 
 WINDOW_DAYS = 200
@@ -35,3 +35,22 @@ def cohort_days(spark, folder):
     cohort = frames.groupBy("account").agg(F.sum("amount").alias("s")).filter("s > 300000")
     out = reports.cohort_series(frames, cohort, "2024-01-20")["days"]
     return out.select("day", *[F.col(c).cast("bigint").alias(c) for c in ("relay", "hub", "total", "top_ten")], "nonzero")
+
+
+@query("rep_message_summary", ORACLES["a38_window_summary"])
+def message_summary(spark, folder):
+    return reports.message_window(graphs.last_days(spark, folder, 90))["summary"]
+
+
+@query("rep_message_days", f"WITH {graphs.WINDOW_SQL} SELECT date, {graphs.STATS_SQL} FROM win GROUP BY date")
+def message_days(spark, folder):
+    return reports.message_window(graphs.last_days(spark, folder, 90))["days"]
+
+
+@query(
+    "rep_message_routes",
+    f"""WITH {graphs.WINDOW_SQL} SELECT origin, dest, count(*) AS messages, cast(sum(latency) AS double) / count(latency) AS mean_latency,
+      count(*) FILTER (outcome = 'Success') / count(*) * 100 AS delivered FROM win WHERE match_status = 'matched' GROUP BY ALL ORDER BY messages DESC, origin, dest LIMIT 20""",
+)
+def message_routes(spark, folder):
+    return reports.message_window(graphs.last_days(spark, folder, 90))["matched_routes"]

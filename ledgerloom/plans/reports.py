@@ -246,3 +246,16 @@ def lease_report(stored: DataFrame, clock: DataFrame, retention: int) -> Report:
     need(retention > 0, "retention must be positive")
     rows = objects.project_expiry(stored, clock, retention)
     return {"objects": rows, "days": rows.groupBy(S.day_of_millis(F.floor("expires_ms").cast("bigint")).alias("day")).agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))}
+
+
+def message_window(window: DataFrame, routes: int = 20) -> Report:
+    """Messages of a window (`messages.known_window`): its summary, every day, every day and route, and the busiest routes, all and matched."""
+    need(routes >= 1, "routes must be at least 1")
+    window = settle(window, "message-window")
+    return {
+        "summary": messages.window_summary(window),
+        "days": messages.daily_stats(window),
+        "days_by_route": messages.daily_stats(window, "origin", "dest"),
+        "routes": messages.busiest_routes(window, routes),
+        "matched_routes": messages.busiest_routes(window, routes, matched_only=True),
+    }
