@@ -227,50 +227,90 @@ def manifest_roles(objects: DataFrame, links: DataFrame) -> DataFrame:
     return contents.join(parents, "hash", "left").join(children, "hash", "left").select("hash", "family", role.alias("role"))
 
 
-def reachable(roots: DataFrame, links: DataFrame, stored: DataFrame) -> DataFrame:
-    """Everything a root leads to: (root, node, present). A piece that is not stored is listed but not walked through.
+def nearest_heads(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, head): where the walk from a node to its only parent, and on from there, ends: at a node with no parent or with several.
 
-    One hop for all roots at a time; nodes already seen from a root are not walked again, so cycles end.
+    Every round doubles the length of all walks that are still open, so a chain of n nodes takes log n rounds. What can't end, a
+    circle with no way in and all below it, is left out. edges(node, child) without repeats, nodes(node).
     """
-    edges = settle(links.select(F.col("parent").alias("node"), "child").distinct(), "links")
-    have = settle(stored.select(F.col("hash").alias("node")).distinct().withColumn("present", F.lit(True)), "stored")
-    frontier = settle(roots.select(F.col("hash").alias("root"), F.col("hash").alias("node")).join(have, "node", "left").fillna({"present": False}), "reach")
+    above = edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("parent"))
+    only = F.col("n").eqNullSafe(1)
+    ups = settle(nodes.join(above, "node", "left").select("node", F.when(only, F.col("parent")).otherwise(F.col("node")).alias("head"), (~only).alias("ended")), "ups")
+    while True:
+        there = ups.select(F.col("node").alias("head"), F.col("head").alias("__on"), F.col("ended").alias("__ended"))
+        walked = ups.filter("NOT ended").join(there, "head").select("node", F.col("__on").alias("head"), F.col("__ended").alias("ended"))
+        walked = settle(walked, "ups")
+        if walked.filter("ended").isEmpty():
+            return ups.filter("ended").select("node", "head")
+        ups = settle(ups.filter("ended").unionByName(walked), "ups")
+
+
+def reached(starts: DataFrame, hops: DataFrame) -> DataFrame:
+    """(root, head): all that each root leads to. What was seen from a root is not walked again, so cycles end. starts(root, head), hops(head, child)."""
+    frontier = settle(starts.select("root", "head").distinct(), "reach")
     seen = frontier
     while not frontier.isEmpty():
-        step = (
-            frontier.filter("present").join(edges, "node").select("root", F.col("child").alias("node")).distinct()
-            .join(seen.select("root", "node"), ["root", "node"], "left_anti")
-            .join(have, "node", "left").fillna({"present": False})
-        )
-        frontier = settle(step.select(*seen.columns), "reach")
+        step = frontier.join(hops, "head").select("root", F.col("child").alias("head")).distinct()
+        frontier = settle(step.join(seen, ["root", "head"], "left_anti").select("root", "head"), "reach")
         seen = seen.unionByName(frontier)
     return seen
 
 
+def walkable(links: DataFrame, stored: DataFrame) -> DataFrame:
+    """Links (node, child) of what is stored, each once: what is missing is not walked through."""
+    edges = links.select(F.col("parent").alias("node"), "child").filter("node <> child").distinct()
+    return edges.join(stored.select(F.col("hash").alias("node")).distinct(), "node", "left_semi")
+
+
+def claimed_pieces(roots: DataFrame, links: DataFrame, stored: DataFrame) -> DataFrame:
+    """(hash): everything that any of the roots leads to, these included; one row a piece. roots(root)."""
+    starts = roots.select(F.lit(0).alias("root"), F.col("root").alias("head"))
+    hops = settle(walkable(links, stored).select(F.col("node").alias("head"), "child"), "hops")
+    return reached(starts, hops).select(F.col("head").alias("hash"))
+
+
 def manifest_groups(objects: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per root manifest with everything under it.
+    """One row per root manifest with everything under it. A piece that is not stored is listed but not walked through.
 
     A piece lives as long as its longest-lived copy; the upload as long as its first piece to go.
     objects(hash, block, idx, size, expiry, family).
+
+    A piece with one parent belongs to whatever its parent belongs to, so it is added to the nearest piece above that has none or
+    several. Only such heads are walked from each root: the rows of the walk are roots and shared pieces, not roots and pieces.
     """
-    roles = manifest_roles(objects, links)
-    seen = reachable(roles.filter("role = 'dag-root'"), links, objects)
+    roots = settle(manifest_roles(objects, links).filter("role = 'dag-root'").select(F.col("hash").alias("root")), "roots")
     newest = F.max_by("size", F.struct("block", "idx"))
-    pieces = objects.groupBy("hash").agg(
-        F.max("expiry").alias("last_expiry"), F.sum("size").alias("stored"), newest.alias("size"), F.count(F.lit(1)).alias("copies")
-    )
-    held = seen.join(pieces.withColumnRenamed("hash", "node"), "node", "left")
-    is_root = F.col("root") == F.col("node")
-    return (
-        held.groupBy("root")
+    pieces = objects.groupBy(F.col("hash").alias("node")).agg(F.max("expiry").alias("last_expiry"), F.sum("size").alias("stored"), newest.alias("size"))
+    pieces = settle(pieces.withColumn("present", F.lit(True)), "pieces")
+    edges = settle(walkable(links, objects), "links")
+    nodes = edges.select(F.col("child").alias("node")).unionByName(pieces.select("node")).distinct()
+    heads = settle(nearest_heads(edges, nodes), "heads")
+    folded = (
+        heads.join(pieces, "node", "left")
+        .groupBy("head")
         .agg(
             F.count(F.lit(1)).alias("pieces"),
-            F.count_if(~F.col("present")).alias("missing"),
-            F.count_if(F.col("present") & ~is_root).alias("members"),
-            F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
-            F.coalesce(F.sum("stored"), F.lit(0)).alias("stored_bytes"),
+            F.count("present").alias("present"),
+            F.sum("size").alias("total_bytes"),
+            F.sum("stored").alias("stored_bytes"),
             F.min("last_expiry").alias("expiry"),
         )
+    )
+    # A link to a piece that is a head leads there from the head of the piece that it starts from.
+    shared = heads.filter("node = head").select(F.col("node").alias("child"))
+    hops = edges.join(shared, "child", "left_semi").join(heads, "node").filter("head <> child").select("head", "child").distinct()
+    return (
+        reached(roots.select("root", F.col("root").alias("head")), settle(hops, "hops"))
+        .join(folded, "head")
+        .groupBy("root")
+        .agg(
+            F.sum("pieces").alias("pieces"),
+            (F.sum("pieces") - F.sum("present")).alias("missing"),
+            (F.sum("present") - 1).alias("members"),
+            F.coalesce(F.sum("total_bytes"), F.lit(0)).alias("total_bytes"),
+            F.coalesce(F.sum("stored_bytes"), F.lit(0)).alias("stored_bytes"),
+            F.min("expiry").alias("expiry"),
+        )
         .filter("members > 0")
     )
 

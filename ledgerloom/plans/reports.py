@@ -153,7 +153,7 @@ def object_report(stored: DataFrame, links: DataFrame) -> Report:
     """Rollups, duplication, sizes and uploads of stored objects, from links first and by adjacency for the rest."""
     shaped = settle(objects.with_shape(stored), "objects")
     groups = objects.manifest_groups(shaped, links)
-    claimed = objects.reachable(groups.select(F.col("root").alias("hash")), links, shaped).select(F.col("node").alias("hash")).distinct()
+    claimed = objects.claimed_pieces(groups.select("root"), links, shaped)
     marked = shaped.join(claimed.withColumn("claimed", F.lit(True)), "hash", "left").fillna({"claimed": False})
     return {
         "rollups": objects.rollups(shaped, ["shape", "codec", "hashing"]),

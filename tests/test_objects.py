@@ -55,6 +55,68 @@ def test_manifest_groups(spark):
     assert roles == {"r": "dag-root", "m": "dag-inner", "x": "dag-inner", "y": "leaf", "lone": "standalone", "unread": "dag-unread"}
 
 
+def brute_groups(stored, links):
+    """One walk a root, as the definition says."""
+    down, copies = {}, {}
+    for a, b in links:
+        down.setdefault(a, set()).add(b)
+    for h, block, idx, size, expiry, _ in stored:
+        copies.setdefault(h, []).append((block, idx, size, expiry))
+    out = {}
+    for root in [h for h in copies if h in down and not any(b == h for _, b in links)]:
+        seen, todo = {root}, [root]
+        while todo:
+            node = todo.pop()
+            if node in copies:
+                new = down.get(node, set()) - seen
+                seen |= new
+                todo += new
+        have = [copies[n] for n in seen if n in copies]
+        if len(have) > 1:
+            size, held = sum(max(c)[2] for c in have), sum(x[2] for c in have for x in c)
+            out[root] = (len(seen), len(seen) - len(have), len(have) - 1, size, held, min(max(x[3] for x in c) for c in have))
+    return out
+
+
+def groups(spark, stored, links):
+    frame = spark.createDataFrame(stored, "hash string, block long, idx int, size long, expiry long, family string")
+    rows = O.manifest_groups(frame, spark.createDataFrame(links, "parent string, child string")).collect()
+    return {r.root: (r.pieces, r.missing, r.members, r.total_bytes, r.stored_bytes, r.expiry) for r in rows}
+
+
+@pytest.mark.parametrize("seed,more", [(1, 0), (2, 12), (3, 60), (4, 200)])
+def test_groups_of_random_graphs_equal_one_walk_a_root(spark, seed, more):
+    rng = random.Random(seed)
+    n = 90
+    links = [(f"n{rng.randrange(i)}", f"n{i}") for i in range(6, n)] + [(f"n{rng.randrange(n)}", f"n{rng.randrange(6, n)}") for _ in range(more)]
+    links += [("lost1", "lost2"), ("lost2", "lost1"), ("n80", "n80")] + links[:5]
+    stored = [(f"n{i}", i, 0, rng.randint(1, 9), rng.randint(1, 999), "leaf") for i in range(n) if i < 6 or rng.random() < 0.9]
+    stored += [(h, b + 1, 1, rng.randint(1, 9), rng.randint(1, 999), f) for h, b, _, _, _, f in stored if rng.random() < 0.2]
+    stored += [("lost1", 500, 0, 1, 1, "dag"), ("lost2", 501, 0, 1, 1, "dag")]
+    want = brute_groups(stored, links)
+    assert want and groups(spark, stored, links) == want
+    claimed = O.claimed_pieces(spark.createDataFrame([(r,) for r in want], "root string"), spark.createDataFrame(links, "parent string, child string"), spark.createDataFrame(stored, "hash string, block long, idx int, size long, expiry long, family string"))
+    found = [r[0] for r in claimed.collect()]
+    assert len(found) == len(set(found)) and len(found) >= max(w[0] for w in want.values())
+
+
+def test_a_deep_tree_is_folded_in_few_rounds_and_few_rows(spark, monkeypatch):
+    written, settle = [], O.settle
+
+    def watched(df, name, *by):
+        out = settle(df, name, *by)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(O, "settle", watched)
+    n = 600
+    stored = [(f"n{i}", i, 0, 1, 1000 - i, "dag") for i in range(n)]
+    assert groups(spark, stored, [(f"n{i}", f"n{i + 1}") for i in range(n - 1)]) == {"n0": (n, 0, n - 1, n, n, 1001 - n)}
+    assert sum(name == "ups" for name, _ in written) <= 24
+    # The walk from the root has nothing to do: the whole chain is one tree.
+    assert sum(rows for name, rows in written if name == "reach") == 1
+
+
 def record(size, kind=0):
     le = lambda v, n: v.to_bytes(n, "little").hex()
     return "11" * 32 + "22" * 32 + "12" + le(0x55, 8) + le(size, 4) + le(1, 4) + le(2, 4) + f"{kind:02x}"
