@@ -14,6 +14,7 @@ from ..operators import quality as Q
 from ..session import fresh_path, prepare
 from ..sources import tables as T
 from ..sources.ledger import Ledger
+from ..streaming import buckets as Bk
 from ..streaming import rollup as R
 from ..streaming import settlement as St
 from .registry import query
@@ -312,3 +313,20 @@ def ends_from(spark, folder, within):
 def expired_orders(spark, folder):
     """Lines count for 90 days; orders that nothing filled by then are given out as placed. `final` rows were given out, the others are open."""
     return ends_from(spark, folder, dt.timedelta(days=90)).ends()
+
+
+BUCKETS_SQL = "SELECT cast(floor(event_id / 500) AS bigint) AS bucket, event_type, count(*) AS rows, cast(sum(cast(value AS decimal(18,4))) AS double) AS value, min(event_id) AS first_block, max(event_id) AS last_block FROM events GROUP BY ALL"
+
+
+@query("r10_delivered_buckets", BUCKETS_SQL)
+def delivered_buckets(spark, folder):
+    """Four deliveries: two halves in order, a third of the rest out of order, then what is left; each merges only the buckets it touches."""
+    events = T.table(spark, folder, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    id_, third = F.col("event_id"), F.col("event_id") % 3 == 0
+    landing = landed(spark, folder, "events", [events.filter((id_ <= middle) & ~third), events.filter((id_ > middle) & ~third), events.filter((id_ > middle) & third), events.filter((id_ <= middle) & third)])
+    ledger = Ledger(spark, fresh_path(spark, "buckets"))
+    buckets = Bk.BlockBuckets(ledger, "event_id", 500, per=2, keys=("event_type",), sums={"value": F.sum(S.money(F.col("value")))})
+    R.drain(event_stream(spark, landing, 1), buckets.sink, f"{ledger.path}/cursor")
+    return buckets.read().withColumn("value", S.dbl(F.col("value")))

@@ -296,3 +296,38 @@ def test_fills_outside_the_bound_do_not_match(spark, tmp_path, hours, matched):
     R.drain(joined, lambda b, n: b.write.mode("append").parquet(out), str(tmp_path / "c"))
     got = spark.read.parquet(out).collect()
     assert [r.latency_s for r in got] == [hours * 3600] * matched
+
+
+def test_a_delivery_reads_and_writes_only_its_own_buckets(spark, tmp_path):
+    import random
+
+    from ledgerloom.sources.ledger import Ledger
+    from ledgerloom.streaming.buckets import BlockBuckets
+
+    draw = random.Random(5)
+    ledger = Ledger(spark, str(tmp_path / "buckets"))
+    buckets = BlockBuckets(ledger, "block", 10, per=4, keys=("kind",), sums={"total": F.sum("value")})
+    assert buckets.read() is None
+    deliveries = [[(draw.randrange(400), draw.choice("ab"), draw.randrange(9)) for _ in range(300)], [(draw.randrange(380, 440), "a", 1) for _ in range(50)], [], [(5, "c", 7), (None, "a", 2), (-3, "a", 1)], [(None, "a", 3), (399, "b", 4)]]
+    want, scanned = {}, []
+    for number, rows in enumerate(deliveries):
+        for block, kind, value in rows:
+            key = (None if block is None else block // 10, kind)
+            n, total, ends = want.get(key, (0, 0, []))
+            want[key] = (n + 1, total + value, ends + ([] if block is None else [block]))
+        before = {p: e["put"] for e in ledger.state()["tables"].get("buckets", []) for p in e["parts"]}
+        batch = spark.createDataFrame(rows, "block long, kind string, value long")
+        buckets.sink(batch, number)
+        buckets.sink(batch, number)
+        after = {p: e["put"] for e in ledger.state()["tables"].get("buckets", []) for p in e["parts"]}
+        touched = {None if b is None else b // 40 for b, _, _ in rows}
+        assert {p for p in after if after[p] != before.get(p)} == touched
+        scanned.append(len(touched))
+        if want:
+            got = {(r.bucket, r.kind): (r.rows, r.total, r.first_block, r.last_block) for r in buckets.read().collect()}
+            assert got == {k: (n, t, min(e, default=None), max(e, default=None)) for k, (n, t, e) in want.items()}
+    assert scanned == [10, 2, 0, 3, 2]
+    plan = buckets._stored(ledger.state(), [10])[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan or "isnotnull(part" in plan
+    ledger.vacuum(keep=1)
+    assert {(r.bucket, r.kind) for r in buckets.read().collect()} == set(want)
