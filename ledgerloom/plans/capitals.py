@@ -204,6 +204,10 @@ r AS (SELECT c_custkey AS asset, 1 + c_nationkey / 10 AS rate FROM customer WHER
     FROM p LEFT JOIN r ON r.asset = p.asset""",
 )
 def peg_states(spark, folder):
+    return C.peg_states(*peg_frames(spark, folder))
+
+
+def peg_frames(spark, folder):
     """Two-asset pools from orders: open orders carry no pegs, urgent ones a peg list of the wrong length."""
     orders, customer = T.table(spark, folder, "orders"), T.table(spark, folder, "customer")
     head = F.lit(20_000_000).cast("bigint")
@@ -221,7 +225,7 @@ def peg_states(spark, folder):
         F.col("o_orderkey").alias("pool"), ratios.alias("ratios"), (head - F.col("o_orderkey")).alias("recorded_block")
     )
     rates = customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("asset"), (1 + F.col("c_nationkey") / 10).alias("rate"))
-    return C.peg_states(pools, pegs, rates)
+    return pools, pegs, rates
 
 
 BOOK_SQL = """
@@ -230,19 +234,21 @@ book AS (SELECT *, CASE WHEN amount_in > 0 THEN amount_out / amount_in END AS pr
     o_orderstatus = 'P' AS is_pallet, o_totalprice > 250000 AS partially_fillable FROM orders))"""
 
 
-def book(spark, folder):
+def book_orders(spark, folder):
     urgency = F.col("o_orderpriority")
-    return C.order_book(
-        T.table(spark, folder, "orders").select(
-            F.col("o_orderkey").alias("id"),
-            F.when(urgency != "5-LOW", F.col("o_totalprice") / 100).alias("amount_in"),
-            F.when(urgency != "1-URGENT", F.col("o_custkey") / 10).alias("amount_out"),
-            (F.col("o_orderstatus") == "P").alias("is_pallet"),
-            (F.col("o_totalprice") > 250000).alias("partially_fillable"),
-        )
+    return T.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(urgency != "5-LOW", F.col("o_totalprice") / 100).alias("amount_in"),
+        F.when(urgency != "1-URGENT", F.col("o_custkey") / 10).alias("amount_out"),
+        (F.col("o_orderstatus") == "P").alias("is_pallet"),
+        (F.col("o_totalprice") > 250000).alias("partially_fillable"),
     )
 
 
+def book(spark, folder):
+    return C.order_book(book_orders(spark, folder))
+
+
 @query("q24_order_book", f"WITH {BOOK_SQL} SELECT * FROM book")
 def order_book(spark, folder):
     return book(spark, folder)

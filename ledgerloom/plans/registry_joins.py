@@ -277,11 +277,16 @@ def topology_names(spark, folder):
       (SELECT q.p_size % 7 FROM part q WHERE q.p_partkey = underlying) = p_size % 7 AS decimals_agree FROM part JOIN u USING (p_name)""",
 )
 def confirmed_wraps(spark, folder):
+    return R.confirm_wraps(*wrap_frames(spark, folder))
+
+
+def wrap_frames(spark, folder):
+    """Parts wrap the first part of their name, which lists the last one back."""
     part = T.table(spark, folder, "part").select("p_partkey", "p_name", (F.col("p_size") % 7).alias("decimals"))
     first = part.groupBy("p_name").agg(F.min("p_partkey").alias("underlying"), F.max("p_partkey").alias("wrap"))
     wraps = part.join(first.drop("wrap"), "p_name").select(F.col("p_partkey").alias("wrap"), "underlying", "decimals")
     listed = first.join(part.select(F.col("p_partkey").alias("underlying"), "decimals"), "underlying")
-    return R.confirm_wraps(wraps, listed)
+    return wraps, listed
 
 
 @query(

@@ -248,6 +248,71 @@ def lease_report(stored: DataFrame, clock: DataFrame, retention: int) -> Report:
     return {"objects": rows, "days": rows.groupBy(S.day_of_millis(F.floor("expires_ms").cast("bigint")).alias("day")).agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))}
 
 
+def sovereign_report(sources: dict[str, DataFrame], registered: DataFrame, legs: DataFrame, issuance: DataFrame, snapshot: str) -> Report:
+    """Accounts that any source names, those that the register lacks, and what the named ones hold on both legs; the rest is shown apart.
+
+    sources: frames with `account`; registered(account); legs(snapshot, account, relay, hub, total); issuance(snapshot, issuance).
+    """
+    need(len(sources) > 0, "at least one source must name accounts")
+    ids = settle(registry.enumerate_sources(sources, "account"), "sovereigns")
+    other = legs.join(ids, "account", "left_anti").groupBy(snapshot)
+    return {
+        "accounts": ids,
+        "missing": ids.join(registered.select("account").distinct(), "account", "left_anti"),
+        "totals": balances.sovereign_totals(legs.join(ids, "account", "left_semi"), snapshot, ["relay", "hub"], issuance),
+        "unnamed": other.agg(F.count(F.lit(1)).alias("accounts"), F.sum("total").alias("total")),
+    }
+
+
+def peg_report(pools: DataFrame, pegs: DataFrame, rates: DataFrame, open_orders: DataFrame) -> Report:
+    """Peg state of every pool asset, one line a pool (its widest gap either way, the age of its pegs), and the order book beside it.
+
+    A pool whose peg list does not fit its assets has no pegs; it says aligned = false and has no gap.
+    """
+    assets = settle(capital.peg_states(pools, pegs, rates), "pegs")
+    book = settle(capital.order_book(open_orders), "order-book")
+    lines = assets.groupBy("pool").agg(
+        F.count(F.lit(1)).alias("assets"),
+        F.max(F.abs("gap_bps")).alias("widest_bps"),
+        F.max("peg_age").alias("peg_age"),
+        F.bool_or("ramping").alias("ramping"),
+        F.bool_and("aligned").alias("aligned"),
+    )
+    return {"assets": assets, "pools": lines, "book": book, "book_counts": capital.order_book_counts(book)}
+
+
+def wrap_map(reserves: DataFrame, wraps: DataFrame, listed: DataFrame) -> Report:
+    """Every wrap with what its underlying says about it and its reserve's settings, the ones not confirmed, and the risk categories.
+
+    reserves(wrap, supplied and the columns of `scalars.reserve_configuration`); a wrap without a reserve keeps NULLs. A cap of 0 is no
+    cap: it has no use. Category 0 is no category.
+    """
+    use = F.try_divide(F.col("supplied").cast("double"), F.col("supply_cap").cast("double")) * 100
+    rows = settle(registry.confirm_wraps(wraps, listed).join(reserves, "wrap", "left").withColumn("cap_use", use), "wrap-map")
+    ltv = F.col("ltv_bps") / 10000
+    return {
+        "reserves": rows,
+        "unconfirmed": rows.filter("NOT confirmed"),
+        "categories": capital.risk_categories(rows.filter("category > 0"), "category", "wrap", ltv),
+    }
+
+
+def staking_ratio(pools: DataFrame, snapshot: str, low: float, high: float) -> Report:
+    """Staked units behind one issued unit, and whether that is plausible; the newest plausible one is the figure to quote.
+
+    pools(snapshot, staked, issued). Nothing issued: the ratio is unknown, which is not plausible.
+    """
+    need(0 < low <= high, "the band must be positive and in order")
+    ratio = F.try_divide(F.col("staked").cast("double"), F.col("issued").cast("double"))
+    inside = F.col("ratio").between(low, high)
+    rows = pools.withColumn("ratio", ratio).withColumn("plausible", F.coalesce(inside, F.lit(False)))
+    return {
+        "ratios": rows,
+        "checks": quality.violations(rows, {"ratio_known": F.col("ratio").isNotNull(), "ratio_in_band": inside}),
+        "latest": ranking.top_k(rows.filter("plausible"), [F.desc(snapshot)], 1),
+    }
+
+
 def message_window(window: DataFrame, routes: int = 20) -> Report:
     """Messages of a window (`messages.known_window`): its summary, every day, every day and route, and the busiest routes, all and matched."""
     need(routes >= 1, "routes must be at least 1")

@@ -95,3 +95,45 @@ def test_balances_capital_objects_and_prices(spark, small):
     located = T.table(spark, small, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("symbol"), F.lit("020901").alias("location"))
     kinds = rows(reports.inventory_report(located))
     assert len(kinds["bridged"]) == located.count()
+
+
+def test_sovereign_accounts_named_missing_and_unnamed(spark):
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "account string")
+    legs = spark.createDataFrame([("d1", "a", 1, None, 1), ("d1", "b", 2, 5, 7), ("d1", "z", None, 4, 4), ("d2", "z", 9, None, 9)], "day string, account string, relay long, hub long, total long")
+    issuance = spark.createDataFrame([("d1", 16), ("d2", 0)], "day string, issuance long")
+    out = rows(reports.sovereign_report({"chain": ids("a", "b", "a"), "list": ids("b", "c")}, ids("a", "q"), legs, issuance, "day"))
+    assert {(r.account, r.sources) for r in out["accounts"]} == {("a", "chain"), ("b", "chain,list"), ("c", "list")}
+    assert {r.account for r in out["missing"]} == {"b", "c"}
+    assert [(r.day, r.relay, r.hub, r.total, r.accounts, r.share) for r in out["totals"]] == [("d1", 3, 5, 8, 2, 50.0)]
+    assert {(r.day, r.accounts, r.total) for r in out["unnamed"]} == {("d1", 1, 4), ("d2", 1, 9)}
+    with pytest.raises(ValueError):
+        reports.sovereign_report({}, ids("a"), legs, issuance, "day")
+
+
+def test_pegs_by_pool_and_the_book(spark):
+    pools = spark.createDataFrame([(1, ["x", "y"], 5, 5, 90, 100), (2, ["x", "y"], 5, 9, 900, 100), (3, ["x"], 5, 5, 90, 100)], "pool long, assets array<string>, initial_amp int, final_amp int, final_block long, head long")
+    pegs = spark.createDataFrame([(1, [1.0, 1.5], 40), (2, [1.0], 90)], "pool long, ratios array<double>, recorded_block long")
+    rates = spark.createDataFrame([("x", 1.25), ("y", 1.5)], "asset string, rate double")
+    orders = spark.createDataFrame([(1, 2.0, 3.0, True, False), (2, None, 3.0, False, True)], "id long, amount_in double, amount_out double, is_pallet boolean, partially_fillable boolean")
+    out = rows(reports.peg_report(pools, pegs, rates, orders))
+    assert {r.pool: (r.assets, r.widest_bps, r.peg_age, r.ramping, r.aligned) for r in out["pools"]} == {1: (2, 2000.0, 60, False, True), 2: (2, None, 10, True, False), 3: (1, None, None, False, None)}
+    assert (out["book_counts"][0].orders, out["book_counts"][0].unpriced) == (2, 1)
+
+
+def test_wraps_with_their_reserves(spark):
+    wraps = spark.createDataFrame([("w", "u", 6), ("v", "u", 7), ("lone", "gone", 6)], "wrap string, underlying string, decimals int")
+    listed = spark.createDataFrame([("u", "w", 6)], "underlying string, wrap string, decimals int")
+    reserves = spark.createDataFrame([("w", 50, 200, 9000, 1), ("v", 5, 0, 5000, 0)], "wrap string, supplied long, supply_cap long, ltv_bps long, category long")
+    out = rows(reports.wrap_map(reserves, wraps, listed))
+    assert {r.wrap: (r.confirmed, r.decimals_agree, r.cap_use) for r in out["reserves"]} == {"w": (True, True, 25.0), "v": (False, False, None), "lone": (False, None, None)}
+    assert {r.wrap for r in out["unconfirmed"]} == {"v", "lone"}
+    assert [(r.category, r.members, round(r.max_leverage, 6)) for r in out["categories"]] == [(1, 1, 10.0)]
+
+
+def test_staking_ratio_quotes_the_newest_plausible_one(spark):
+    pools = spark.createDataFrame([("m1", 105.0, 100.0), ("m2", 110.0, 100.0), ("m3", 300.0, 100.0), ("m4", 1.0, 0.0)], "snapshot string, staked double, issued double")
+    out = rows(reports.staking_ratio(pools, "snapshot", 1.0, 1.2))
+    assert [r.snapshot for r in out["latest"]] == ["m2"]
+    assert {r.check: r.broken for r in out["checks"]} == {"ratio_known": 1, "ratio_in_band": 2}
+    with pytest.raises(ValueError):
+        reports.staking_ratio(pools, "snapshot", 1.2, 1.0)
