@@ -2,8 +2,9 @@
 score is the mean over its words of the loss under the target model less that under the background model.
 
 All words and pairs of the corpus are counted, each for itself: a word is known by 64 bits, a pair by the 128 bits of its two words.
-So the counts grow with the corpus, and no process ever holds them all. Words of documents are dealt out by word, so that one task
-sees all places where a word stands and hence its count, the counts of the pairs that end in it, and what each document gets for them.
+So the counts grow with the corpus, and no process ever holds them all. A block of documents asks once for each of its words and pairs: they
+are dealt out by word, so that one task sees all places where a word stands and hence its count and the counts of its pairs, and the counts
+come back to the block, which sums up its own documents. So what moves grows with the words, and a document has one sum.
 Frequent words and pairs are a short list of bounded size; they are counted exactly beforehand and scored where the text is read, so no
 key is hot. The background's counts are scaled to the target's number of words: smoothing then acts alike on both.
 """
@@ -29,10 +30,10 @@ FLOOR, WORDS, TRUST = 0.05, 1 << 18, 20.0
 WORDS_KEPT = 250_000
 #: Most words and pairs on the list of frequent ones, which is drawn up from about SAMPLE documents. It decides where work is done, not what comes out.
 FREQUENT, SAMPLE = (1 << 16, 1 << 17), 8_000
-#: Words that a task holds before it hands them on, and about as many go to a task that scores.
+#: Words that a task counts at a time; about as many go to a task that counts those dealt to it, and half as many are a block that asks.
 HELD = 2_000_000
-#: Stand before the first word and behind the last one.
-START, END = np.uint64(0), np.uint64(1)
+#: Stands before a frequent word that is listed by itself; no word has it.
+START = np.uint64(0)
 ROW = "__row"
 
 
@@ -95,7 +96,7 @@ class _Texts:
 
     def __post_init__(self):
         ends = np.cumsum(self.sizes)
-        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.first, self.last = (ends - self.sizes)[self.sizes > 0], ends[self.sizes > 0] - 1
 
 
@@ -113,8 +114,9 @@ def _read(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[_Texts
             others.append(other)
             size += len(parts[-1])
             if size >= held or len(parts) >= held:
-                yield out()
-                parts, others, size = [], [], 0
+                ready, parts, others, size = out(), [], [], 0
+                yield ready
+                del ready
     if parts:
         yield out()
 
@@ -168,9 +170,11 @@ class Scorer:
     def __init__(self, models: Models):
         self.total, self.scale, self.frequent = models.total, models.scale, models.frequent
         n = len(self.frequent.words)
-        self.words = models.counted[:, 1 : 1 + n]
-        self.alone = self.chance(self.words)
-        self.behind = self.seen(self.words)
+        #: The places of START, of END and of the first word that is not frequent.
+        self.places = n, n + 1, n + 2
+        words = models.counted[:, 1 : 1 + n]
+        self.alone = self.chance(words)
+        self.behind = self.seen(words)
         self.begins = self.start(self.alone)
         self.couples = self.pair(models.counted[:, 1 + n :], self.alone[:, self.frequent.couples % max(n, 1)])
 
@@ -271,127 +275,207 @@ def fit(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     return Models(numbered, corpus, chosen, found, _counted(corpus, chosen, spark.sparkContext.broadcast(found)))
 
 
-_DEALT = ["words", "word_runs", "befores", "before_runs", "at", "n", "rows", "flags", "own_rows", "own_words", "own_sums"]
+#: A packet: of one block of texts for one part. Words that are not frequent, pairs by their places, counts, how often scored texts hold each pair, and in which of the block's.
+_ASKED = ["words", "befores", "afters", "n_target", "n_all", "times", "texts"]
+#: The answer to it: counts over the whole corpus instead, of these words and of the pairs.
+_TOLD = ["word_target", "word_all", "kinds", "afters", "n_target", "n_all", "times", "texts"]
+#: Beside the packets of a block: its scored texts with their numbers of words and what was summed up where they were read.
+_OWN = ["rows", "sizes", "sums"]
 
 
-def _dealt(texts: DataFrame, targets, scorer, parts: int, held: int) -> DataFrame:
-    """(part, ...) of texts (text, row, counted, scored): words and the words before them, packed by the part where they are counted and scored.
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 as bytes: all lowest bytes, then the next ones, as many as the largest needs."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    Frequent pairs are scored here. A word that is not frequent goes by itself, a frequent one by the pair, with its text's number.
+
+def _unpacked(data) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8)
+    planes = planes[1:].reshape(planes[0], -1)
+    numbers = np.zeros((planes.shape[1], 8), np.uint8)
+    numbers[:, : len(planes)] = planes.T
+    return numbers.view("<i8").ravel()
+
+
+def _rows(packets: Iterator[dict], keys: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Packets as batches of some MB."""
+    held, size = [], 0
+
+    def out():
+        arrays = [pa.array([x[k] for x in held], pa.int64()) for k in keys] + [pa.array([x.get(c) for x in held], pa.binary()) for c in columns]
+        return pa.RecordBatch.from_arrays(arrays, [*keys, *columns])
+
+    for x in packets:
+        held.append(x)
+        size += sum(len(x[c]) for c in columns if c in x)
+        if size >= 1 << 22:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        columns = {name: b.column(name) for name in b.schema.names}
+        for at in range(b.num_rows):
+            yield {c: (x[at].as_buffer() if x.type == pa.binary() else x[at].as_py()) for c, x in columns.items() if x[at].is_valid}
+
+
+def _unlisted(one: Scorer, t: _Texts, scored: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What frequent words and pairs add to each text; all other words with the places of themselves and of the word before, and their texts.
+
+    A place is that among the frequent words, then the one before a text and the one behind it, then those among the other words, given last.
+    """
+    start, end, rest = one.places
+    word, couple = one.frequent.find(t.ids, t.first)
+    starts, lasts = np.zeros(len(t.ids), bool), np.zeros(len(t.ids), bool)
+    starts[t.first], lasts[t.last] = True, True
+    often, listed = word >= 0, couple >= 0
+    value = np.zeros(len(t.ids))
+    value[listed] += one.couples[couple[listed]]
+    del couple
+    value[often & ~lasts] += one.behind[word[often & ~lasts]]
+    value[often & starts] += one.begins[word[often & starts]]
+    sums = np.bincount(t.of, value, len(t.sizes))
+    del value
+    table, word[~often] = np.unique(t.ids[~often], return_inverse=True)
+    word[~often] += rest
+    # The last word is not the word before of any: what it would add as such is taken off, by a pair that counts nothing.
+    go, ends = np.flatnonzero(~listed & ~(often & starts)), np.flatnonzero(lasts & ~often & scored[t.of])
+    before = word[go - 1]
+    before[starts[go]] = start
+    return sums, np.concatenate((word[go], word[ends])), np.concatenate((before, np.full(len(ends), end))), np.concatenate((t.of[go], t.of[ends])), table
+
+
+def _asked(texts: DataFrame, targets, scorer, parts: int, held: int) -> DataFrame:
+    """(part, block, ...) of texts (text, row, counted, scored): what a block of texts holds of each part's words and pairs.
+
+    Frequent pairs are scored here. A word that is not frequent goes by itself, with the pairs that it is in, a pair of frequent ones by the pair.
+    Places of words that are not frequent are those among the words of the packet.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         one: Scorer = scorer.value
-        for turn, (t, (rows, counted, scored)) in enumerate(_read(batches, held)):
-            word, couple = one.frequent.find(t.ids, t.first)
-            before = np.concatenate(([START], t.ids[:-1])).astype(np.uint64) if len(t.ids) else t.ids
-            before[t.first] = START
-            starts = np.zeros(len(t.ids), bool)
-            starts[t.first] = True
-            lasts = np.zeros(len(t.ids), bool)
-            lasts[t.last] = True
-            often = word >= 0
-            value = np.zeros(len(t.ids))
-            value[often & ~lasts] += one.behind[word[often & ~lasts]]
-            value[often & starts] += one.begins[word[often & starts]]
-            value[couple >= 0] += one.couples[couple[couple >= 0]]
-            sums = np.bincount(t.of, value, len(rows))
-            go = np.flatnonzero(~(couple >= 0) & ~(often & starts))
-            ends = np.flatnonzero(lasts & ~often & scored[t.of])
-            ids = np.concatenate((t.ids[go], t.ids[ends]))
-            prev = np.concatenate((before[go], np.full(len(ends), END)))
-            of = np.concatenate((t.of[go], t.of[ends]))
-            by = np.where(np.concatenate((often[go], often[ends])), prev, START)
-            part = (pairs(by, ids) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
-            order = np.lexsort((of, prev, ids, part))
-            ids, prev, of, part = ids[order], prev[order], of[order], part[order]
-            new_word = np.ones(len(ids), bool)
-            new_word[1:] = (ids[1:] != ids[:-1]) | (part[1:] != part[:-1])
-            new_pair = new_word.copy()
-            new_pair[1:] |= prev[1:] != prev[:-1]
-            new = new_pair.copy()
-            new[1:] |= of[1:] != of[:-1]
-            kept = np.flatnonzero(new)
-            n = np.diff(np.append(kept, len(ids))).astype(np.int32)
-            ids, prev, of, part, new_word, new_pair = (x[kept] for x in (ids, prev, of, part, new_word, new_pair))
-            flags = targets.value.of(rows) * 1 * counted + counted * 2 + scored * 4
+        _, end, rest = one.places
+        for t, (rows, counted, scored) in _read(batches, held):
+            sums, after, before, of, table = _unlisted(one, t, scored)
             whole = np.flatnonzero(scored)
-            home = (turn + int(rows[0])) % parts
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            packed, size = [], 0
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a == b and p != home:
-                    continue
-                w, c = np.flatnonzero(new_word[a:b]), np.flatnonzero(new_pair[a:b])
-                used = np.zeros(len(rows), bool)
-                used[of[a:b]] = True
-                mine = np.flatnonzero(used)
-                small = (np.cumsum(used) - 1)[of[a:b]].astype(np.uint32)
-                own = whole if p == home else whole[:0]
-                out = [ids[a:b][w], np.diff(np.append(w, b - a)).astype(np.int32), prev[a:b][c], np.diff(np.append(c, b - a)).astype(np.int32), small, n[a:b], np.diff(rows[mine], prepend=0), flags[mine].astype(np.uint8), rows[own], t.sizes[own], sums[own]]
-                packed.append((p, *[x.tobytes() for x in out]))
-                size += sum(map(len, packed[-1][1:]))
-                if size >= 1 << 22:
-                    yield _batch(packed)
-                    packed, size = [], 0
-            if packed:
-                yield _batch(packed)
-
-    return texts.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in _DEALT))
-
-
-def _batch(packed: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*packed))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", *_DEALT])
-
-
-def _added(dealt: DataFrame, scorer) -> DataFrame:
-    """(row, n_words, total): what the words of one part add to each text. All places of a word, or of a frequent word's pair, are in one part."""
-    kinds = dict(zip(_DEALT, (np.uint64, np.int32, np.uint64, np.int32, np.uint32, np.int32, np.int64, np.uint8, np.int64, np.int64, np.float64)))
+            block = int(rows[whole[0]]) if len(whole) else -1
+            if len(whole):
+                yield {"part": block % parts, "block": block, "rows": rows[whole].tobytes(), "sizes": t.sizes[whole].tobytes(), "sums": sums[whole].tobytes()}
+            del t
+            if not len(after):
+                continue
+            spread = pairs(before, after)
+            for side in (before, after):
+                rare = side >= rest
+                spread[rare] = pairs(np.zeros(rare.sum()), table[side[rare] - rest])
+            part = (spread % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+            del spread
+            key = after * (rest + len(table)) + before
+            del before, after
+            order = np.lexsort((key, part))
+            key, of = key[order], of[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            kept = np.flatnonzero(new)
+            part = part[order[kept]]
+            after, before = np.divmod(key[kept], rest + len(table))
+            del key, order, new
+            n = [np.add.reduceat(x[of].astype(np.int64), kept) * (before != end) for x in (counted & targets.value.of(rows), counted)]
+            times, of = np.add.reduceat(scored[of].astype(np.int64), kept), (np.cumsum(scored) - 1)[of[scored[of]]]
+            upto = np.concatenate(([0], np.cumsum(times)))
+            found, cuts = np.unique(part, return_index=True)
+            for p, a, b in zip(found.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
+                mine = np.unique(np.concatenate([x[a:b][x[a:b] >= rest] for x in (before, after)]))
+                places = [np.where(x[a:b] >= rest, rest + np.searchsorted(mine, x[a:b]), x[a:b]) for x in (before, after)]
+                yield {
+                    "part": p, "block": block, "words": table[mine - rest].tobytes(), "befores": _packed(places[0]), "afters": _packed(np.diff(places[1], prepend=0)),
+                    "n_target": _packed(n[0][a:b]), "n_all": _packed(n[1][a:b]), "times": _packed(times[a:b]), "texts": _packed(of[upto[a] : upto[b]]),
+                }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one: Scorer = scorer.value
+        return _rows(blocks(batches), ["part", "block"], _ASKED + _OWN)
+
+    return texts.mapInArrow(run, "part long, block long, " + ", ".join(f"{c} binary" for c in _ASKED + _OWN))
+
+
+def _told(asked: DataFrame, scorer) -> DataFrame:
+    """(block, ...): each packet with counts over all texts. All places of a word that is not frequent, or of a pair, are in one part."""
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        start, end, rest = scorer.value.places
         held = []
-        for b in batches:
-            for at in range(b.num_rows):
-                x = {c: np.frombuffer(b.column(c)[at].as_buffer(), kind) for c, kind in kinds.items()}
-                if len(x["own_rows"]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x["own_rows"]), pa.array(x["own_words"]), pa.array(x["own_sums"])], ["row", "n_words", "total"])
-                ids, befores = np.repeat(x["words"], x["word_runs"]), np.repeat(x["befores"], x["before_runs"])
-                held.append((ids, befores, np.cumsum(x["rows"])[x["at"]], x["n"].copy(), x["flags"][x["at"]]))
-        if not held or not sum(len(x[0]) for x in held):
+        for x in _packets(batches):
+            if "rows" in x:
+                yield {"block": x["block"]} | {c: x[c].to_pybytes() for c in _OWN}
+            else:
+                kept = {c: x[c].to_pybytes() for c in ("afters", "times", "texts")} if x["block"] >= 0 else {}
+                words, before, after = np.frombuffer(x["words"], np.uint64).copy(), _unpacked(x["befores"]), np.cumsum(_unpacked(x["afters"]))
+                held.append((x["block"], kept, words, before.astype(np.int32), after.astype(np.int32), *[_unpacked(x[c]).astype(np.int32) for c in ("n_target", "n_all")]))
+        if not held:
             return
-        ids, befores, rows, n, flags = (np.concatenate(x) for x in zip(*held))
-        del held
-        order = np.lexsort((befores, ids))
-        ids, befores, rows, n, flags = (x[order] for x in (ids, befores, rows, n, flags))
-        del order
-        new_word = np.ones(len(ids), bool)
-        new_word[1:] = ids[1:] != ids[:-1]
-        new_pair = new_word.copy()
-        new_pair[1:] |= befores[1:] != befores[:-1]
-        w, c = np.flatnonzero(new_word), np.flatnonzero(new_pair)
-        real = n * (befores != END)
-        each = np.stack((real * (flags & 1), real * ((flags >> 1) & 1))).astype(np.float64)
-        words, couples = np.add.reduceat(each, w, 1), np.add.reduceat(each, c, 1)
-        del each, real
-        listed = _found(one.frequent.words, ids[w])
-        words[:, listed >= 0] = one.words[:, listed[listed >= 0]]
-        # The word of each pair; a frequent word's share as the word before was added where the text was read.
-        of = np.cumsum(new_word)[c] - 1
-        alone, behind = one.chance(words)[:, of], np.where(listed >= 0, 0.0, one.seen(words))[of]
-        kind = befores[c]
-        value = np.where(kind == END, -behind, np.where(kind == START, one.start(alone), one.pair(couples, alone)) + behind)
-        total = value[np.cumsum(new_pair) - 1] * n
-        scored = np.flatnonzero(flags & 4)
-        rows, at = np.unique(rows[scored], return_inverse=True)
-        total = np.bincount(at, total[scored], len(rows))
-        for k in range(0, len(rows), 100_000):
-            part = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[part]), pa.array(np.zeros(len(rows[part]), np.int64)), pa.array(total[part])], ["row", "n_words", "total"])
-
-    return dealt.mapInArrow(run, "row long, n_words long, total double")
+        blocks, kept, tables, *columns = zip(*held)
+        ends, firsts = (np.cumsum([0, *map(len, x)]) for x in (columns[0], tables))
+        before, after, *n = (np.concatenate(x) for x in columns)
+        del held, columns
+        words, at = np.unique(np.concatenate(tables), return_inverse=True)
+        shift = np.repeat(firsts[:-1] - rest, np.diff(ends))
+        before, after = before.astype(np.int64), after.astype(np.int64)
+        for side in (before, after):
+            rare = side >= rest
+            side[rare] = rest + at[side[rare] + shift[rare]]
+        del shift
+        rare = after >= rest
+        of_words = [np.bincount(after[rare] - rest, x[rare], len(words)).astype(np.int64) for x in n]
+        kinds = (before == start) + 2 * (before == end)
+        _, pair = np.unique(after * (rest + len(words)) + before, return_inverse=True)
+        del before, after, rare
+        of_pairs = [np.bincount(pair, x).astype(np.int64) for x in n]
+        for k, block in enumerate(blocks):
+            if block >= 0:
+                mine, own = pair[ends[k] : ends[k + 1]], at[firsts[k] : firsts[k + 1]]
+                counts = {"word_target": of_words[0][own], "word_all": of_words[1][own], "kinds": kinds[ends[k] : ends[k + 1]], "n_target": of_pairs[0][mine], "n_all": of_pairs[1][mine]}
+                yield {"block": block} | kept[k] | {c: _packed(x) for c, x in counts.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _rows(answers(batches), ["block"], _TOLD + _OWN)
+
+    return asked.mapInArrow(run, "block long, " + ", ".join(f"{c} binary" for c in _TOLD + _OWN))
+
+
+def _summed(told: DataFrame, scorer) -> DataFrame:
+    """(row, n_words, total), one row a text: all packets of a block are in one task, and only its texts' sums are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one: Scorer = scorer.value
+        _, _, rest = one.places
+        owns, totals = {}, {}
+        for x in _packets(batches):
+            block = x["block"]
+            if "rows" in x:
+                owns[block] = [np.frombuffer(x[c].to_pybytes(), kind) for c, kind in zip(_OWN, (np.int64, np.int64, np.float64))]
+                continue
+            kinds, after, times = _unpacked(x["kinds"]), np.cumsum(_unpacked(x["afters"])), _unpacked(x["times"])
+            words, couples = (np.stack([_unpacked(x[c]) for c in names]).astype(np.float64) for names in (("word_target", "word_all"), ("n_target", "n_all")))
+            rare = after >= rest
+            alone, behind = np.empty(couples.shape), np.zeros(len(after))
+            # A frequent word's share as the word before was added where the text was read.
+            alone[:, ~rare] = one.alone[:, after[~rare]]
+            alone[:, rare], behind[rare] = one.chance(words)[:, after[rare] - rest], one.seen(words)[after[rare] - rest]
+            value = np.where(kinds == 2, -behind, np.where(kinds == 1, one.start(alone), one.pair(couples, alone)) + behind)
+            total, had = np.bincount(_unpacked(x["texts"]), np.repeat(value, times)), totals.get(block, np.zeros(0))
+            more, less = (total, had) if len(total) > len(had) else (had, total)
+            more[: len(less)] += less
+            totals[block] = more
+        for block, (rows, sizes, sums) in owns.items():
+            added = totals.get(block, np.zeros(0))
+            sums = sums + np.concatenate((added, np.zeros(len(sums) - len(added))))
+            for k in range(0, len(rows), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (rows, sizes, sums)], ["row", "n_words", "total"])
+
+    return told.mapInArrow(run, "row long, n_words long, total double")
 
 
 def score(docs: DataFrame, models: Models, *, text: str = "text", keep: list[str] | None = None, held: int = HELD) -> DataFrame:
@@ -412,8 +496,9 @@ def score(docs: DataFrame, models: Models, *, text: str = "text", keep: list[str
         texts = texts.union(other.select("text", ROW, F.lit(False), F.lit(True)))
     scorer = spark.sparkContext.broadcast(Scorer(models))
     parts = max(1, int(-(-size // held)))
-    dealt = _dealt(texts, models.targets, scorer, parts, held).repartitionById(parts, F.col("part"))
-    sums = _added(dealt, scorer).groupBy("row").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total")).select(F.col("row").alias(ROW), F.col("n_words").alias("__n"), F.col("total").alias("__total"))
+    asked = _asked(texts, models.targets, scorer, parts, -(-held // 2)).repartitionById(parts, F.col("part").cast("int"))
+    told = _told(asked, scorer).repartition(parts, "block")
+    sums = _summed(told, scorer).select(F.col("row").alias(ROW), F.col("n_words").alias("__n"), F.col("total").alias("__total"))
     names = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("n_words", "score", ROW)]
     joined = numbered.select(*[common.quoted(c) for c in names], ROW).join(sums, ROW, "left")
     n = F.coalesce("__n", F.lit(0).cast("long"))

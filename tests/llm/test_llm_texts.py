@@ -261,6 +261,39 @@ def test_language_models_count_every_word_and_pair_for_itself(spark):
             assert all(r["n_words"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 1e-9 for r in found)
 
 
+def test_language_models_make_one_sum_a_document(spark, monkeypatch):
+    # One sum a document and part would be some 2,400 rows here, and grow with the square of the corpus.
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 30_000}" for _ in range(150)) for _ in range(400)]
+    docs = documents(spark, texts)
+    target = list(range(0, 400, 5))
+    models = lm_scoring.fit(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), frequent=(50, 50))
+    plain, made = type(docs).mapInArrow, []
+
+    def noted(self, run, schema, *rest):
+        rows = spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def kept(batches):
+            for b in run(batches):
+                rows.add(b.num_rows)
+                yield b
+
+        return plain(self, kept, schema, *rest)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    found = lm_scoring.score(models.docs, models, held=10_000, keep=["doc_id"]).collect()
+    want = plain_scores(texts, target)
+    assert len(found) == 400 and all(abs(r["score"] - want[r["doc_id"]][1]) < 1e-9 for r in found)
+    assert made and all(0 < rows.value <= 400 for rows in made)
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [0, 255, 256, 7], [1 << 40, 3], list(range(70_000))):
+        data = lm_scoring._packed(np.array(numbers, np.int64))
+        assert lm_scoring._unpacked(data).tolist() == numbers and len(data) <= 1 + 8 * len(numbers)
+
+
 def test_long_secrets_are_covered_to_their_end(spark):
     long = "eyJhbGciOi" + "Ab9_-." * 400
     text = f"token: {long} and more"
