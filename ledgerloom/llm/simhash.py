@@ -94,6 +94,7 @@ def links(prints: DataFrame, *, distance: int = DISTANCE, m: int = SEGMENTS, cro
     """(a, b): all pairs of fingerprints, given as one row (fp) each, that differ in at most `distance` bits.
 
     Each pair comes at least once. Nothing is capped: crowded keys are looked up by full chains instead of pairs.
+    What is exploded is joined by merging: Spark knows none of the lengths, and would broadcast 69 rows a fingerprint as if they were one.
     """
     if m < 2 or m * (distance + 1) > 64:
         raise ValueError("a ring needs two segments at least, and each more bits than the distance")
@@ -108,7 +109,7 @@ def links(prints: DataFrame, *, distance: int = DISTANCE, m: int = SEGMENTS, cro
     crowded = settle(base.groupBy("start", "key").count().filter(F.col("count") > crowd).select("start", "key"), "crowded")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
     few = base.join(crowded, ["start", "key"], "left_anti")
-    cold = probe.alias("a").join(few.alias("b"), ["start", "key"]).filter((F.col("a.fp") != F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    cold = probe.alias("a").join(few.alias("b").hint("merge"), ["start", "key"]).filter((F.col("a.fp") != F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if crowded.isEmpty():
         return cold
     rest = F.array(*[F.array(*[F.array(*[long(f) for f in left]) for _, left in ways]) for _, _, ways in plan])

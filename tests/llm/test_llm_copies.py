@@ -11,6 +11,7 @@ from llm_tools import DOCS, HARD, documents, hard, write_tables
 
 from ledgerloom.llm import line_dedup, simhash
 from ledgerloom.llm.components import components
+from ledgerloom.session import settle
 
 A_TO_Z = str.maketrans(line_dedup.UPPER, line_dedup.LOWER)
 
@@ -222,3 +223,26 @@ def test_line_dedup_query_beside_its_sql(spark, tmp_path):
     assert sbs.differences(got, sbs.sql_rows(sbs.connect(folder), line_dedup.ORACLE)) is None
     kept = {r["doc_id"]: r["kept_sha256"] for r in line_dedup.op2_line_dedup(spark, folder).collect()}
     assert kept[3] == hashlib.sha256(b"own 3\n").hexdigest() and kept[20] == kept[21] == hashlib.sha256(b"").hexdigest()
+
+
+def joins(df):
+    return [x.strip(" +-:*()0123456789") for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "+- Join" not in x]
+
+
+def test_exploded_fingerprints_are_not_broadcast(spark):
+    # Files of a known, small size: Spark would take all 69 rows that are made of a fingerprint for one.
+    prints = settle(spark.createDataFrame([(simhash._signed(p),) for p in near_prints(random.Random(6), 40, 2)], "fp long"), "test-prints")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10_000_000
+    inner = [x for x in joins(simhash.links(prints)) if "Inner" in x]
+    assert inner and all(x.startswith("SortMergeJoin") for x in inner)
+
+
+def test_links_of_dense_groups_are_not_broadcast(spark, monkeypatch):
+    from ledgerloom import session
+
+    seen = []
+    monkeypatch.setattr(session, "WATCHERS", [lambda df: seen.append(joins(df))])
+    dense = settle(spark.createDataFrame(list(itertools.combinations(range(60), 2)), "a long, b long"), "test-links")
+    assert {r["root"] for r in components(dense).collect()} == {0}
+    found = [x for xs in seen for x in xs]
+    assert found and all(x.startswith("SortMergeJoin") for x in found)
