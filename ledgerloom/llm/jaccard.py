@@ -7,12 +7,14 @@ only sets that are left at the leaves move, and are compared themselves. Trees t
 only connections are asked for.
 
 Which trees meet: sets similar enough share a hash among the first few in any one order of hashes. Frequent hashes, a list of bounded
-size, come last in that order, so that a passage which many documents share brings no strangers together.
+size, come last in that order, so that a passage which many documents share brings no strangers together. At the first hash that two sets
+have in common, what either has from there on must still hold the overlap; a hash at which places and sizes rule that out brings no trees together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -34,6 +36,7 @@ TREE, FAN, WIDEST = 256, 8, 14
 #: Most hashes on the list of frequent ones, which is drawn up from one in SHARE documents. It decides where sets meet, not what comes out.
 FREQUENT, SHARE = 1 << 17, 6
 WORDS_KEPT = 250_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -475,6 +478,11 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     and no links. Rows without an id are in no component: null. Of rows with the same id each has the component of its own text, and the
     smallest id of all rows in it. Links are not listed pair by pair: as many are looked for as connect the same documents.
     """
+    with _shuffles_go(docs.sparkSession):
+        return _joined(docs, doc_id, text, words, percent, frequent, tree)
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, frequent: int, tree: int) -> DataFrame:
     spark = docs.sparkSession
     ids = docs.select(common.quoted(doc_id).cast("long").alias("doc_id"), common.quoted(text).alias("text"))
     shared = spark.sparkContext.broadcast(_listed(ids.select("text"), words, SHARE, frequent))
@@ -483,7 +491,7 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     nodes = settle(some.groupBy("__node").agg(F.min("doc_id").alias("first")), "nodes")
     # One row of each set speaks for it: what is known of a set is the same in all.
     spoken = some.join(nodes.withColumnRenamed("__node", "node"), (F.col("__node") == F.col("node")) & (F.col("doc_id") == F.col("first")), "left_semi")
-    rows = settle(spoken.select(F.col("__node").alias("node"), F.explode("__first").alias("hash")), "first-hashes")
+    rows = settle(spoken.select(F.col("__node").alias("node"), F.posexplode("__first").alias("at", "hash")), "first-hashes")
     often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1)
     held = settle(rows.join(often, "hash"), "shared-hashes")
     # A node lives with those that share the hash which most nodes share with it: copies of one text come together.
@@ -504,17 +512,18 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
         return built.select(F.inline("links")).union(met(near.filter(F.col("t1") != F.col("t2")).select("t1", "t2"), built, percent))
 
     # Trees that share a hash: first each with itself and its neighbour in the hash's list, then those that are not connected by that.
-    by_hash = settle(held.join(placed.select("node", "tree"), "node").select("hash", "tree", "node"), "hash-trees")
-    first = settle(_neighbours(by_hash.select("hash", "tree").distinct()), "next-trees")
+    by_hash = settle(held.join(placed.select("node", "tree", "n"), "node").select("hash", "tree", "node", "n", (F.col("n") - F.col("at")).alias("reach")), "hash-trees")
+    sizes = [F.min("n").alias("small"), F.max("n").alias("large"), F.max("reach").alias("reach")]
+    first = settle(_neighbours(by_hash.groupBy("hash", "tree").agg(*sizes), percent), "next-trees")
     themselves = roots.filter(F.col("k") > 1).select(F.col("tree").alias("t1"), F.col("tree").alias("t2"))
     links = between(root_pairs(first, roots, percent).union(themselves))
     connected = components(links)
-    named = by_hash.join(connected, by_hash["node"] == connected["node"], "left").select("hash", "tree", F.coalesce(connected["root"], by_hash["node"]).alias("root"))
-    spread = settle(named.groupBy("hash", "tree").agg(F.min("root").alias("low"), F.max("root").alias("high")), "tree-components")
+    named = by_hash.join(connected, by_hash["node"] == connected["node"], "left").select("hash", "tree", "n", "reach", F.coalesce(connected["root"], by_hash["node"]).alias("root"))
+    spread = settle(named.groupBy("hash", "tree").agg(F.min("root").alias("low"), F.max("root").alias("high"), *sizes), "tree-components")
     mixed = spread.groupBy("hash").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.count(F.lit(1)).alias("k"))
     open_ = settle(spread.join(mixed.filter((F.col("lowest") != F.col("highest")) & (F.col("k") > 1)).select("hash"), "hash"), "open-trees")
-    x, y = open_.toDF("hash", "t1", "low1", "high1"), open_.toDF("hash", "t2", "low2", "high2")
-    apart = (F.least("low1", "low2") != F.greatest("high1", "high2")) & (F.col("t1") < F.col("t2"))
+    x, y = [open_.toDF("hash", f"t{k}", f"low{k}", f"high{k}", f"small{k}", f"large{k}", f"reach{k}") for k in (1, 2)]
+    apart = (F.least("low1", "low2") != F.greatest("high1", "high2")) & (F.col("t1") < F.col("t2")) & may_meet(percent)
     rest = x.join(y, "hash").filter(apart).select("t1", "t2").distinct().join(first, ["t1", "t2"], "left_anti")
     links = settle(links.union(between(root_pairs(settle(rest, "open-pairs"), roots, percent))), "links")
     connected = components(links).withColumnsRenamed({"node": "__node", "root": "__root"})
@@ -525,10 +534,34 @@ def joined(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     return found.select("doc_id", F.col("__n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
 
-def _neighbours(listed: DataFrame) -> DataFrame:
-    """(t1, t2), t1 < t2: trees next to one another in the list of a hash, a pair once."""
-    after = F.lead("tree").over(Window.partitionBy("hash").orderBy("tree"))
-    return listed.select(F.col("tree").alias("t1"), after.alias("t2")).filter(F.col("t2").isNotNull()).distinct()
+def may_meet(percent: int) -> Column:
+    """For sets of two trees that hold a hash (small1, large1, reach1, small2, large2, reach2): whether it could be the first hash of two that are similar.
+
+    small and large are the sizes of a tree's sets, reach is the most hashes that one of them has from this one on. The overlap of two sets
+    is at most the smaller of what both have from their first common hash on.
+    """
+    sized = (100 * F.col("large1") >= percent * F.col("small2")) & (100 * F.col("large2") >= percent * F.col("small1"))
+    return sized & ((100 + percent) * F.least("reach1", "reach2") >= percent * (F.col("small1") + F.col("small2")))
+
+
+def _neighbours(listed: DataFrame, percent: int) -> DataFrame:
+    """(t1, t2), t1 < t2: trees next to one another by size in the list of a hash that could meet there, a pair once."""
+    after = F.lead(F.struct("tree", "small", "large", "reach")).over(Window.partitionBy("hash").orderBy("small", "tree"))
+    mine = [F.col(c).alias(f"{c}1") for c in ("tree", "small", "large", "reach")]
+    both = listed.select(*mine, after.alias("after")).filter(F.col("after").isNotNull())
+    both = both.select("*", *[F.col(f"after.{c}").alias(f"{c}2") for c in ("tree", "small", "large", "reach")])
+    return both.filter(may_meet(percent)).select(F.least("tree1", "tree2").alias("t1"), F.greatest("tree1", "tree2").alias("t2")).distinct()
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when it has ended; what it made is settled by then. Else they wait for the driver's garbage collection."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
 def op13_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:

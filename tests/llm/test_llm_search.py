@@ -303,6 +303,39 @@ def test_trees_prune_and_keep_every_link():
         assert len(jaccard.survivors(*sign)[0]) == 1
 
 
+def test_trees_meet_only_where_sizes_and_places_allow(spark, monkeypatch):
+    kept, freed, settle = {}, [], jaccard.settle
+
+    def seen(df, name, *rest):
+        freed.append(spark.conf.get(jaccard.CLEANUP, "false"))
+        kept.setdefault(name, []).append(settle(df, name, *rest))
+        return kept[name][-1]
+
+    monkeypatch.setattr(jaccard, "settle", seen)
+    before = spark.conf.get(jaccard.CLEANUP, "false")
+    # One passage in texts of many sizes: nearly all of them share hashes, few could be alike.
+    draw, passage = random.Random(9), " ".join(f"p{k}" for k in range(30))
+    texts = [f"{passage} {' '.join(f'q{draw.randrange(10**6)}' for _ in range(1 + 2 * k))}" for k in range(60)]
+    got = Counter(tuple(r) for r in jaccard.joined(documents(spark, texts), frequent=0, tree=1).collect())
+    assert got == plain_join(list(enumerate(texts)))
+    sizes = {}
+    for r in kept["placed"][0].collect():
+        sizes.setdefault(r["tree"], []).append(r["n"])
+    pairs = {(r["t1"], r["t2"]) for name in ("next-trees", "open-pairs") for df in kept[name] for r in df.collect()}
+    assert pairs
+    assert all(100 * max(sizes[x]) >= 85 * min(sizes[y]) and 100 * max(sizes[y]) >= 85 * min(sizes[x]) for x, y in pairs)
+    # Shuffle files go with each query, and the session is left as it was.
+    assert set(freed) == {"true"} and spark.conf.get(jaccard.CLEANUP, "false") == before == "false"
+
+
+def test_the_first_common_hash_decides_who_may_meet(spark):
+    rows = [(100, 100, 100, 90, 90, 90), (100, 100, 93, 100, 100, 95), (100, 100, 91, 100, 100, 100), (100, 100, 100, 80, 80, 80), (60, 100, 95, 80, 130, 90)]
+    frame = spark.createDataFrame(rows, "small1 int, large1 int, reach1 int, small2 int, large2 int, reach2 int")
+    assert [r[0] for r in frame.select(jaccard.may_meet(85)).collect()] == [True, True, False, False, True]
+    listed = spark.createDataFrame([(1, 7, 50, 50, 50), (1, 3, 52, 52, 51), (1, 9, 90, 90, 90), (2, 7, 50, 50, 44), (2, 5, 50, 50, 49)], "hash long, tree long, small long, large long, reach long")
+    assert [tuple(r) for r in jaccard._neighbours(listed, 85).collect()] == [(3, 7)]
+
+
 def test_join_bears_hard_rows(spark):
     docs = hard(spark)
     for name in ("n_shingles", "__node", "hash", "tree", "node", "home", "power"):
