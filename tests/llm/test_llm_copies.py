@@ -246,3 +246,16 @@ def test_links_of_dense_groups_are_not_broadcast(spark, monkeypatch):
     assert {r["root"] for r in components(dense).collect()} == {0}
     found = [x for xs in seen for x in xs]
     assert found and all(x.startswith("SortMergeJoin") for x in found)
+
+
+def test_the_near_dedup_stage_broadcasts_no_exploded_rows(spark, small, monkeypatch):
+    import corpus_pipeline
+
+    from ledgerloom import session
+
+    seen = []
+    monkeypatch.setattr(session, "WATCHERS", [lambda df: seen.append(joins(df))])
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert 0 < corpus_pipeline.drop_near_copies(spark, docs, small).count() < docs.count()
+    inner = [x for xs in seen for x in xs if "Inner" in x]
+    assert inner and all(x.startswith("SortMergeJoin") for x in inner)
